@@ -16,7 +16,7 @@ def to_major(minor: Column) -> Column:
     """Minor to major units, halves up, in exact integer arithmetic."""
     shifted = F.coalesce(minor, F.lit(0)).cast("bigint") + F.lit(fv.MINOR_PER_MAJOR // 2)
     whole = shifted - F.pmod(shifted, F.lit(fv.MINOR_PER_MAJOR))
-    return (whole / F.lit(fv.MINOR_PER_MAJOR)).cast("bigint")
+    return F.call_function("div", whole, F.lit(fv.MINOR_PER_MAJOR))
 
 
 def to_minor(text: Column) -> Column:

@@ -9,7 +9,7 @@ from ledgerloom import fixed_values as fv
 # Java's \b and \s follow Unicode word/space rules that differ from the patterns' intended
 # ASCII boundary and full Unicode blank set, so both are spelled out.
 _WORD_EDGE = r"(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))"
-BLANKS = r"[\s   -     　﻿]"
+BLANKS = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 
 
 def pattern(regex: str, ignore_case: bool = False) -> str:

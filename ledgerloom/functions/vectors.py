@@ -14,8 +14,13 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def l2_normalize(vector: Column) -> Column:
+    """Unit vector, or zeros for a zero vector; the norm is bound once per row, not per element."""
     norm = F.sqrt(total(F.transform(vector, lambda x: x * x)))
-    return F.transform(vector, lambda x: F.when(norm == 0, F.lit(0.0)).otherwise(x / norm))
+    scaled = F.transform(
+        F.array(norm),
+        lambda n: F.transform(vector, lambda x: F.when(n == 0, F.lit(0.0)).otherwise(x / n)),
+    )
+    return F.get(scaled, F.lit(0))
 
 
 def round6(value: Column) -> Column:
