@@ -11,19 +11,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerloom import fixed_values as fv
-from ledgerloom.functions import period, text
+from ledgerloom.functions import money, period, text
 from ledgerloom.operators.rollups import top_per
 
 Bands = list[tuple[str, int, int]]
 
 
-def day_gaps(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Per key and day: number of rows, and days since the key's previous day (null on the first)."""
-    days = rows.groupBy(*keys, "txn_date").agg(F.count("*").alias("rows"))
+def with_gap(days: DataFrame, keys: list[str]) -> DataFrame:
+    """Days since the key's previous day, null on its first; `days` has one row per key and day."""
     previous = F.lag("txn_date").over(Window.partitionBy(*keys).orderBy("txn_date"))
     return days.withColumn("gap", F.datediff("txn_date", previous))
 
 
+def day_gaps(rows: DataFrame, keys: list[str]) -> DataFrame:
+    return with_gap(rows.groupBy(*keys, "txn_date").agg(F.count("*").alias("rows")), keys)
+
+
 def gap_rows(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Distribution of consecutive-date gaps: repeats on one day are gaps of zero."""
     days = day_gaps(rows, keys)
@@ -47,9 +50,10 @@ def upper_median_gap(rows: DataFrame, keys: list[str]) -> DataFrame:
 def band_of_gaps(days: DataFrame, keys: list[str], bands: Bands, extra: list[Column]) -> DataFrame:
     """Cadence whose band holds the upper-median gap, plus `occurrences` and extra aggregates."""
     aggregates = [F.sum("rows").alias("occurrences")]
+    same_day = F.sum(F.col("rows") - 1)
     for name, low, high in bands:
-        aggregates.append((F.sum(F.when(F.col("gap") < low, 1).otherwise(0)) + F.sum(F.lit(0) + F.col("rows") - 1)).alias(f"below_{name}"))
-        aggregates.append((F.sum(F.when(F.col("gap") <= high, 1).otherwise(0)) + F.sum(F.lit(0) + F.col("rows") - 1)).alias(f"upto_{name}"))
+        aggregates.append((F.count_if(F.col("gap") < low) + same_day).alias(f"below_{name}"))
+        aggregates.append((F.count_if(F.col("gap") <= high) + same_day).alias(f"upto_{name}"))
     grouped = days.groupBy(*keys).agg(*aggregates, *extra)
     middle = F.floor((F.col("occurrences") - 1) / 2)
     cadence = F.lit(None).cast("string")
@@ -72,10 +76,7 @@ def recurrence_index(ledger: DataFrame, merchant: Column | None = None, keys: tu
     days = debits.groupBy(*group, "txn_date").agg(
         F.count("*").alias("rows"), F.count_if(F.abs("amount") <= fv.MAX_RECURRING_MINOR).alias("small")
     )
-    previous = F.lag("txn_date").over(Window.partitionBy(*group).orderBy("txn_date"))
-    index = band_of_gaps(
-        days.withColumn("gap", F.datediff("txn_date", previous)), group, fv.RECURRENCE_BANDS, [F.sum("small").alias("small")]
-    )
+    index = band_of_gaps(with_gap(days, group), group, fv.RECURRENCE_BANDS, [F.sum("small").alias("small")])
     affordable = F.col("small") > F.floor(F.col("occurrences") / 2)
     wanted = (F.col("occurrences") >= fv.MIN_RECURRENCES) & affordable & F.col("cadence").isNotNull()
     return index.filter(wanted).select(*group, "cadence", "occurrences")
@@ -108,9 +109,8 @@ def detect_subscriptions(ledger: DataFrame, previous: DataFrame | None = None) -
         F.max(F.struct(at.alias("at"), charge.alias("amount"))).alias("last"),
         F.min(F.struct(at.alias("at"), F.col("label"), F.col("category"), F.col("known"))).alias("first"),
     )
-    gap = F.datediff("txn_date", F.lag("txn_date").over(Window.partitionBy(*keys).orderBy("txn_date")))
     groups = band_of_gaps(
-        days.withColumn("gap", gap), keys, fv.SUBSCRIPTION_BANDS,
+        with_gap(days, keys), keys, fv.SUBSCRIPTION_BANDS,
         [F.sum("tiny").alias("tiny"), F.max("last").alias("last"), F.min("first").alias("first")],
     ).select(
         *keys, "occurrences", "cadence", "tiny",
@@ -151,8 +151,6 @@ def set_status(subscriptions: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def annual_cost(subscriptions: DataFrame) -> DataFrame:
-    from ledgerloom.functions import money
-
     per_year = F.create_map(*[F.lit(x) for pair in fv.CADENCE_PER_YEAR.items() for x in pair])
     cadence = F.coalesce("cadence", F.lit("monthly"))
     major = money.to_major(F.col("amount"))
@@ -162,8 +160,6 @@ def annual_cost(subscriptions: DataFrame) -> DataFrame:
 
 def totals(subscriptions: DataFrame, as_of: Column) -> DataFrame:
     """Confirmed annual cost, its monthly equivalent, and the next renewal on or after a date."""
-    from ledgerloom.functions import money
-
     confirmed = annual_cost(subscriptions).filter("status = 'confirmed'")
     upcoming = F.when(F.col("next_charge") >= as_of, F.struct("next_charge", "subscription_id"))
     totals_ = confirmed.groupBy("owner_id").agg(F.sum("annual").alias("annual_total"), F.min(upcoming).alias("next"))
