@@ -28,9 +28,10 @@ def clean(text: Column) -> Column:
 
 def signature(text: Column) -> Column:
     """The merchant-like words of a description: no digits, references, punctuation or rail words."""
-    words = F.regexp_replace(clean(text), pattern(fv.MASKED_RUN_PATTERN), " ")
+    # the look-ahead skips positions that cannot start a run before the costlier edge test
+    words = F.regexp_replace(clean(text), "(?=[0-9x*·]{4})" + pattern(fv.MASKED_RUN_PATTERN), " ")
     words = F.regexp_replace(words, "[^a-z ]+", " ")
-    words = F.regexp_replace(words, pattern(r"\b(" + "|".join(fv.RAIL_WORDS) + r")\b"), " ")
+    words = F.regexp_replace(words, "(?<![a-z])(?:" + "|".join(fv.RAIL_WORDS) + ")(?![a-z])", " ")
     return F.trim(F.regexp_replace(words, " +", " "))
 
 

@@ -19,9 +19,11 @@ BASIS = "signature_token_prefix"
 
 
 def with_key(rows: DataFrame) -> DataFrame:
+    """Adds the key columns; a stored `signature` column is used as it is."""
+    described = F.col("signature") if "signature" in rows.columns else text.signature(F.coalesce("raw_description", F.lit("")))
     return rows.withColumns(
         {
-            "signature": text.signature(F.coalesce("raw_description", F.lit(""))),
+            "signature": described,
             "account_key": F.coalesce("own_account_id", F.lit("")),
             "doc_key": F.coalesce("document_id", F.lit("")),
         }

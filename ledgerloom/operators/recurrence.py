@@ -83,7 +83,7 @@ def recurrence_index(ledger: DataFrame, merchant: Column | None = None, keys: tu
 
 
 def subscription_candidates(ledger: DataFrame) -> DataFrame:
-    """Charges that may be subscriptions, with the key and label they are grouped by."""
+    """Charges that may be subscriptions, with the key they are grouped by."""
     category = F.coalesce("category", F.lit("Uncategorised"))
     spend = ledger.filter((F.col("flow") == "expense") & ~F.col("is_internal_transfer") & (F.col("amount") < 0))
     spend = spend.withColumn("category", category).filter(~F.col("category").isin(fv.STRUCTURAL_CATEGORIES))
@@ -93,8 +93,7 @@ def subscription_candidates(ledger: DataFrame) -> DataFrame:
     key = F.when(known, F.concat(F.lit("m:"), F.lower(canonical))).when(
         F.col("category") == "Subscriptions", F.concat(F.lit("s:"), text.signature(described))
     )
-    label = F.when(known, canonical).otherwise(F.coalesce(canonical, text.clean_label(described)))
-    keyed = spend.withColumns({"subscription_key": key, "label": label, "known": known})
+    keyed = spend.withColumns({"subscription_key": key, "canonical": canonical, "known": known})
     return keyed.filter(F.col("subscription_key").isNotNull() & ~F.col("subscription_key").endswith(":"))
 
 
@@ -107,7 +106,7 @@ def detect_subscriptions(ledger: DataFrame, previous: DataFrame | None = None) -
         F.count("*").alias("rows"),
         F.count_if(charge < fv.MIN_UNKNOWN_SUBSCRIPTION_MINOR).alias("tiny"),
         F.max(F.struct(at.alias("at"), charge.alias("amount"))).alias("last"),
-        F.min(F.struct(at.alias("at"), F.col("label"), F.col("category"), F.col("known"))).alias("first"),
+        F.min(F.struct(at.alias("at"), F.col("canonical"), F.col("raw_description"), F.col("category"), F.col("known"))).alias("first"),
     )
     groups = band_of_gaps(
         with_gap(days, keys), keys, fv.SUBSCRIPTION_BANDS,
@@ -115,7 +114,9 @@ def detect_subscriptions(ledger: DataFrame, previous: DataFrame | None = None) -
     ).select(
         *keys, "occurrences", "cadence", "tiny",
         F.col("last.amount").alias("amount"), F.col("last.at.txn_date").alias("last_seen"),
-        F.col("first.at").alias("first_at"), F.col("first.label").alias("label"),
+        F.col("first.at").alias("first_at"),
+        # the label is built once per group, not once per charge
+        F.coalesce("first.canonical", text.clean_label(F.coalesce("first.raw_description", F.lit("")))).alias("label"),
         F.col("first.category").alias("category"), F.col("first.known").alias("known"),
     )
     assumed = F.when((F.col("occurrences") == 1) & (F.col("amount") >= fv.LONE_YEARLY_MINOR), "yearly").otherwise("monthly")
