@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.plans import integrity_queries, rollup_queries, rule_queries  # noqa: F401
+from ledgerloom.plans import account_queries, integrity_queries, rollup_queries, rule_queries, tax_queries  # noqa: F401
 from ledgerloom.plans.registry import ORACLES, QUERIES
 from ledgerloom.session import ensure_settings
 
