@@ -13,8 +13,8 @@ BLANKS = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 
 
 def pattern(regex: str, ignore_case: bool = False) -> str:
-    """A fixed pattern with ASCII word edges, ready for rlike / regexp_*."""
-    return ("(?i)" if ignore_case else "") + regex.replace(r"\b", _WORD_EDGE)
+    """A fixed pattern with ASCII word edges and Unicode blanks, ready for rlike / regexp_*."""
+    return ("(?i)" if ignore_case else "") + regex.replace(r"\b", _WORD_EDGE).replace(r"\s", BLANKS)
 
 
 def matches(text: Column, regex: str, ignore_case: bool = False) -> Column:

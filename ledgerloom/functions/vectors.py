@@ -13,14 +13,23 @@ def dot(a: Column, b: Column) -> Column:
     return total(F.zip_with(a, b, lambda x, y: x * y))
 
 
+def let(value: Column, body) -> Column:
+    """Evaluates `value` once per row and hands it to `body`, even inside other lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def l2_normalize(vector: Column) -> Column:
-    """Unit vector, or zeros for a zero vector; the norm is bound once per row, not per element."""
+    """Unit vector, or zeros for a zero vector."""
     norm = F.sqrt(total(F.transform(vector, lambda x: x * x)))
-    scaled = F.transform(
-        F.array(norm),
-        lambda n: F.transform(vector, lambda x: F.when(n == 0, F.lit(0.0)).otherwise(x / n)),
-    )
-    return F.get(scaled, F.lit(0))
+    return let(norm, lambda n: F.transform(vector, lambda x: F.when(n == 0, F.lit(0.0)).otherwise(x / n)))
+
+
+def softmax(logits: Column) -> Column:
+    def shifted(values: Column) -> Column:
+        return let(F.array_max(values), lambda top: F.transform(values, lambda x: F.exp(x - top)))
+
+    scaled = let(logits, shifted)
+    return let(scaled, lambda e: let(total(e), lambda t: F.transform(e, lambda x: x / t)))
 
 
 def round6(value: Column) -> Column:
