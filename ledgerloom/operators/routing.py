@@ -16,9 +16,10 @@ def found(question: Column, regex: str, group: int = 1) -> Column:
 
 
 def category_hint(question: Column) -> Column:
-    hint = F.lit(None).cast("string")
-    for regex, name in reversed(fv.QUESTION_CATEGORIES):
-        hint = F.when(text.matches(question, regex), name).otherwise(hint)
+    first, *rest = fv.QUESTION_CATEGORIES
+    hint = F.when(text.matches(question, first[0]), first[1])
+    for regex, name in rest:
+        hint = hint.when(text.matches(question, regex), name)
     return hint
 
 
@@ -133,7 +134,7 @@ def answer(routed: DataFrame, ledger: DataFrame, evidence: DataFrame, subscripti
     limit = F.when(F.col("tool") == "merchant_search", 25).otherwise(10)
     lookups = searched.unionByName(by_merchant).unionByName(by_id)
     shown = answered.join(lookups, "question_id", "left")
-    items = F.when(F.col("tool").isin("merchant_search", "provenance"), F.least("matches", limit)).otherwise(F.col("fact_items"))
+    items = F.when(F.col("tool").isin("merchant_search", "provenance"), F.when(F.col("matches").isNotNull(), F.least("matches", limit))).otherwise(F.col("fact_items"))
     # an empty review queue is an answer too
     items = F.when(F.col("tool") == "review_queue", F.coalesce(items, F.lit(0).cast("bigint"))).otherwise(items)
     ok = F.col("has_fact") | F.col("matches").isNotNull() | (F.col("tool") == "review_queue")
