@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ledgerloom import fixed_values as fv
 from ledgerloom.functions import text
 from ledgerloom.operators.rollups import sum_if
+from ledgerloom.session import checkpointed
 
 ALL = "all"
 
@@ -90,6 +91,8 @@ def answer(routed: DataFrame, ledger: DataFrame, evidence: DataFrame, subscripti
     `evidence`: owner_id, fy_key, section, amount. Totals per period and over all periods come from
     one rollup each and are joined by key.
     """
+    # every kind of answer reads the routed questions: route them once
+    routed = checkpointed(routed)
     period = F.coalesce("fy_key", F.lit(ALL)).alias("fy")
     flow = F.col("flow")
     flows = ledger.rollup("owner_id", "fy_key").agg(
