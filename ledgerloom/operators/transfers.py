@@ -16,6 +16,8 @@ How it runs on Spark:
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -25,7 +27,7 @@ from ledgerloom.operators.ranking import GROUP_BOUND, rank_in_group, rank_sliced
 from ledgerloom.session import checkpointed
 
 AMOUNT = ["owner_id", "abs_amount"]
-RUN = ["txn_date", "doc_key", "account_key", "explicit", "bare"]
+RUN = ["day", "doc_key", "account_key", "explicit", "bare"]
 MAX_RUNS = 50_000
 SLOT_CHUNK = 4_096
 
@@ -63,6 +65,7 @@ def with_flags(rows: DataFrame, own_names: Column | None = None) -> DataFrame:
             "account_key": account,
             "bare": (account != "") & ~has_merchant,
             "abs_amount": F.abs("amount"),
+            "day": F.unix_date("txn_date"),
             "side": F.when(F.col("amount") < 0, "debit").when(F.col("amount") > 0, "credit"),
         }
     )
@@ -78,29 +81,27 @@ def _next_open(link: list[int], at: int) -> int:
     return root
 
 
-def pair_runs(debits: pd.DataFrame, credits: pd.DataFrame, window_days: int) -> list[tuple[int, int, int, int, int]]:
-    """(debit row, credit row, debit offset, credit offset, count) for two ordered run tables."""
-    day = [d.toordinal() for d in credits["txn_date"]]
-    doc, account = credits["doc_key"].tolist(), credits["account_key"].tolist()
-    size = credits["rows"].tolist()
-    left = list(size)
-    lists = {}
-    for kind in ("explicit", "bare"):
-        lists[kind] = [i for i, flag in enumerate(credits[kind]) if flag]
-    # skip links over used-up and expired credits, one chain per kind
-    chain = {kind: list(range(len(lists[kind]) + 1)) for kind in lists}
+def pair_runs(debits: list[tuple], credits: list[tuple], window_days: int) -> list[tuple[int, int, int, int, int]]:
+    """(debit, credit, debit offset, credit offset, count) for two ordered lists of runs.
+
+    A run is (day, doc, account, explicit, bare, rows).
+    """
+    left = [run[5] for run in credits]
+    lists = {
+        "explicit": [i for i, run in enumerate(credits) if run[3]],
+        "bare": [i for i, run in enumerate(credits) if run[4]],
+    }
+    # skip links over used-up credits, one chain per kind; expired ones fall behind the heads
+    chain = {kind: list(range(len(members) + 1)) for kind, members in lists.items()}
     head = {"explicit": 0, "bare": 0}
     out = []
-    columns = zip(
-        debits["txn_date"], debits["doc_key"], debits["account_key"], debits["explicit"], debits["bare"], debits["rows"]
-    )
-    for d, (date, d_doc, d_account, explicit, bare, need) in enumerate(columns):
-        today, taken = date.toordinal(), 0
+    for d, (day, doc, account, explicit, bare, need) in enumerate(debits):
+        taken = 0
         kinds = [k for k, on in (("explicit", explicit), ("bare", bare)) if on]
         at = {}
         for kind in kinds:
             members = lists[kind]
-            while head[kind] < len(members) and day[members[head[kind]]] < today - window_days:
+            while head[kind] < len(members) and credits[members[head[kind]]][0] < day - window_days:
                 head[kind] += 1
             at[kind] = _next_open(chain[kind], head[kind])
         while taken < need:
@@ -108,13 +109,13 @@ def pair_runs(debits: pd.DataFrame, credits: pd.DataFrame, window_days: int) ->
             if not ahead:
                 break
             c, kind = min(ahead)
-            if day[c] > today + window_days:
+            c_day, c_doc, c_account = credits[c][:3]
+            if c_day > day + window_days:
                 break
-            free_of_doc = not d_doc or d_doc != doc[c]
-            other_account = kind == "explicit" or d_account != account[c]
-            if left[c] and free_of_doc and other_account:
+            other_account = kind == "explicit" or account != c_account
+            if left[c] and other_account and not (doc and doc == c_doc):
                 count = min(need - taken, left[c])
-                out.append((d, c, taken, size[c] - left[c], count))
+                out.append((d, c, taken, credits[c][5] - left[c], count))
                 taken += count
                 left[c] -= count
             if not left[c]:
@@ -125,44 +126,62 @@ def pair_runs(debits: pd.DataFrame, credits: pd.DataFrame, window_days: int) ->
 
 MATCH_SCHEMA = (
     "owner_id bigint, abs_amount bigint, "
-    "d_txn_date date, d_doc_key string, d_account_key string, d_explicit boolean, d_bare boolean, d_from bigint, "
-    "c_txn_date date, c_doc_key string, c_account_key string, c_explicit boolean, c_bare boolean, c_from bigint, "
+    "d_day int, d_doc_key string, d_account_key string, d_explicit boolean, d_bare boolean, d_from bigint, "
+    "c_day int, c_doc_key string, c_account_key string, c_explicit boolean, c_bare boolean, c_from bigint, "
     "matched bigint"
 )
+MATCH_COLUMNS = [field.strip().split(" ")[0] for field in MATCH_SCHEMA.split(",")]
 
 
-def _match_rows(group: pd.DataFrame, window_days: int) -> pd.DataFrame:
-    group = group.sort_values(RUN, kind="stable")
-    debits = group[group["side"] == "debit"].reset_index(drop=True)
-    credits = group[group["side"] == "credit"].reset_index(drop=True)
-    found = pd.DataFrame(
-        pair_runs(debits, credits, window_days), columns=["d", "c", "d_from", "c_from", "matched"], dtype="int64"
-    )
-    left, right = debits.iloc[found["d"]].reset_index(drop=True), credits.iloc[found["c"]].reset_index(drop=True)
-    columns = {"owner_id": left["owner_id"], "abs_amount": left["abs_amount"]}
-    for prefix, side in (("d", left), ("c", right)):
-        columns.update({f"{prefix}_{name}": side[name] for name in RUN})
-        columns[f"{prefix}_from"] = found[f"{prefix}_from"]
-    columns["d_from"] = found["d_from"] + left["used"]
-    columns["c_from"] = found["c_from"] + right["used"]
-    columns["matched"] = found["matched"]
-    return pd.DataFrame(columns)
+def _piece_matches(key: tuple, debits: list[tuple], credits: list[tuple], window_days: int) -> list[tuple]:
+    """Match rows of one piece; runs carry their already used count as a seventh field."""
+    found = pair_runs([r[:6] for r in debits], [r[:6] for r in credits], window_days)
+    return [
+        (*key[:2], *debits[d][:5], debits[d][6] + d_from, *credits[c][:5], credits[c][6] + c_from, count)
+        for d, c, d_from, c_from, count in found
+    ]
+
+
+def _matcher(keys: list[str], window_days: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Pairs the pieces of a partition sorted by keys, side and run, one piece in memory at a time."""
+
+    def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, sides = None, {"debit": [], "credit": []}
+        for batch in batches:
+            rows = []
+            columns = [batch[c].tolist() for c in (*RUN, "rows", "used")]
+            for key, side, run in zip(zip(*[batch[k].tolist() for k in keys]), batch["side"].tolist(), zip(*columns)):
+                if key != current:
+                    if current is not None:
+                        rows += _piece_matches(current, sides["debit"], sides["credit"], window_days)
+                    current, sides = key, {"debit": [], "credit": []}
+                sides[side].append(run)
+            yield pd.DataFrame(rows, columns=MATCH_COLUMNS)
+        if current is not None:
+            yield pd.DataFrame(_piece_matches(current, sides["debit"], sides["credit"], window_days), columns=MATCH_COLUMNS)
+
+    return match
+
+
+def _match_pieces(runs: DataFrame, keys: list[str], window_days: int) -> DataFrame:
+    together = runs.repartition(*keys).sortWithinPartitions(*keys, "side", *RUN)
+    return together.mapInPandas(_matcher(keys, window_days), MATCH_SCHEMA)
 
 
 def _with_pieces(runs: DataFrame, window_days: int) -> DataFrame:
     """Numbers the independent pieces of each amount and counts the runs in them."""
-    days = runs.groupBy(*AMOUNT, "txn_date").agg(
+    days = runs.groupBy(*AMOUNT, "day").agg(
         F.count("*").alias("runs"),
         F.count_if(F.col("side") == "debit").alias("debits"),
         F.count_if(F.col("side") == "credit").alias("credits"),
     )
-    by_day = Window.partitionBy(*AMOUNT).orderBy("txn_date")
-    starts = F.coalesce(F.datediff("txn_date", F.lag("txn_date").over(by_day)) > window_days, F.lit(False))
+    by_day = Window.partitionBy(*AMOUNT).orderBy("day")
+    starts = F.coalesce(F.col("day") - F.lag("day").over(by_day) > window_days, F.lit(False))
     days = days.withColumn("starts", starts.cast("int")).withColumn("piece", F.sum("starts").over(by_day))
     whole = Window.partitionBy(*AMOUNT, "piece")
     days = days.withColumns({f"piece_{c}": F.sum(c).over(whole) for c in ("runs", "debits", "credits")})
-    two_sided = days.filter("piece_debits > 0 and piece_credits > 0").select(*AMOUNT, "txn_date", "piece", "piece_runs")
-    return runs.join(two_sided, [*AMOUNT, "txn_date"])
+    two_sided = days.filter("piece_debits > 0 and piece_credits > 0").select(*AMOUNT, "day", "piece", "piece_runs")
+    return runs.join(two_sided, [*AMOUNT, "day"])
 
 
 def _pair_large(runs: DataFrame, window_days: int, block_runs: int) -> DataFrame | None:
@@ -180,11 +199,7 @@ def _pair_large(runs: DataFrame, window_days: int, block_runs: int) -> DataFrame
         # debit block i meets credit block wave - i
         meeting = F.when(F.col("side") == "debit", F.col("block")).otherwise(F.lit(wave) - F.col("block"))
         open_runs = state.filter("rows > 0").withColumn("meeting", meeting).filter(F.col("meeting").between(0, wave))
-        matches = checkpointed(
-            open_runs.groupBy(*AMOUNT, "piece", "meeting").applyInPandas(
-                lambda group: _match_rows(group, window_days), MATCH_SCHEMA
-            )
-        )
+        matches = checkpointed(_match_pieces(open_runs, [*AMOUNT, "piece", "meeting"], window_days))
         used = _used_by(matches, "d", "debit").unionByName(_used_by(matches, "c", "credit"))
         state = checkpointed(
             state.join(used, [*AMOUNT, "side", *RUN], "left")
@@ -207,7 +222,7 @@ def _used_by(matches: DataFrame, prefix: str, side: str) -> DataFrame:
 def match_runs(runs: DataFrame, window_days: int = fv.TRANSFER_WINDOW_DAYS, max_runs: int = MAX_RUNS) -> DataFrame:
     pieces = _with_pieces(runs, window_days).withColumn("used", F.lit(0).cast("bigint"))
     small = pieces.filter(F.col("piece_runs") <= max_runs).drop("piece_runs")
-    matched = small.groupBy(*AMOUNT, "piece").applyInPandas(lambda group: _match_rows(group, window_days), MATCH_SCHEMA)
+    matched = _match_pieces(small, [*AMOUNT, "piece"], window_days)
     large = _pair_large(pieces.filter(F.col("piece_runs") > max_runs).drop("piece_runs"), window_days, max_runs)
     return matched if large is None else matched.unionByName(large)
 
@@ -230,7 +245,7 @@ def transfer_pairs(
     chunks = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("matched") - 1, F.lit(SLOT_CHUNK).cast("bigint")))
     slots = matches.withColumn("chunk", chunks)
     if not matches.filter(F.col("matched") > SLOT_CHUNK).isEmpty():
-        slots = slots.repartition(*AMOUNT, "d_txn_date", "d_doc_key", "d_from", "chunk")
+        slots = slots.repartition(*AMOUNT, "d_day", "d_doc_key", "d_from", "chunk")
     last = F.least(F.col("chunk") + SLOT_CHUNK, F.col("matched")) - 1
     slots = slots.withColumn("slot", F.explode(F.sequence("chunk", last)))
     run_key = [*AMOUNT, "side", *RUN]
