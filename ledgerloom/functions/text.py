@@ -2,19 +2,33 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
 from ledgerloom import fixed_values as fv
 
 # Java's \b and \s follow Unicode word/space rules that differ from the patterns' intended
 # ASCII boundary and full Unicode blank set, so both are spelled out.
-_WORD_EDGE = r"(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))"
+_WORD_START, _WORD_END = r"(?<![0-9A-Za-z_])", r"(?![0-9A-Za-z_])"
+_WORD_EDGE = rf"(?:(?<=[0-9A-Za-z_]){_WORD_END}|{_WORD_START}(?=[0-9A-Za-z_]))"
 BLANKS = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 
 
+def _edge(match: re.Match) -> str:
+    """The cheap one-sided test where the neighbour is a word character, else the full one."""
+    before, after = match.string[: match.start()], match.string[match.end() :]
+    if re.match(r"(\((\?:)?)?(\w|\\d)", after):
+        return _WORD_START
+    if re.search(r"\w\)?$", before) and not re.search(r"\\[a-zA-Z]$", before):
+        return _WORD_END
+    return _WORD_EDGE
+
+
 def pattern(regex: str, ignore_case: bool = False) -> str:
     """A fixed pattern with ASCII word edges and Unicode blanks, ready for rlike / regexp_*."""
-    return ("(?i)" if ignore_case else "") + regex.replace(r"\b", _WORD_EDGE).replace(r"\s", BLANKS)
+    spelled = re.sub(r"\\b", _edge, regex, flags=re.ASCII).replace(r"\s", BLANKS)
+    return ("(?i)" if ignore_case else "") + spelled
 
 
 def matches(text: Column, regex: str, ignore_case: bool = False) -> Column:

@@ -234,7 +234,7 @@ def transfer_pairs(
     group_bound: int = GROUP_BOUND,
 ) -> DataFrame:
     """owner_id, debit_txn_id, credit_txn_id for rows prepared by `with_flags`."""
-    legs = flagged.filter((F.col("explicit") | F.col("bare")) & F.col("side").isNotNull()).select(
+    legs = flagged.filter((F.col("explicit") | F.col("bare")) & F.col("side").isNotNull() & F.col("day").isNotNull()).select(
         *AMOUNT, "side", *RUN, "txn_id"
     )
     # read by the piece, size and pairing steps: written once instead of recomputed
