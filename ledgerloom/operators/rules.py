@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerloom import fixed_values as fv
 from ledgerloom.functions import money, text
+from ledgerloom.functions.vectors import let
 from ledgerloom.operators.rollups import top_per
 
 VERDICT = (
@@ -136,12 +137,14 @@ def card_payment_verdict(cleaned: Column) -> Column:
         by_last4 = F.coalesce((card["last4"] != "") & F.rlike(cleaned, masked), F.lit(False))
         return phrase | has(cleaned, card["label"]) | by_last4
 
-    card = first_hit(cards, names_card)
-    return verdict(
-        (F.col("amount") < 0) & card.isNotNull(),
-        flow="transfer", category="Transfer", subcategory="Credit card payment", confidence="high",
-        reason=joined("payment of own card ", F.coalesce(card["label"], F.lit("on file"))),
-        signal="transfer.cc_payment", layer=fv.LAYER_PROFILE, is_internal_transfer=True,
+    return let(
+        F.when(F.col("amount") < 0, first_hit(cards, names_card)),
+        lambda card: verdict(
+            card.isNotNull(),
+            flow="transfer", category="Transfer", subcategory="Credit card payment", confidence="high",
+            reason=joined("payment of own card ", F.coalesce(card["label"], F.lit("on file"))),
+            signal="transfer.cc_payment", layer=fv.LAYER_PROFILE, is_internal_transfer=True,
+        ),
     )
 
 
@@ -160,14 +163,18 @@ def rent_verdict(cleaned: Column) -> Column:
 
 def house_help_verdict(cleaned: Column) -> Column:
     amount = F.col("amount")
-    h = first_hit(F.col("profile.house_help"), lambda x: has(cleaned, x["name"]) | has(cleaned, x["upi_handle"]))
-    usual = h["monthly_amount"].isNull() | money.near(amount, h["monthly_amount"], 0.1)
-    return verdict(
-        (amount < 0) & h.isNotNull(),
-        flow="expense", category="Household", subcategory=h["role"],
-        confidence=F.when(usual, "high").otherwise("med"),
-        reason=joined("payment to house help ", h["name"]), signal="profile.house_help", layer=fv.LAYER_PROFILE,
-    )
+    hit = first_hit(F.col("profile.house_help"), lambda x: has(cleaned, x["name"]) | has(cleaned, x["upi_handle"]))
+
+    def stamp(h: Column) -> Column:
+        usual = h["monthly_amount"].isNull() | money.near(amount, h["monthly_amount"], 0.1)
+        return verdict(
+            h.isNotNull(),
+            flow="expense", category="Household", subcategory=h["role"],
+            confidence=F.when(usual, "high").otherwise("med"),
+            reason=joined("payment to house help ", h["name"]), signal="profile.house_help", layer=fv.LAYER_PROFILE,
+        )
+
+    return let(F.when(amount < 0, hit), stamp)
 
 
 def loan_verdict(cleaned: Column, evidence: Column) -> Column:
@@ -178,36 +185,44 @@ def loan_verdict(cleaned: Column, evidence: Column) -> Column:
     def right_size(loan: Column) -> Column:
         return F.coalesce(money.near(amount, loan["emi_amount"], 0.02), F.lit(False)) & ~evidence
 
-    loan = first_hit(
+    hit = first_hit(
         F.col("profile.loans"),
         lambda x: right_size(x) | emi_word | F.contains(cleaned, F.lower(F.concat(x["kind"], F.lit(" loan")))),
     )
-    return verdict(
-        (amount < 0) & loan.isNotNull(),
-        flow="expense", category="Loan", subcategory=joined(loan["kind"], " EMI"),
-        confidence=F.when(right_size(loan), "high").otherwise("med"),
-        reason=joined("instalment of the ", loan["kind"], " loan on file"), signal="profile.loan", layer=fv.LAYER_PROFILE,
-        tax_section=F.when(loan["kind"] == "home", "24b"),
+    return let(
+        F.when(amount < 0, hit),
+        lambda loan: verdict(
+            loan.isNotNull(),
+            flow="expense", category="Loan", subcategory=joined(loan["kind"], " EMI"),
+            confidence=F.when(right_size(loan), "high").otherwise("med"),
+            reason=joined("instalment of the ", loan["kind"], " loan on file"), signal="profile.loan", layer=fv.LAYER_PROFILE,
+            tax_section=F.when(loan["kind"] == "home", "24b"),
+        ),
     )
 
 
 def broker_verdict(cleaned: Column) -> Column:
-    b = first_hit(F.col("profile.brokers"), lambda x: has(cleaned, x["name"]) | has(cleaned, x["institution_id"]))
-    return verdict(
-        (F.col("amount") < 0) & b.isNotNull(),
-        flow="investment", category="Investment", subcategory=b["name"], confidence="high",
-        reason=joined("contribution to broker ", b["name"]), signal=joined("profile.broker.", b["institution_id"]),
-        layer=fv.LAYER_PROFILE, tax_section=b["tax_section"],
+    hit = first_hit(F.col("profile.brokers"), lambda x: has(cleaned, x["name"]) | has(cleaned, x["institution_id"]))
+    return let(
+        F.when(F.col("amount") < 0, hit),
+        lambda b: verdict(
+            b.isNotNull(),
+            flow="investment", category="Investment", subcategory=b["name"], confidence="high",
+            reason=joined("contribution to broker ", b["name"]), signal=joined("profile.broker.", b["institution_id"]),
+            layer=fv.LAYER_PROFILE, tax_section=b["tax_section"],
+        ),
     )
 
 
 def insurer_verdict(cleaned: Column) -> Column:
-    i = first_hit(F.col("profile.insurers"), lambda x: has(cleaned, x["name"]))
-    return verdict(
-        (F.col("amount") < 0) & i.isNotNull(),
-        flow="expense", category="Insurance", subcategory=i["kind"], confidence="high",
-        reason=joined(i["kind"], " premium to ", i["name"]), signal="profile.insurer", layer=fv.LAYER_PROFILE,
-        tax_section=i["tax_section"],
+    return let(
+        F.when(F.col("amount") < 0, first_hit(F.col("profile.insurers"), lambda x: has(cleaned, x["name"]))),
+        lambda i: verdict(
+            i.isNotNull(),
+            flow="expense", category="Insurance", subcategory=i["kind"], confidence="high",
+            reason=joined(i["kind"], " premium to ", i["name"]), signal="profile.insurer", layer=fv.LAYER_PROFILE,
+            tax_section=i["tax_section"],
+        ),
     )
 
 
@@ -256,20 +271,27 @@ def keyword_verdict(cleaned: Column, rules=None) -> Column:
         reason="card-bill payment rail", signal="keyword.cred_billdesk_cc_payment", layer=fv.LAYER_KEYWORD,
         is_internal_transfer=True,
     )
-    arms = []
-    for keyword, category, subcategory, flow, confidence in fv.KEYWORD_RULES if rules is None else rules:
+    table = fv.KEYWORD_RULES if rules is None else rules
+    fields = "struct<keyword:string,category:string,subcategory:string,flow:string,confidence:string>"
+    entries = F.array(*[F.struct(*[F.lit(v) for v in (k, c, sub, f, conf or "low")]).cast(fields) for k, c, sub, f, conf in table])
+    number = None
+    for i, (keyword, _, _, flow, _) in enumerate(table):
         fits = money.flow_fits_sign(amount, F.lit(flow), True) if flow else F.lit(True)
-        strength = confidence or "low"
-        arms.append(
-            verdict(
-                text.keyword_match(cleaned, keyword) & fits,
-                flow=flow or F.when(amount > 0, "income").otherwise("expense"),
-                category=category, subcategory=subcategory, confidence=strength,
-                reason=f"keyword '{keyword}'", signal="keyword." + "_".join(keyword.split()),
-                layer=fv.LAYER_KEYWORD, review_required=strength == "low",
-            )
-        )
-    return F.coalesce(rail, *arms)
+        hit = text.keyword_match(cleaned, keyword) & fits
+        number = F.when(hit, i) if number is None else number.when(hit, i)
+    # the rule is found once; its fields are read from the literal table
+    named = let(
+        F.get(entries, number),
+        lambda rule: verdict(
+            rule.isNotNull(),
+            flow=F.coalesce(rule["flow"], F.when(amount > 0, "income").otherwise("expense")),
+            category=rule["category"], subcategory=rule["subcategory"], confidence=rule["confidence"],
+            reason=joined("keyword '", rule["keyword"], "'"),
+            signal=joined("keyword.", F.regexp_replace(rule["keyword"], " +", "_")),
+            layer=fv.LAYER_KEYWORD, review_required=rule["confidence"] == "low",
+        ),
+    )
+    return F.coalesce(rail, named)
 
 
 def recurrence_verdict() -> Column:
@@ -302,20 +324,22 @@ def isolate_project(found: Column, cleaned: Column) -> Column:
         hinted = F.exists(hints, lambda h: F.contains(cleaned, F.lower(h)) | F.contains(F.lower(found["category"]), F.lower(h)))
         return F.col("txn_date").between(project["start_date"], project["end_date"]) & ((F.size(hints) == 0) | hinted)
 
-    project = first_hit(F.col("profile.projects"), applies)
-    stamped = F.struct(
-        *[
-            {
-                "reason": joined("one-time project ", project["name"]),
-                "signal": F.lit("project.one_time"),
-                "layer": F.lit(fv.LAYER_PROJECT),
-                "project_id": project["id"],
-                "is_recurring": F.lit(False),
-            }.get(name, found[name]).alias(name)
-            for name in VERDICT_COLUMNS
-        ]
-    )
-    return F.when((found["flow"] == "expense") & project.isNotNull(), stamped).otherwise(found)
+    def stamp(project: Column) -> Column:
+        stamped = F.struct(
+            *[
+                {
+                    "reason": joined("one-time project ", project["name"]),
+                    "signal": F.lit("project.one_time"),
+                    "layer": F.lit(fv.LAYER_PROJECT),
+                    "project_id": project["id"],
+                    "is_recurring": F.lit(False),
+                }.get(name, found[name]).alias(name)
+                for name in VERDICT_COLUMNS
+            ]
+        )
+        return F.when(project.isNotNull(), stamped).otherwise(found)
+
+    return let(F.when(found["flow"] == "expense", first_hit(F.col("profile.projects"), applies)), stamp)
 
 
 # --------------------------------------------------------------------------- the cascade
@@ -401,14 +425,13 @@ def resolve_counterparty(rows: DataFrame, registry: DataFrame) -> DataFrame:
             | F.exists(F.coalesce(entry["last4"], none), lambda d: F.contains(lowered, d))
         )
 
-    hit = F.when(raw != "", first_hit(F.col("entries"), matches))
+    hit = F.col("_hit")
     kind = (
         F.when(hit.isNull(), "unknown").when(~hit["is_own_money"], "external")
         .when(hit["kind"] == "own_account", "own_account").otherwise("known_own")
     )
-    return rows.join(registry, "owner_id", "left").withColumns(
-        {"counterparty_id": hit["id"], "counterparty_kind": kind}
-    ).drop("entries")
+    found = rows.join(registry, "owner_id", "left").withColumn("_hit", F.when(raw != "", first_hit(F.col("entries"), matches)))
+    return found.withColumns({"counterparty_id": hit["id"], "counterparty_kind": kind}).drop("entries", "_hit")
 
 
 # ------------------------------------------------------------------- profile and finalise
