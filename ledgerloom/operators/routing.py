@@ -65,7 +65,7 @@ def route(questions: DataFrame) -> DataFrame:
 def search_counts(asked: DataFrame, ledger: DataFrame) -> DataFrame:
     """Rows of the owner whose merchant or description contains the needle, per question.
 
-    Needles are matched through three-character windows; only shorter ones meet every row.
+    Needles are matched through three-character windows, shorter ones through windows of their width.
     """
     needle = F.regexp_replace(F.lower("merchant"), "[%_]", "")
     wanted = asked.select("question_id", "owner_id", F.col("fy").alias("q_fy"), needle.alias("needle")).filter("needle <> ''")
@@ -80,7 +80,8 @@ def search_counts(asked: DataFrame, ledger: DataFrame) -> DataFrame:
     hit = F.contains("m", "needle") | F.contains("d", "needle")
     period = F.col("q_fy").isNull() | (F.col("q_fy") == F.col("fy_key"))
     long_ = keyed.join(wanted.filter(F.length("needle") >= 3).withColumn("gram", F.substring("needle", 1, 3)), ["owner_id", "gram"])
-    short = texts.join(wanted.filter(F.length("needle") < 3), "owner_id")
+    narrow = F.array_distinct(F.concat(*[text.grams(F.col(c), w) for c in ("m", "d") for w in (1, 2)]))
+    short = texts.select("*", F.explode(narrow).alias("needle")).join(wanted.filter(F.length("needle") < 3), ["owner_id", "needle"])
     both = [x.filter(hit & period).select("question_id", "n") for x in (long_, short)]
     return both[0].unionByName(both[1]).groupBy("question_id").agg(F.sum("n").alias("matches"))
 

@@ -79,9 +79,10 @@ def longest_pattern(descriptions: DataFrame, rules: DataFrame) -> DataFrame:
     texts = descriptions.select("cleaned").distinct()
     probes = texts.select("cleaned", F.explode(text.grams(F.col("cleaned"), width)).alias("gram"))
     hits = probes.join(keyed, "gram").filter(F.contains("cleaned", F.col("rule.pattern"))).select("cleaned", "rule")
-    # patterns too short for a window are few by construction (the pack loader rejects them)
-    short = rules.filter((F.length("pattern") < width) & (F.col("pattern") != "")).select(payload)
-    short_hits = texts.join(short, F.contains("cleaned", F.col("rule.pattern"))).select("cleaned", "rule")
+    # shorter patterns are rare (the pack loader rejects them); they equal a window of their own width
+    short = rules.filter((F.length("pattern") < width) & (F.col("pattern") != "")).select(F.col("pattern").alias("gram"), payload)
+    narrow = F.concat(*[text.grams(F.col("cleaned"), w) for w in range(1, width)])
+    short_hits = texts.select("cleaned", F.explode(narrow).alias("gram")).join(short, "gram").select("cleaned", "rule")
     size = F.length("rule.pattern")
     best = F.struct((-size).alias("size"), F.col("rule.seq").alias("seq"))
     return hits.unionByName(short_hits).groupBy("cleaned").agg(
