@@ -475,6 +475,13 @@ def build_signals(profiles: DataFrame) -> DataFrame:
     )
 
 
+def referenced_institutions(profiles: DataFrame) -> DataFrame:
+    """Distinct institution ids a household's declared lists mention: (owner_id, institution_id)."""
+    lists = [c for c in ("banks", "cards", "brokers", "investment_platforms", "insurers", "loans") if c in profiles.columns]
+    ids = F.flatten(F.array(*[F.transform(c, lambda x: x["institution_id"].cast("string")) for c in lists]))
+    return profiles.select("owner_id", F.explode(F.array_distinct(ids)).alias("institution_id")).filter("institution_id is not null")
+
+
 def finalize(rows: DataFrame) -> DataFrame:
     """Stored ledger columns from `verdict`, the label model's `decision` and the transfer result.
 

@@ -593,6 +593,18 @@ def build_signals(spark, sf_dir):
     )
 
 
+@query(
+    "referenced_institutions",
+    b.with_ctes(
+        SQL_PROFILES,
+        select="SELECT owner_id, broker_id AS institution_id FROM profiles UNION SELECT owner_id, 'platform' FROM profiles WHERE platform IS NOT NULL",
+    ),
+)
+def referenced_institutions(spark, sf_dir):
+    records = household_records(spark, sf_dir)
+    return rules.referenced_institutions(records)
+
+
 @query(
     "override_equi",
     on_looked("SELECT txn_id, o_merchant FROM looked WHERE rule_id IS NOT NULL"),
