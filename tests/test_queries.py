@@ -3,10 +3,11 @@
 import pytest
 
 import __spark_entry__ as entry
+from ledgerloom.plans import catalog
 from tests.compare import compare, duck
 
 SF_DIR = "/root/testdata/sf0.001"
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = catalog.queries(), catalog.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -16,6 +17,7 @@ def con():
 
 def test_oracles_belong_to_queries():
     assert set(ORACLES) <= set(QUERIES)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
     assert len(QUERIES) - len(ORACLES) <= 4
 
 
