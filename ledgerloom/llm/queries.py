@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import fmindex, simhash, urls
+from ledgerloom.llm import fmindex, secrets, simhash, urls
 from ledgerloom.llm.registry import query, table
 
 
@@ -80,3 +80,16 @@ def op9_decontamination(spark, sf_dir):
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"),
     )
+
+
+@query("op10_secret_scan")
+def op10_secret_scan(spark, sf_dir):
+    """Secrets of every document by pattern and by sliding-window entropy, with column functions only."""
+    found = secrets.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("secrets", lambda s: s["kind"] < 3)
+    found = found.select("doc_id", "secrets", secrets.listed(base).alias("base"))
+    count = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+        F.sha2("base", 256).alias("base_sha256"), secrets.listed(F.col("secrets")).alias("spans"),
+    )
