@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import fmindex, secrets, simhash, urls
+from ledgerloom.llm import fmindex, language, packing, secrets, simhash, tokens, urls
 from ledgerloom.llm.registry import query, table
 
 
@@ -93,3 +94,19 @@ def op10_secret_scan(spark, sf_dir):
         "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
         F.sha2("base", 256).alias("base_sha256"), secrets.listed(F.col("secrets")).alias("spans"),
     )
+
+
+@query("op2_language")
+def op2_language(spark, sf_dir):
+    """Language of every document from a model trained on the documents that are not held out."""
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False)))
+    model = language.train(docs.where("doc_id is not null and not held_out").select("text", "lang"))
+    return language.predict(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query("op6_packing")
+def op6_packing(spark, sf_dir):
+    """All documents' tokens in sequences of 4096, packed by islands of a grouping genetic algorithm."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    cut = tokens.pieces(table(spark, sf_dir, "documents"), path, tokens.CAPACITY)
+    return packing.pack(cut, tokens.CAPACITY).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
