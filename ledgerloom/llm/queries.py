@@ -5,8 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import fmindex, language, packing, secrets, simhash, tokens, urls
+from ledgerloom.llm import fmindex, language, licenses, packing, secrets, simhash, syncmers, tokens, urls, warc, wordpiece
 from ledgerloom.llm.registry import query, table
+from ledgerloom.llm.storage import work_folder
 
 
 @query("op5_simhash")
@@ -110,3 +111,56 @@ def op6_packing(spark, sf_dir):
     path = public_tokenizers.path("word_bpe_49k.json")
     cut = tokens.pieces(table(spark, sf_dir, "documents"), path, tokens.CAPACITY)
     return packing.pack(cut, tokens.CAPACITY).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query(
+    "op1_warc",
+    """
+    WITH sized AS (
+        SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+    ), first AS (
+        SELECT payload_digest, min(page_id) AS first_id FROM sized WHERE payload_bytes >= 100 GROUP BY 1
+    )
+    SELECT page_id, payload_bytes, s.payload_digest, CASE WHEN page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+    FROM sized s LEFT JOIN first f ON s.payload_digest = f.payload_digest
+    """,
+)
+def op1_warc(spark, sf_dir):
+    """All pages written as WARC archives and read back: digests and sizes of responses from the payloads read."""
+    warc.register(spark)
+    folder = work_folder(spark, "warc")
+    warc.records(table(spark, sf_dir, "pages")).write.format("warc").mode("append").option("path", folder).save()
+    back = spark.read.format("warc").option("path", folder).load().where(F.col("record_type").isin("response", "revisit"))
+    response = F.col("record_type") == "response"
+    return back.select(
+        warc.page_of(F.col("record_id")).alias("page_id"),
+        F.when(response, F.length("payload").cast("long")).otherwise(F.col("payload_length")).alias("payload_bytes"),
+        F.when(response, F.sha2("payload", 256)).otherwise(F.regexp_replace("payload_digest", "^sha256:", "")).alias("payload_digest"),
+        "record_type", warc.page_of(F.col("refers_to")).alias("refers_to"),
+    )
+
+
+@query("op3_fingerprints")
+def op3_fingerprints(spark, sf_dir):
+    """Closed-syncmer fingerprints of every document and of its edited text, with their likeness."""
+    return syncmers.compare(table(spark, sf_dir, "documents"))
+
+
+@query("op4_token_counts")
+def op4_token_counts(spark, sf_dir):
+    """Greedy longest-match token counts of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = wordpiece.token_counts(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return counted.select("doc_id", "n_words", "n_tokens")
+
+
+@query("op8_license_scan")
+def op8_license_scan(spark, sf_dir):
+    """Licences of every document, with their scores and places."""
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans = F.transform("licenses", lambda x: F.concat_ws(":", x["license"], x["start"].cast("string"), x["end"].cast("string")))
+    return found.select(
+        "doc_id", F.size("licenses").cast("long").alias("n_licenses"), F.array_join("licenses.license", ",").alias("licenses"),
+        F.round(F.array_max("licenses.score"), 6).alias("best_score"), F.array_join(spans, ",").alias("spans"),
+    )
