@@ -158,7 +158,7 @@ def with_next(docs: DataFrame, parts: int) -> DataFrame:
         named = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])
         tails = rows.where(F.col("place").isin([low for _, low in lows])).groupBy("bucket", "doc_id").agg(F.min("text").alias("text"))
         main = main.union(tails.select("doc_id", "text", named[F.col("bucket")].alias("bucket"), F.lit(True).alias("tail")))
-    return main.repartition(parts, "bucket").sortWithinPartitions("bucket", "tail", "doc_id", "text")
+    return main.repartitionById(parts, "bucket").sortWithinPartitions("bucket", "tail", "doc_id", "text")
 
 
 def compare(docs: DataFrame) -> DataFrame:
