@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, functions as F
 
 from ledgerloom import fixed_values as fv
+from ledgerloom.functions.vectors import let
 
 # Java's \b and \s follow Unicode word/space rules that differ from the patterns' intended
 # ASCII boundary and full Unicode blank set, so both are spelled out.
@@ -208,6 +209,16 @@ def grams(text: Column, width: int = fv.MIN_ALIAS_CHARS) -> Column:
 
 
 def stable_id(limit: int, *parts) -> Column:
-    """Deterministic identifier: parts joined by '_', unsafe characters replaced, capped."""
+    """Deterministic identifier: parts joined by '_', unsafe characters replaced, shortened where over `limit`."""
     joined = F.concat_ws("_", *[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
-    return F.substring(F.regexp_replace(joined, "[^a-zA-Z0-9_-]", "_"), 1, limit)
+    return shortened(F.regexp_replace(joined, "[^a-zA-Z0-9_-]", "_"), limit, joined)
+
+
+def shortened(made: Column, limit: int, whole: Column | None = None) -> Column:
+    """`made` if it fits, else its beginning and 16 digits of a digest of the whole text, so that different texts stay apart."""
+
+    def fit(m: Column) -> Column:
+        digest = F.substring(F.sha2(m if whole is None else whole, 256), 1, 16)
+        return F.when(F.length(m) <= limit, m).otherwise(F.concat(F.substring(m, 1, limit - 17), F.lit("_"), digest))
+
+    return let(made, fit)

@@ -8,6 +8,8 @@ split by the skew-join handling instead of being sorted in one window.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerloom.functions import text
@@ -34,13 +36,26 @@ def key_text(rows: DataFrame) -> Column:
     return F.concat_ws("|", F.col("txn_date").cast("string"), F.col("amount").cast("string"), "signature", "account_key")
 
 
-def mark_duplicates(incoming: DataFrame, stored: DataFrame) -> DataFrame:
-    """Adds `kept`: false when another document, stored or earlier in the batch, has the key."""
+def joined_on_key(rows: DataFrame, groups: DataFrame, how: str = "inner") -> DataFrame:
+    """`rows` with the other columns of `groups` (one row per key); a null date, amount or owner equals itself."""
+    renamed = groups.withColumnsRenamed({c: f"_{c}" for c in KEY})
+    same = reduce(lambda a, b: a & b, [rows[c].eqNullSafe(renamed[f"_{c}"]) for c in KEY])
+    return rows.join(renamed, same, how).drop(*[f"_{c}" for c in KEY])
+
+
+def mark_duplicates(incoming: DataFrame, stored: DataFrame, own_document: bool = True) -> DataFrame:
+    """Adds `kept`: false when a stored row, or another document earlier in the batch, has the key.
+
+    With `own_document` false a stored row of the same document is no claim, as when a document
+    arrives in several files. Every incoming row comes back once.
+    """
     rows = with_key(incoming)
     claims = rows.groupBy(*KEY).agg(F.min_by("doc_key", F.struct("seq", "txn_id")).alias("claimer"))
-    known = with_key(stored).select(*KEY).distinct().withColumn("known", F.lit(True))
-    kept = F.col("known").isNull() & (F.col("doc_key") == F.col("claimer"))
-    return rows.join(claims, KEY).join(known, KEY, "left").withColumn("kept", kept).drop("known", "claimer")
+    known = with_key(stored).groupBy(*KEY).agg(F.min("doc_key").alias("low_doc"), F.max("doc_key").alias("high_doc"))
+    other = (F.col("low_doc") != F.col("doc_key")) | (F.col("high_doc") != F.col("doc_key"))
+    free = F.col("low_doc").isNull() if own_document else ~F.coalesce(other, F.lit(False))
+    marked = joined_on_key(joined_on_key(rows, claims), known, "left")
+    return marked.withColumn("kept", free & (F.col("doc_key") == F.col("claimer"))).drop("low_doc", "high_doc", "claimer")
 
 
 def historical_excess(stored: DataFrame) -> DataFrame:
@@ -50,7 +65,7 @@ def historical_excess(stored: DataFrame) -> DataFrame:
         F.min_by("doc_key", F.struct("seq", "txn_id")).alias("keeper_doc"),
         (F.min("doc_key") != F.max("doc_key")).alias("spread"),
     )
-    return rows.join(groups.filter("spread").drop("spread"), KEY).filter("doc_key <> keeper_doc")
+    return joined_on_key(rows, groups.filter("spread").drop("spread")).filter("doc_key <> keeper_doc")
 
 
 def suspected_pairs(stored: DataFrame, incoming: DataFrame) -> DataFrame:

@@ -34,9 +34,12 @@ def pool_tokens(tokens: DataFrame, keys: list[str]) -> DataFrame:
     return pooled.withColumn("vector", vectors.l2_normalize(F.col("vector")))
 
 
-def train_head(examples: DataFrame, dimensions: int) -> DataFrame:
-    """Per owner and label: unit mean of the unit example vectors, and the log share of examples."""
-    usable = examples.filter(F.size("embedding") == dimensions).withColumn("label_id", label_id())
+def train_head(examples: DataFrame, dimensions: int, model_id: str) -> DataFrame:
+    """Per owner and label: unit mean of the unit example vectors, and the log share of examples.
+
+    Only vectors of the model and size that `head_metadata` describes count; others are embedded anew first.
+    """
+    usable = examples.filter((F.size("embedding") == dimensions) & (F.col("embedding_model_id") == model_id)).withColumn("label_id", label_id())
     counts = usable.groupBy("owner_id", "label_id", *LABEL).agg(F.count("*").alias("examples"))
     totals = counts.groupBy("owner_id").agg(F.sum("examples").alias("all_examples"))
     spread = usable.select("owner_id", "label_id", F.posexplode(vectors.l2_normalize(F.col("embedding"))).alias("dim", "value"))
@@ -88,7 +91,10 @@ def embed_backfill(examples: DataFrame, dimensions: int, model_id: str) -> DataF
 
 # ------------------------------------------------------------------------------- scoring
 def predict(rows: DataFrame, head: DataFrame) -> DataFrame:
-    """Adds winner label, probability, margin and the ranked distribution to rows with `embedding`."""
+    """Adds winner label, probability, margin and the ranked distribution to rows with `embedding`.
+
+    Rows without a head, a vector or one of the head's size come back with nulls, and so keep their base verdict.
+    """
     labels = head.groupBy("owner_id").agg(
         F.array_sort(F.collect_list(F.struct("label_id", *LABEL, "weight", "bias"))).alias("head")  # one entry per label
     )
@@ -96,7 +102,8 @@ def predict(rows: DataFrame, head: DataFrame) -> DataFrame:
     def logits(unit: Column) -> Column:
         return F.transform("head", lambda h: vectors.dot(unit, h["weight"]) * fv.SOFTMAX_TEMPERATURE + h["bias"])
 
-    scored = rows.join(labels, "owner_id").filter(F.size("embedding") == F.size(F.get(F.col("head"), F.lit(0))["weight"]))
+    fits = F.size("embedding") == F.size(F.get(F.col("head"), F.lit(0))["weight"])
+    scored = rows.join(labels, "owner_id", "left").withColumn("head", F.when(fits, F.col("head")))
     chances = vectors.softmax(vectors.let(vectors.l2_normalize(F.col("embedding")), logits))
     ranked = F.array_sort(
         F.zip_with(
@@ -119,16 +126,18 @@ def predict(rows: DataFrame, head: DataFrame) -> DataFrame:
     ).drop("head")
 
 
-def count_evidence(predicted: DataFrame, examples: DataFrame, model_id: str) -> DataFrame:
+def count_evidence(predicted: DataFrame, examples: DataFrame, model_id: str, dimensions: int) -> DataFrame:
     """Adds evidence (compatible examples of the winning label) and any_compatible.
 
+    Evidence needs a vector of the head's size, any_compatible just a vector.
+
     Compatibility only looks at model, flow against sign, and institution when both are known, so
     counts per (label, institution) answer it without meeting single examples.
     """
-    usable = examples.filter(F.col("embedding_model_id") == model_id).withColumns(
+    usable = examples.filter((F.col("embedding_model_id") == model_id) & F.col("embedding").isNotNull()).withColumns(
         {"label_id": label_id(), "institution_key": F.coalesce("institution_id", F.lit(""))}
     )
-    per = usable.groupBy("owner_id", "label_id", "institution_key").agg(F.count("*").alias("n"))
+    per = usable.filter(F.size("embedding") == dimensions).groupBy("owner_id", "label_id", "institution_key").agg(F.count("*").alias("n"))
     whole = per.groupBy("owner_id", "label_id").agg(
         F.sum("n").alias("label_all"), F.coalesce(F.sum(F.when(F.col("institution_key") == "", F.col("n"))), F.lit(0)).alias("label_open")
     )
@@ -163,8 +172,8 @@ def nearest_examples(predicted: DataFrame, examples: DataFrame, model_id: str, k
     matrix product and keeps k per row, so neither side of a label is gathered in one task and no
     pair outside a block's best k is emitted.
     """
-    keyed = examples.filter(F.col("embedding_model_id") == model_id).withColumn("label_id", label_id())
-    rows = predicted.select("owner_id", "label_id", "txn_id", F.coalesce("institution_id", F.lit("")).alias("institution"), "embedding")
+    keyed = examples.filter((F.col("embedding_model_id") == model_id) & F.col("embedding").isNotNull()).withColumn("label_id", label_id())
+    rows = predicted.filter("label_id is not null").select("owner_id", "label_id", "txn_id", F.coalesce("institution_id", F.lit("")).alias("institution"), "embedding")
 
     def pieces(df: DataFrame, name: str) -> DataFrame:
         return df.groupBy("owner_id", "label_id").agg(F.ceil(F.count("*") / BLOCK_VECTORS).cast("int").alias(name))

@@ -126,7 +126,7 @@ def detect_subscriptions(ledger: DataFrame, previous: DataFrame | None = None) -
     resolved = groups.filter(F.col("known") | recurring).withColumns(
         {
             "cadence": F.coalesce("cadence", assumed),
-            "subscription_id": F.concat(F.lit("sub_"), text.slug(F.col("subscription_key"), 48)),
+            "subscription_id": F.concat(F.lit("sub_"), text.shortened(text.slug(F.col("subscription_key")), 48)),
         }
     )
     unique = top_per(resolved, ["owner_id", "subscription_id"], [F.col("first_at")], 1)

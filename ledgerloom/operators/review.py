@@ -19,11 +19,11 @@ def rebuild_items(items: DataFrame, ledger: DataFrame) -> DataFrame:
     described = F.coalesce("raw_description", F.lit("transaction"))
     kind = F.when(F.lower(F.coalesce("category", F.lit(""))) == "uncategorised", "uncategorised").otherwise("low_confidence")
     fresh = ledger.filter("review_required").select(
-        F.substring(F.concat(F.lit("rev_txn_"), "txn_id"), 1, 80).alias("item_id"), "owner_id", kind.alias("kind"),
+        text.shortened(F.concat(F.lit("rev_txn_"), "txn_id"), 80).alias("item_id"), "owner_id", kind.alias("kind"),
         F.col("txn_id").alias("ref_id"), F.concat(F.lit("Please check: "), F.substring(described, 1, 48)).alias("title"),
         F.coalesce("reason", F.lit("")).alias("detail"), F.lit("info").alias("severity"), F.lit("open").alias("status"),
     )
-    # capped ids may meet; one item per id, the lowest transaction first
+    # one item per id, the lowest transaction first
     fresh = top_per(fresh, ["owner_id", "item_id"], [F.col("ref_id")], 1)
     return items.filter(~F.col("kind").isin(fv.REBUILT_REVIEW_KINDS)).unionByName(fresh.select(*items.columns))
 

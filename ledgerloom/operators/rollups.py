@@ -60,12 +60,13 @@ def overview(ledger: DataFrame) -> DataFrame:
         "txn_count",
     )
     rate = money.savings_rate(F.col("income"), F.col("expenses"))
-    # a missing previous year counts as zero, so this is an equality on the next key, not lag()
-    previous = totals.select("owner_id", period.next_fy(F.col("fy_key")).alias("fy_key"), rate.alias("prev_savings_rate"))
-    return totals.join(previous, PERIOD, "left").select(
+    # the ledger is read once; a window over an owner's few years sees only the year just before
+    before = Window.partitionBy("owner_id").orderBy(F.substring("fy_key", 1, 4).cast("int")).rangeBetween(-1, -1)
+    rated = totals.withColumn("rate", rate)
+    return rated.withColumn("prev_savings_rate", F.max("rate").over(before)).select(
         *PERIOD, "income", "expenses", "invested",
         (F.col("income") - F.col("expenses")).alias("net"),
-        rate.alias("savings_rate"),
+        F.col("rate").alias("savings_rate"),
         F.coalesce("prev_savings_rate", F.lit(0).cast("bigint")).alias("prev_savings_rate"),
         "txn_count",
     )

@@ -14,12 +14,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerloom import fixed_values as fv
 from ledgerloom.functions import money, text
 from ledgerloom.functions.vectors import let
 from ledgerloom.operators.rollups import top_per
+from ledgerloom.session import checkpointed
 
 VERDICT = (
     "flow string, category string, subcategory string, merchant string, confidence string, reason string, "
@@ -75,14 +76,29 @@ def longest_pattern(descriptions: DataFrame, rules: DataFrame) -> DataFrame:
     """
     width = fv.MIN_ALIAS_CHARS
     payload = F.struct(*rules.columns).alias("rule")
-    keyed = rules.filter(F.length("pattern") >= width).select(F.substring("pattern", 1, width).alias("gram"), payload)
-    texts = descriptions.select("cleaned").distinct()
-    probes = texts.select("cleaned", F.explode(text.grams(F.col("cleaned"), width)).alias("gram"))
-    hits = probes.join(keyed, "gram").filter(F.contains("cleaned", F.col("rule.pattern"))).select("cleaned", "rule")
-    # shorter patterns are rare (the pack loader rejects them); they equal a window of their own width
+    # each pattern is looked up by that of its windows which the fewest patterns share: many begin alike
+    cut = rules.filter(F.length("pattern") >= width).select(
+        payload, F.explode(F.sequence(F.lit(1), F.length("pattern") - width + 1)).alias("offset")
+    ).withColumn("gram", F.substring(F.col("rule.pattern"), F.col("offset"), F.lit(width)))
+    shared = cut.withColumn("sharing", F.count(F.lit(1)).over(Window.partitionBy("gram")))
+    keyed = top_per(shared, ["rule.pattern", "rule.seq"], [F.col("sharing"), F.col("offset")], 1).drop("sharing")
+    # cleaned once and written: a filter on a window's width would else be pushed below the cleaning, which then runs again
+    texts = checkpointed(descriptions.select("cleaned").distinct())
+
+    def windows(of: DataFrame, size: int) -> DataFrame:
+        """Every window, cut after the explode so that it stays in generated code; repeats fall in the last aggregate."""
+        places = of.filter(F.length("cleaned") >= size).select("cleaned", F.explode(F.sequence(F.lit(1), F.length("cleaned") - size + 1)).alias("at"))
+        return places.select("cleaned", "at", F.substring(F.col("cleaned"), F.col("at"), F.lit(size)).alias("gram"))
+
+    found = windows(texts, width).join(keyed, "gram")
+    begin = F.col("at") - F.col("offset") + 1
+    hits = found.filter((begin >= 1) & (F.substring(F.col("cleaned"), begin, F.length("rule.pattern")) == F.col("rule.pattern"))).select("cleaned", "rule")
+    # shorter patterns are rare (the pack loader rejects them); they equal a window of their own width. A width that
+    # no pattern has cuts no windows
     short = rules.filter((F.length("pattern") < width) & (F.col("pattern") != "")).select(F.col("pattern").alias("gram"), payload)
-    narrow = F.concat(*[text.grams(F.col("cleaned"), w) for w in range(1, width)])
-    short_hits = texts.select("cleaned", F.explode(narrow).alias("gram")).join(short, "gram").select("cleaned", "rule")
+    widths = short.agg(F.collect_set(F.length("gram")).alias("widths")).scalar()  # at most width - 1 numbers
+    narrow = reduce(DataFrame.union, [windows(texts.filter(F.array_contains(widths, w)), w) for w in range(1, width)])
+    short_hits = narrow.join(short, "gram").select("cleaned", "rule")
     size = F.length("rule.pattern")
     best = F.struct((-size).alias("size"), F.col("rule.seq").alias("seq"))
     return hits.unionByName(short_hits).groupBy("cleaned").agg(

@@ -98,17 +98,19 @@ def headroom(deductions: DataFrame) -> DataFrame:
     return limited.withColumns({"headroom": F.greatest(left, F.lit(0).cast("bigint")), "maxed": left <= 0})
 
 
-def detected_sections(ledger: DataFrame, households: DataFrame) -> DataFrame:
+def detected_sections(ledger: DataFrame, households: DataFrame, with_basic: bool = False) -> DataFrame:
     """Tagged sections per raw spelling, plus rent allowance where no row is tagged with it.
 
-    `households`: owner_id, hra_received, basic_salary, city_tier.
+    `households`: owner_id, hra_received, basic_salary, city_tier. The allowance derived from rent rows
+    knows no basic pay unless `with_basic` asks for it.
     """
     period = rollups.PERIOD
     tagged = rollups.tax_sections(ledger).withColumn("section", canonical_section(F.col("tax_section"))).filter("section is not null")
     tagged = tagged.select(*period, "section", money.to_major(F.col("minor")).alias("raw_amount"), "evidence")
     has_hra = tagged.filter("section = 'HRA'").select(*period)
     rent = rollups.rent_totals(ledger).filter("rent_minor > 0").join(has_hra, period, "left_anti").join(households, "owner_id", "left")
-    claim = hra_exemption(money.to_major(F.col("rent_minor")), F.col("hra_received"), F.col("basic_salary"), F.col("city_tier"))
+    basic = F.col("basic_salary") if with_basic else F.lit(None).cast("bigint")
+    claim = hra_exemption(money.to_major(F.col("rent_minor")), F.col("hra_received"), basic, F.col("city_tier"))
     derived = rent.select(*period, F.lit("HRA").alias("section"), claim.alias("raw_amount"), F.col("rent_rows").alias("evidence"))
     return tagged.unionByName(derived)
 

@@ -310,7 +310,7 @@ def links_of(linked: DataFrame) -> DataFrame:
     )
     kinds = ends.groupBy(*pair).agg(F.bool_or("card_bill").alias("card_bill"))
     return kinds.select(
-        F.substring(F.concat_ws("_", F.lit("lnk"), "debit_txn_id", "credit_txn_id"), 1, 80).alias("link_id"),
+        text.shortened(F.concat_ws("_", F.lit("lnk"), "debit_txn_id", "credit_txn_id"), 80).alias("link_id"),
         *pair, F.when(F.col("card_bill"), "cc_payment").otherwise("account_transfer").alias("kind"),
         F.lit("high").alias("confidence"),
     )

@@ -28,6 +28,11 @@ def minor(value: Column) -> Column:
 RAILS = {"1-URGENT": "UPI", "2-HIGH": "IMPS", "3-MEDIUM": "NEFT", "4-NOT SPECIFIED": "POS", "5-LOW": "ACH"}
 
 
+def sql_capped(made: str, limit: int) -> str:
+    """An identifier that is shortened where it is over the limit."""
+    return f"CASE WHEN length({made}) <= {limit} THEN {made} ELSE substr({made}, 1, {limit - 17}) || '_' || substr(sha256({made}), 1, 16) END"
+
+
 def ledger_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One transaction per order: account = customer, document = customer-year."""
     o = table(spark, sf_dir, "orders")

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerloom import fixed_values as fv
-from ledgerloom.functions import text
-from ledgerloom.operators import dedup, recurrence, transfers
+from ledgerloom.functions import period, text
+from ledgerloom.operators import dedup, recurrence, rules, transfers
 from ledgerloom.plans import bindings as b
 from ledgerloom.plans.registry import query
+from ledgerloom.session import checkpointed
+from ledgerloom.streaming import incremental
 
 # ------------------------------------------------------------------ overlapping statements
 ROW = ["owner_id", "txn_id", "document_id", "own_account_id", "txn_date", "amount", "raw_description", "seq"]
@@ -96,6 +98,47 @@ def dedup_cross_doc(spark, sf_dir):
     return marked.select("txn_id", "document_id", "kept")
 
 
+SQL_INGESTED = f"""
+first_kept AS (
+  SELECT * FROM (SELECT *, first_value(document_id) OVER (PARTITION BY {KEY} ORDER BY seq, txn_id) AS claimer FROM keyed WHERE seq % 2 = 0)
+  WHERE document_id = claimer),
+second_kept AS (
+  SELECT * FROM (SELECT *, first_value(document_id) OVER (PARTITION BY {KEY} ORDER BY seq, txn_id) AS claimer FROM keyed WHERE seq % 2 = 1) k
+  WHERE document_id = claimer AND NOT EXISTS (SELECT 1 FROM first_kept f WHERE {' AND '.join(f'f.{c.strip()} = k.{c.strip()}' for c in KEY.split(','))} AND f.document_id <> k.document_id))"""
+
+
+@query(
+    "incremental_ingest",
+    on_statements(
+        "SELECT owner_id, txn_id, document_id, amount FROM first_kept UNION ALL SELECT owner_id, txn_id, document_id, amount FROM second_kept", SQL_INGESTED
+    ),
+)
+def incremental_ingest(spark, sf_dir):
+    """Statements whose rows arrive in two batches, most documents in both, through the batch functions of the stream."""
+    landed = statement_rows(spark, sf_dir).withColumns(
+        {
+            "own_account_kind": F.lit("bank"), "institution_id": F.lit("i"), "currency": F.lit("INR"), "counterparty_raw": F.lit(None).cast("string"),
+            "fy_key": period.fy_key(F.col("txn_date")), "parse_id": F.lit(1).cast("bigint"),
+        }
+    )
+    nothing = incremental.Knowledge(
+        profiles=lambda s: s.createDataFrame([], rules.PROFILE_SCHEMA),
+        overrides=lambda s: s.createDataFrame(
+            [], "owner_id bigint, match_signature string, seq int, flow string, category string, subcategory string, merchant string, tax_section string, note string"
+        ),
+        aliases=lambda s: s.createDataFrame(
+            [], "pattern string, canonical_merchant string, category string, subcategory string, source string, confidence string, seq int"
+        ),
+        counterparties=lambda s: s.createDataFrame(
+            [], "owner_id bigint, entries array<struct<id:string,kind:string,is_own_money:boolean,vpa_fragments:array<string>,name_tokens:array<string>,last4:array<string>>>"
+        ),
+    )
+    even = F.col("seq") % 2 == 0
+    first = checkpointed(incremental.ingest(landed.filter(even), landed.limit(0), nothing))
+    second = incremental.ingest(landed.filter(~even), first, nothing)
+    return incremental.current_rows(first.unionByName(second)).select("owner_id", "txn_id", "document_id", "amount")
+
+
 @query(
     "dedup_counts",
     on_statements(
@@ -357,7 +400,7 @@ def subscription_candidates(spark, sf_dir):
 
 SQL_SUBSCRIPTIONS = f"""
 subscriptions AS (
-  SELECT owner_id, 'sub_' || substr(trim(regexp_replace(subscription_key, '[^a-z0-9]+', '-', 'g'), '-'), 1, 48) AS subscription_id,
+  SELECT owner_id, 'sub_' || {b.sql_capped("trim(regexp_replace(subscription_key, '[^a-z0-9]+', '-', 'g'), '-')", 48)} AS subscription_id,
     CASE WHEN known THEN label END AS known_merchant, amount, cadence, CASE WHEN known THEN 'confirmed' ELSE 'likely' END AS status,
     first_seen, last_seen, occurrences, category,
     CASE cadence WHEN 'monthly' THEN last_seen + INTERVAL 1 MONTH WHEN 'quarterly' THEN last_seen + INTERVAL 3 MONTH ELSE last_seen + INTERVAL 12 MONTH END::DATE AS next_charge
@@ -552,7 +595,7 @@ def transfer_pairs(spark, sf_dir):
 @query(
     "transfer_links",
     on_legs(
-        """SELECT substr('lnk_' || debit_txn_id || '_' || credit_txn_id, 1, 80) AS link_id, p.owner_id, debit_txn_id, credit_txn_id,
+        f"""SELECT {b.sql_capped("'lnk_' || debit_txn_id || '_' || credit_txn_id", 80)} AS link_id, p.owner_id, debit_txn_id, credit_txn_id,
         CASE WHEN d.card_bill OR c.card_bill THEN 'cc_payment' ELSE 'account_transfer' END AS kind, 'high' AS confidence
         FROM pairs p JOIN legs d ON d.txn_id = debit_txn_id JOIN legs c ON c.txn_id = credit_txn_id""",
         SQL_PAIRS,

@@ -74,10 +74,11 @@ txns AS (SELECT owner_id, 't' || vec_id AS txn_id, u, institution_id, credit, (C
     'UPI/' || vec_id || '/' || category || ' shop ' || merchant AS raw_description, merchant, category
   FROM (SELECT *, (flow = 'income') <> (vec_id % 35 = 0) AS credit FROM unit WHERE vec_id % 5 = 0)),
 dims AS (SELECT unnest(range(1, {DIMENSIONS + 1})) AS d),
-means AS (SELECT owner_id, label_id, d, avg(u[d]) AS v FROM examples, dims GROUP BY ALL),
-head AS (SELECT c.owner_id, c.label_id, c.flow, c.category, c.subcategory, c.n AS examples, ln(c.n / (SELECT count(*) FROM examples e WHERE e.owner_id = c.owner_id)) AS bias,
+trained AS (SELECT * FROM examples WHERE embedding_model_id = 'm1'),
+means AS (SELECT owner_id, label_id, d, avg(u[d]) AS v FROM trained, dims GROUP BY ALL),
+head AS (SELECT c.owner_id, c.label_id, c.flow, c.category, c.subcategory, c.n AS examples, ln(c.n / (SELECT count(*) FROM trained e WHERE e.owner_id = c.owner_id)) AS bias,
     list_transform(w, lambda x: x / sqrt(list_dot_product(w, w))) AS weight
-  FROM (SELECT owner_id, label_id, flow, category, subcategory, count(*)::BIGINT AS n FROM examples GROUP BY ALL) c
+  FROM (SELECT owner_id, label_id, flow, category, subcategory, count(*)::BIGINT AS n FROM trained GROUP BY ALL) c
   JOIN (SELECT owner_id, label_id, list(v ORDER BY d) AS w FROM means GROUP BY ALL) m USING (owner_id, label_id))"""
 
 SQL_SCORES = """
@@ -127,13 +128,13 @@ def pool_embeddings(spark, sf_dir):
     on_labels("SELECT owner_id, label_id, examples, d - 1 AS dim, floor(weight[d] * 1000000 + 0.5) / 1000000 AS weight, floor(bias * 1000000 + 0.5) / 1000000 AS bias FROM head, dims"),
 )
 def train_head(spark, sf_dir):
-    head = labels.train_head(examples(spark, sf_dir), DIMENSIONS)
+    head = labels.train_head(examples(spark, sf_dir), DIMENSIONS, MODEL)
     rows = head.select("owner_id", "label_id", "examples", "bias", F.posexplode("weight").alias("dim", "weight"))
     return rows.withColumns({"dim": F.col("dim").cast("bigint"), "weight": vectors.round6(F.col("weight")), "bias": vectors.round6(F.col("bias"))})
 
 
 def predicted(spark, sf_dir):
-    head = labels.train_head(examples(spark, sf_dir), DIMENSIONS)
+    head = labels.train_head(examples(spark, sf_dir), DIMENSIONS, MODEL)
     return labels.predict(transactions(spark, sf_dir), head)
 
 
@@ -159,7 +160,7 @@ def nearest_examples(spark, sf_dir):
 
 @query("example_compat", on_labels("SELECT owner_id, txn_id, evidence, any_compatible FROM evidence", SQL_SCORES, SQL_DECIDED))
 def example_compat(spark, sf_dir):
-    counted = labels.count_evidence(predicted(spark, sf_dir), examples(spark, sf_dir), MODEL)
+    counted = labels.count_evidence(predicted(spark, sf_dir), examples(spark, sf_dir), MODEL, DIMENSIONS)
     return counted.select("owner_id", "txn_id", "evidence", "any_compatible")
 
 
@@ -167,12 +168,12 @@ def decided(spark, sf_dir):
     rows = predicted(spark, sf_dir)
     known = examples(spark, sf_dir)
     nearest = labels.nearest_examples(rows, known, MODEL, k=1).select("owner_id", "txn_id", F.col("merchant").alias("nearest_merchant"))
-    return labels.decide(labels.count_evidence(rows, known, MODEL).join(nearest, ["owner_id", "txn_id"], "left"))
+    return labels.decide(labels.count_evidence(rows, known, MODEL, DIMENSIONS).join(nearest, ["owner_id", "txn_id"], "left"))
 
 
 @query("confidence_gate", on_labels("SELECT owner_id, txn_id, sure AS confidence FROM gated", SQL_SCORES, SQL_DECIDED))
 def confidence_gate(spark, sf_dir):
-    rows = labels.count_evidence(predicted(spark, sf_dir), examples(spark, sf_dir), MODEL)
+    rows = labels.count_evidence(predicted(spark, sf_dir), examples(spark, sf_dir), MODEL, DIMENSIONS)
     sure = labels.confidence(F.col("probability"), F.col("evidence"), F.col("margin"))
     return rows.select("owner_id", "txn_id", sure.alias("confidence"))
 

@@ -26,8 +26,8 @@ def stored_items(spark, sf_dir):
 @query(
     "review_items_rebuild",
     on_lines(
-        """SELECT item_id, owner_id, kind, ref_id, 'old' AS title, '' AS detail, 'warn' AS severity, status FROM review_items WHERE kind NOT IN ('uncategorised', 'low_confidence')
-        UNION ALL SELECT substr('rev_txn_' || txn_id, 1, 80), owner_id, CASE WHEN lower(category) = 'uncategorised' THEN 'uncategorised' ELSE 'low_confidence' END, txn_id,
+        f"""SELECT item_id, owner_id, kind, ref_id, 'old' AS title, '' AS detail, 'warn' AS severity, status FROM review_items WHERE kind NOT IN ('uncategorised', 'low_confidence')
+        UNION ALL SELECT {b.sql_capped("'rev_txn_' || txn_id", 80)}, owner_id, CASE WHEN lower(category) = 'uncategorised' THEN 'uncategorised' ELSE 'low_confidence' END, txn_id,
           'Please check: ' || substr(raw_description, 1, 48), reason, 'info', 'open' FROM ledger_lines WHERE review_required""",
         SQL_OPEN_ITEMS,
     ),

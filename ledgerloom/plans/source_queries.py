@@ -439,7 +439,10 @@ def transfer_storage_category(spark, sf_dir):
 
 @query(
     "stable_ids",
-    on_lines("SELECT txn_id, substr(regexp_replace('pred_' || raw_description || '_' || txn_id, '[^a-zA-Z0-9_-]', '_', 'g'), 1, 60) AS stable_id FROM ledger_lines"),
+    on_lines(
+        "SELECT txn_id, CASE WHEN length(whole) <= 60 THEN made ELSE substr(made, 1, 43) || '_' || substr(sha256(whole), 1, 16) END AS stable_id "
+        "FROM (SELECT txn_id, 'pred_' || raw_description || '_' || txn_id AS whole, regexp_replace(whole, '[^a-zA-Z0-9_-]', '_', 'g') AS made FROM ledger_lines)"
+    ),
 )
 def stable_ids(spark, sf_dir):
     return b.ledger_lines(spark, sf_dir).select("txn_id", text.stable_id(60, "pred", F.col("raw_description"), F.col("txn_id")).alias("stable_id"))

@@ -145,23 +145,20 @@ SQL_DETECTED = f"""
 households AS (SELECT owner_id, CASE WHEN owner_id % 5 <> 0 THEN n * 100 END AS hra_received, CASE WHEN owner_id % 2 = 0 THEN n * 1000 + 7 END AS basic,
     CASE WHEN owner_id % 3 = 0 THEN 0.5::DOUBLE ELSE 0.4::DOUBLE END AS city
   FROM (SELECT CAST(floor(c_custkey / {b.ACCOUNTS_PER_OWNER}) AS BIGINT) AS owner_id, sum(c_nationkey)::BIGINT AS n FROM customer GROUP BY 1)),
-spelled AS (SELECT * REPLACE (CASE WHEN tax_section = 'other' AND owner_id % 7 = 0 THEN 'hra' ELSE tax_section END AS tax_section) FROM ledger_lines WHERE fy_key IN ('{"', '".join(YEARS)}')),
+spelled AS (SELECT * REPLACE (CASE WHEN tax_section = 'other' AND owner_id % 7 = 0 THEN 'hra' ELSE tax_section END AS tax_section) FROM ledger_lines),
 tagged AS (SELECT owner_id, fy_key, {sql_section('tax_section')} AS section, {b.sql_major('sum(abs(amount))')} AS raw_amount, count(*)::BIGINT AS evidence
   FROM spelled WHERE {sql_section('tax_section')} IS NOT NULL GROUP BY owner_id, fy_key, tax_section),
 rents AS (SELECT owner_id, fy_key, {b.sql_major('sum(abs(amount))')} AS rent, count(*)::BIGINT AS evidence FROM spelled
   WHERE flow = 'expense' AND lower(subcategory) = 'rent' AND (owner_id, fy_key) NOT IN (SELECT owner_id, fy_key FROM tagged WHERE section = 'HRA') GROUP BY owner_id, fy_key),
 detected AS (SELECT * FROM tagged UNION ALL
-  SELECT owner_id, fy_key, 'HRA', CASE WHEN coalesce(hra_received, 0) <= 0 THEN 0
-    WHEN coalesce(basic, 0) > 0 THEN greatest(0, {b.sql_round('least(hra_received::DOUBLE, rent - basic * 0.1::DOUBLE, city * basic)')})
-    ELSE least(hra_received, rent) END::BIGINT, evidence FROM rents LEFT JOIN households USING (owner_id)),
+  SELECT owner_id, fy_key, 'HRA', CASE WHEN coalesce(hra_received, 0) <= 0 THEN 0 ELSE least(hra_received, rent) END::BIGINT, evidence FROM rents LEFT JOIN households USING (owner_id)),
 capped AS (SELECT *, CASE section WHEN '80C' THEN 150000 WHEN '80CCD(1B)' THEN 50000 WHEN '80D' THEN 75000 WHEN '24(b)' THEN 200000 END::BIGINT AS cap,
   least(raw_amount, coalesce(cap, raw_amount))::BIGINT AS amount FROM detected)"""
 
 
 @query("deduction_caps", on_lines("SELECT owner_id, fy_key, section, raw_amount, evidence, cap, amount FROM capped", SQL_DETECTED))
 def deduction_caps(spark, sf_dir):
-    ledger = spelled(spark, sf_dir).filter(F.col("fy_key").isin(YEARS))
-    return tax.capped(tax.detected_sections(ledger, households(spark, sf_dir)))
+    return tax.capped(tax.detected_sections(spelled(spark, sf_dir), households(spark, sf_dir)))
 
 
 @query(
@@ -178,7 +175,7 @@ def headroom(spark, sf_dir):
         f"SELECT owner_id, fy_key, gross, itemised, {', '.join(VIEW)}, {VERDICT} FROM payers JOIN old_out USING (owner_id, fy_key) JOIN new_out USING (owner_id, fy_key)",
         SQL_DETECTED,
         f"""payers AS (SELECT i.owner_id, i.fy_key, i.gross, coalesce(d.itemised, 0)::BIGINT AS itemised, 0 AS employer_nps
-          FROM (SELECT owner_id, fy_key, sum({b.sql_major('amount')})::BIGINT AS gross FROM spelled WHERE {SQL_INCOME} GROUP BY ALL HAVING gross > 0) i
+          FROM (SELECT owner_id, fy_key, sum({b.sql_major('amount')})::BIGINT AS gross FROM spelled WHERE {SQL_INCOME} AND fy_key IN ('{"', '".join(YEARS)}') GROUP BY ALL HAVING gross > 0) i
           LEFT JOIN (SELECT owner_id, fy_key, sum(amount) AS itemised FROM capped GROUP BY ALL) d USING (owner_id, fy_key))""",
         sql_slabs("old"), sql_slabs("new"),
         sql_regime("old", "payers", OLD_X, "owner_id, fy_key"), sql_regime("new", "payers", NEW_X, "owner_id, fy_key"),

@@ -3,6 +3,10 @@
 There is no stream state to lose. What makes a retried batch harmless is that ids are
 deterministic and every write replaces one partition: batch N owns `ledger/batch=N`. Late rows
 need no watermark, because stored keys are read again for every batch.
+
+A document is replaced by parse, not by batch: rows carry `parse_id` (null counts as 0) and the rows of a
+document's highest parse are current, in however many files and batches they came. A parse
+that found nothing lands one row with a null txn_id, so that it too replaces the earlier one.
 """
 
 from __future__ import annotations
@@ -19,8 +23,9 @@ from ledgerloom.operators import dedup, recurrence, rules, transfers
 LANDED = (
     "owner_id bigint, txn_id string, document_id string, own_account_id string, own_account_kind string, "
     "institution_id string, txn_date date, amount bigint, currency string, raw_description string, "
-    "counterparty_raw string, seq bigint, fy_key string"
+    "counterparty_raw string, seq bigint, fy_key string, parse_id bigint"
 )
+PARSE = ["owner_id", "document_id", "parse_id"]
 
 
 @dataclass(frozen=True)
@@ -44,12 +49,16 @@ def stored_ledger(spark: SparkSession, folder: str, schema: StructType) -> DataF
 
 
 def ingest(batch: DataFrame, stored: DataFrame, knowledge: Knowledge) -> DataFrame:
-    """One batch to stored ledger rows: dedup, classify, link, finalise."""
+    """One batch to stored ledger rows: dedup, classify, link, finalise.
+
+    Superseded rows are no claims, and rows of a parse that is already superseded are left out. Rows
+    that announce an empty parse are kept as they are.
+    """
     spark = batch.sparkSession
-    documents = batch.select("owner_id", "document_id").distinct()
-    # a re-parsed document replaces itself: its stored rows are no claim against the batch
-    others = stored.join(documents, ["owner_id", "document_id"], "left_anti")
-    unique = dedup.mark_duplicates(batch, others).filter("kept").drop("kept", "signature", "account_key", "doc_key")
+    parses = latest_parses(stored.select(*PARSE).unionByName(batch.select(*PARSE)))
+    rows = of_latest(batch.filter("txn_id is not null"), parses)
+    claims = of_latest(stored.filter("txn_id is not null"), parses)
+    unique = dedup.mark_duplicates(rows, claims, own_document=False).filter("kept").drop("kept", "signature", "account_key", "doc_key")
     classified = rules.classify(
         unique, knowledge.profiles(spark), knowledge.overrides(spark), knowledge.aliases(spark), recurrence.recurrence_index(unique)
     )
@@ -62,7 +71,7 @@ def ingest(batch: DataFrame, stored: DataFrame, knowledge: Knowledge) -> DataFra
             "prev_category": F.lit(None).cast("string"),
         }
     )
-    return rules.finalize(decided)
+    return rules.finalize(decided).unionByName(batch.filter("txn_id is null"), allowMissingColumns=True)
 
 
 def batch_writer(folder: str, schema: StructType, knowledge: Knowledge) -> Callable[[DataFrame, int], None]:
@@ -95,14 +104,26 @@ def start(
     )
 
 
+def latest_parses(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("owner_id", "document_id").agg(F.max(F.coalesce("parse_id", F.lit(0).cast("bigint"))).alias("_latest"))
+
+
+def of_latest(rows: DataFrame, parses: DataFrame) -> DataFrame:
+    """Rows of their document's latest parse; a row without a document is never superseded."""
+    newest = F.col("_latest").isNull() | (F.coalesce("parse_id", F.lit(0).cast("bigint")) == F.col("_latest"))
+    return rows.join(parses, ["owner_id", "document_id"], "left").filter(newest).select(*rows.columns)
+
+
 def current_rows(ledger: DataFrame) -> DataFrame:
-    """Stored rows of the latest batch of every document."""
-    latest = ledger.groupBy("owner_id", "document_id").agg(F.max("batch").alias("batch"))
-    return ledger.join(latest, ["owner_id", "document_id", "batch"], "left_semi")
+    """Stored rows of the latest parse of every document."""
+    return of_latest(ledger, latest_parses(ledger)).filter("txn_id is not null")
+
 
+def project(ledger: DataFrame, items: DataFrame, previous: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Derived tables over the whole ledger: relinked rows, links, subscriptions, review items.
 
-def project(ledger: DataFrame, items: DataFrame) -> dict[str, DataFrame]:
-    """Derived tables over the whole ledger: relinked rows, links, subscriptions, review items."""
+    `previous` are the stored subscriptions, whose statuses survive.
+    """
     from ledgerloom.operators import review
 
     linked = transfers.link_transfers(current_rows(ledger))
@@ -110,6 +131,6 @@ def project(ledger: DataFrame, items: DataFrame) -> dict[str, DataFrame]:
     return {
         "ledger": relinked,
         "links": transfers.links_of(linked),
-        "subscriptions": recurrence.detect_subscriptions(relinked),
+        "subscriptions": recurrence.detect_subscriptions(relinked, previous),
         "review_items": review.rebuild_items(items, relinked),
     }

@@ -164,16 +164,23 @@ def test_toy_head(spark):
     examples = spark.createDataFrame(
         [(1, f"g{i}", "Green", "expense", "Groceries", None, None, [1.0, 0.05 * i], "m") for i in range(3)]
         + [(1, f"r{i}", "Ride", "expense", "Transport", None, None, [0.05 * i, 1.0], "m") for i in range(3)]
-        + [(1, "bad", "Bad", "expense", "Odd", None, None, [1.0], "m")],
+        + [(1, "bad", "Bad", "expense", "Odd", None, None, [1.0], "m"), (1, "none", "None", "expense", "Groceries", None, None, None, "m")]
+        + [(1, "far", "Far", "expense", "Foreign", None, None, [1.0, 0.0], "another")],
         "owner_id bigint, example_id string, merchant string, flow string, category string, subcategory string, institution_id string, embedding array<double>, embedding_model_id string",
     )
     rows = spark.createDataFrame([(1, "t", [2.0, 0.0], None, -100)], "owner_id bigint, txn_id string, embedding array<double>, institution_id string, amount bigint")
-    found = labels.predict(rows, labels.train_head(examples, 2))
+    found = labels.predict(rows, labels.train_head(examples, 2, "m"))
+    assert {r.category for r in labels.train_head(examples, 2, "m").collect()} == {"Groceries", "Transport"}
+    counted = labels.count_evidence(found, examples, "m", 2).first()
+    assert counted.evidence == 3 and counted.any_compatible
+    odd = spark.createDataFrame([(1, "short", [2.0], None, -1), (1, "null", None, None, -1), (2, "nohead", [1.0, 0.0], None, -1)], rows.schema)
+    kept = labels.predict(odd, labels.train_head(examples, 2, "m")).collect()
+    assert {(r.txn_id, r.label_id, r.probability) for r in kept} == {("short", None, None), ("null", None, None), ("nohead", None, None)}
     best = found.first()
     assert best.predicted_category == "Groceries" and best.probability > 0.9 and best.margin > 0.75
     nearest = labels.nearest_examples(found, examples, "m").orderBy("position").collect()
     assert [n.example_id for n in nearest] == ["g0", "g1", "g2"]
-    assert labels.train_head(examples.limit(0), 2).isEmpty()
+    assert labels.train_head(examples.limit(0), 2, "m").isEmpty()
 
 
 def test_nearest_is_the_same_in_many_blocks(spark, monkeypatch):

@@ -7,6 +7,8 @@ from ledgerloom.plans import catalog
 from tests.compare import compare, duck
 
 SF_DIR = "/root/testdata/sf0.001"
+#: Queries that find nothing in the smallest tables.
+MAY_BE_EMPTY = {"layer_recurrence", "search_amount"}
 QUERIES, ORACLES = catalog.queries(), catalog.oracle_sql()
 
 
@@ -29,4 +31,4 @@ def test_entry(spark):
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
     problem = compare(spark, con, QUERIES[name], ORACLES.get(name), SF_DIR)
-    assert problem is None or problem.startswith("EMPTY"), problem
+    assert problem is None or (name in MAY_BE_EMPTY and problem.startswith("EMPTY")), problem

@@ -13,8 +13,9 @@ LEDGER = (
 )
 
 
-def landed(txn, doc, text, amount, day, seq):
-    return (1, txn, doc, "a", "bank", "i", datetime.date(2024, 4, day), amount, "INR", text, None, seq, "2024-25")
+def landed(txn, doc, text, amount, day, seq, parse=None):
+    date = None if day is None else datetime.date(2024, 4, day)
+    return (1, txn, doc, "a", "bank", "i", date, amount, "INR", text, None, seq, "2024-25", parse)
 
 
 def knowledge():
@@ -48,3 +49,37 @@ def test_two_batches_and_a_rerun(spark, tmp_path):
     tables = incremental.project(incremental.stored_ledger(spark, folder, schema), items)
     assert [r.ref_id for r in tables["review_items"].collect()] == ["t4"]
     assert tables["ledger"].count() == 3
+
+
+def run_batches(spark, folder, *batches):
+    """Current rows after the batches, each written as the stream would."""
+    schema = spark.createDataFrame([], LEDGER).schema
+    write = incremental.batch_writer(folder, schema, knowledge())
+    for number, rows in enumerate(batches):
+        write(spark.createDataFrame(rows, incremental.LANDED), number)
+    return {r.txn_id for r in incremental.current_rows(incremental.stored_ledger(spark, folder, schema)).collect()}
+
+
+def test_a_document_in_two_files(spark, tmp_path):
+    first = [landed("t1", "d1", "plum cafe", -100, 1, 1, 1), landed("t9", "d2", "other", -5, 2, 2, 1)]
+    second = [landed("t2", "d1", "plum cafe", -100, 1, 3, 1), landed("t8", "d3", "plum cafe", -100, 1, 4, 1)]
+    # t2 equals t1 of the same document and is real; t8 repeats it from another one
+    assert run_batches(spark, str(tmp_path), first, second) == {"t1", "t2", "t9"}
+
+
+def test_superseded_rows_claim_nothing(spark, tmp_path):
+    first = [landed("t1", "d1", "plum cafe", -100, 1, 1, 1)]
+    again = [landed("t2", "d1", "unknown shop", -7, 1, 2, 2)]
+    later = [landed("t3", "d9", "plum cafe", -100, 1, 3, 1), landed("t0", "d1", "late old parse", -1, 1, 4, 1)]
+    assert run_batches(spark, str(tmp_path), first, again, later) == {"t2", "t3"}
+
+
+def test_an_empty_parse_removes_the_rows(spark, tmp_path):
+    first = [landed("t1", "d1", "plum cafe", -100, 1, 1, 1), landed("t2", "d2", "x shop", -3, 1, 2, 1)]
+    empty = [landed(None, "d1", None, None, None, None, 2)]
+    assert run_batches(spark, str(tmp_path), first, empty) == {"t2"}
+
+
+def test_null_keys_are_kept_once(spark, tmp_path):
+    rows = [landed("t1", "d1", "plum cafe", -100, None, 1, 1), landed("t2", "d2", "plum cafe", -100, None, 2, 1), landed("t3", None, "x", None, 1, 3, 1)]
+    assert run_batches(spark, str(tmp_path), rows) == {"t1", "t3"}

@@ -76,3 +76,16 @@ def test_rounding_goes_up_on_halves(spark):
 def test_bytes_and_bands(spark):
     assert values(spark, money.human_bytes, [0, 1023, 1536, 10 * 1024, 5 * 1024**3], "bigint") == ["0 B", "1023 B", "1.5 KB", "10 KB", "5.0 GB"]
     assert values(spark, money.amount_bucket, [9_949, 9_950, -2_500_000], "bigint") == ["income:0-100", "income:100-500", "expense:25000+"]
+
+
+def test_long_ids_stay_apart(spark):
+    from ledgerloom.operators import tables
+
+    long = "x" * 200
+    df = spark.createDataFrame([(long + "1",), (long + "2",), ("short",)], "t string")
+    ids = [r.i for r in df.select(text.stable_id(60, "pred", F.col("t")).alias("i")).collect()]
+    assert len(set(ids)) == 3 and "pred_short" in ids and max(map(len, ids)) == 60
+    known = spark.createDataFrame([(1, "old", 5)], "k int, a string, b int")
+    fresh = spark.createDataFrame([(1, "z", 1), (1, "m", 2), (2, "n", 3), (2, "n", 3)], "k int, a string, b int")
+    got = sorted(tuple(r) for r in tables.upsert(known, fresh, ["k"], ["a"]).collect())
+    assert got == [(1, "m", 5), (2, "n", 3)]
