@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.words import ALNUM, Words, chunks
 
 WINDOW = 10  # consecutive words of a phrase
-SHARD_WORDS = 2_000_000  # words of one index; a longer document has an index of its own
+SHARD_WORDS = 1_000_000  # words of one index; a longer document has an index of its own
 CHUNK_BYTES = 2_000_000  # text whose words are found and hashed at once
 SAMPLE = 16  # every so many positions of a shard are kept for locating
 PHRASE_BYTES = 32_000_000  # benchmark text of one block; more text makes more blocks, searched one after another
