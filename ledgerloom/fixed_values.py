@@ -264,3 +264,28 @@ PACK_CONFIDENCES = ["high", "medium", "low"]
 PACK_STATUSES = ["active", "inactive", "merged", "watch"]
 PACK_SOURCE_TYPES = ["official", "provider", "trusted_aggregator", "curated"]
 PACK_REQUIRED_FRAGMENTS = ["-in:spam", "-in:trash"]
+PACK_RETRIEVED_PATTERN = r"^20\d{2}-\d{2}-\d{2}$"
+
+# -- fixed values: readable labels of unknown descriptors ----------------------------------
+LABEL_TIME_PATTERN = r"^\d{1,2}:\d{2}(?::\d{2})?\s*"
+LABEL_REF_GROUP_PATTERN = r"\(ref#?[^)]*\)"
+LABEL_REF_PATTERN = r"\bref#?\s*[0-9A-Za-z_]+"
+LABEL_CODE_PATTERN = r"\b(?=[a-z0-9]*\d)[a-z0-9]{7,}\b"
+LABEL_NUMBER_PATTERN = r"\b\d{3,}\b"
+LABEL_SIGN_PATTERN = r"[+|*/@]"
+LABEL_RAIL_PATTERN = r"\b(upi|imps|neft|rtgs|bil|ach|nach|pos|vps|c l)\b"
+LABEL_TAIL_PATTERN = r"(?:\s+(?:in|the|of|ltd|limite|limited))?\s+\d{1,3}$"
+LABEL_CUT_WORD_PATTERN = r"\s+\S*$"
+LABEL_CHARS = 36
+
+# -- fixed values: statement descriptions and masked numbers -------------------------------
+SIDE_GROUP_PATTERN = r"\((?:dr|cr)\)"
+SIDE_WORD_PATTERN = r"(^|\s)(?:dr|cr)(?=\s|$)"
+COLUMN_SIGN_PATTERN = r"[|]"
+REPEAT_MARK_NOISE_PATTERN = "[^a-z0-9]"
+REPEAT_MARK_CHARS = 40
+MASKED_LINE_PATTERN = r"^[\dxX* -]+$"
+MASK_SIGN_NOISE_PATTERN = "[^xX*]"
+MASKED_END_PATTERN = r"\d{4}$"
+MASKED_LEAST_SIGNS = 4
+MASKED_LENGTHS = (12, 19)

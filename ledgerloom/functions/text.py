@@ -161,22 +161,22 @@ def transfer_storage_category(category: Column, existing: Column) -> Column:
 
 def clean_label(raw: Column) -> Column:
     """A readable name for an unknown recurring descriptor, at most 36 characters."""
-    text = F.regexp_replace(raw, r"^\d{1,2}:\d{2}(?::\d{2})?\s*", "")
+    text = F.regexp_replace(raw, fv.LABEL_TIME_PATTERN, "")
     for regex in (
-        r"(?i)\(ref#?[^)]*\)",
-        pattern(r"\bref#?\s*[0-9A-Za-z_]+", True),
-        pattern(r"\b(?=[a-z0-9]*\d)[a-z0-9]{7,}\b", True),
-        pattern(r"\b\d{3,}\b"),
-        r"[+|*/@]",
-        pattern(r"\b(upi|imps|neft|rtgs|bil|ach|nach|pos|vps|c l)\b", True),
+        f"(?i){fv.LABEL_REF_GROUP_PATTERN}",
+        pattern(fv.LABEL_REF_PATTERN, True),
+        pattern(fv.LABEL_CODE_PATTERN, True),
+        pattern(fv.LABEL_NUMBER_PATTERN),
+        fv.LABEL_SIGN_PATTERN,
+        pattern(fv.LABEL_RAIL_PATTERN, True),
         BLANKS + "+",
     ):
         text = F.regexp_replace(text, regex, " ")
-    text = F.trim(F.regexp_replace(text, r"(?i)(?:\s+(?:in|the|of|ltd|limite|limited))?\s+\d{1,3}$", ""))
+    text = F.trim(F.regexp_replace(text, f"(?i){fv.LABEL_TAIL_PATTERN}", ""))
     text = F.coalesce(F.nullif(text, F.lit("")), F.trim(F.regexp_replace(raw, BLANKS + "+", " ")))
-    head = F.substring(text, 1, 36)
-    at_word = F.trim(F.regexp_replace(head, r"\s+\S*$", ""))
-    return F.when(F.length(text) <= 36, text).otherwise(F.coalesce(F.nullif(at_word, F.lit("")), head))
+    head = F.substring(text, 1, fv.LABEL_CHARS)
+    at_word = F.trim(F.regexp_replace(head, fv.LABEL_CUT_WORD_PATTERN, ""))
+    return F.when(F.length(text) <= fv.LABEL_CHARS, text).otherwise(F.coalesce(F.nullif(at_word, F.lit("")), head))
 
 
 def merchant_tokens(text: Column) -> Column:

@@ -100,7 +100,7 @@ def validate_seed_rows(rows: DataFrame) -> DataFrame:
         "source type domain": F.col("source_type").isin(fv.PACK_SOURCE_TYPES),
         "missing source name": _present("name"),
         "url is not https": F.col("url").startswith("https://"),
-        "retrieved_at format": F.col("retrieved_at").rlike(r"^20\d{2}-\d{2}-\d{2}$"),
+        "retrieved_at format": F.col("retrieved_at").rlike(fv.PACK_RETRIEVED_PATTERN),
     }
     label = F.concat(F.col("id"), F.lit(".sources["), F.col("no"), F.lit("]"))
     return per_row.unionByName(_violations(sources, label, source_checks))

@@ -120,7 +120,7 @@ def describe(raw: Column, tokens: Column) -> Column:
         return F.when(at > 0, cut).otherwise(rest)
 
     left = F.aggregate(tokens, without_first_date(raw), drop_first)
-    for regex in (r"(?i)\((?:dr|cr)\)", r"(?i)(^|\s)(?:dr|cr)(?=\s|$)", r"[|]", text.BLANKS + "+"):
+    for regex in (f"(?i){fv.SIDE_GROUP_PATTERN}", f"(?i){fv.SIDE_WORD_PATTERN}", fv.COLUMN_SIGN_PATTERN, text.BLANKS + "+"):
         left = F.regexp_replace(left, regex, " ")
     return F.trim(left)
 
@@ -168,7 +168,7 @@ def parse_statements(documents: DataFrame) -> DataFrame:
             "counterparty_raw": F.when(usable, counterparty(F.col("raw"))),
         }
     )
-    mark = F.substring(F.regexp_replace(F.lower("raw_description"), "[^a-z0-9]", ""), 1, 40)
+    mark = F.substring(F.regexp_replace(F.lower("raw_description"), fv.REPEAT_MARK_NOISE_PATTERN, ""), 1, fv.REPEAT_MARK_CHARS)
     rows = rows.withColumn("mark", F.when(F.col("reject").isNull(), mark))
     same = Window.partitionBy(*DOC, "txn_date", "amount", "mark").orderBy("row_no", "piece_no")
     repeat = F.col("reject").isNull() & (F.row_number().over(same) > 1)
@@ -195,9 +195,10 @@ def _number_in_line(line: Column) -> Column:
     labelled = F.regexp_replace(F.regexp_extract(line, _p(fv.ACCOUNT_HEADER_PATTERN, True), 1), r"\D", "")
     bare = edge_trim(line)
     compact = F.regexp_replace(bare, "[ -]", "")
-    masks = F.length(F.regexp_replace(compact, "[^xX*]", ""))
+    masks = F.length(F.regexp_replace(compact, fv.MASK_SIGN_NOISE_PATTERN, ""))
     masked = (
-        F.rlike(bare, F.lit(r"^[\dxX* -]+$")) & (masks >= 4) & F.length(compact).between(12, 19) & F.rlike(compact, F.lit(r"\d{4}$"))
+        F.rlike(bare, F.lit(fv.MASKED_LINE_PATTERN)) & (masks >= fv.MASKED_LEAST_SIGNS) & F.length(compact).between(*fv.MASKED_LENGTHS)
+        & F.rlike(compact, F.lit(fv.MASKED_END_PATTERN))
     )
     return F.when(F.length(labelled) >= 4, F.right(labelled, F.lit(4))).when(masked, F.right(compact, F.lit(4)))
 
