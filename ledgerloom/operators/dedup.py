@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerloom.functions import text
 from ledgerloom.operators.rollups import top_per
+from ledgerloom.session import checkpointed
 
 KEY = ["owner_id", "txn_date", "amount", "signature", "account_key"]
 PLACE = ["owner_id", "own_account_id", "txn_date", "amount"]
@@ -76,7 +77,8 @@ def suspected_pairs(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     different documents can ever be an answer, so no group is expanded into pairs.
     """
     usable = (F.col("doc_key") != "") & (F.col("account_key") != "") & (F.col("signature") != "")
-    rows = (
+    # narrow and written once: whole signatures, prefixes and candidates all read it
+    rows = checkpointed(
         with_key(stored.withColumn("phase", F.lit(0)))
         .unionByName(with_key(incoming.withColumn("phase", F.lit(1))))
         .filter(usable)

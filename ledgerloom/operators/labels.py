@@ -334,6 +334,23 @@ def example_rows(feedback: DataFrame) -> DataFrame:
     )
 
 
+def feedback_rows(feedback: DataFrame) -> DataFrame:
+    """Stored form of feedback (columns as for `example_rows`): one row per source and transaction."""
+    source = F.col("feedback_source")
+    return feedback.select(
+        "owner_id", text.stable_id(120, "fb", source, F.col("txn_id")).alias("feedback_id"), "txn_id",
+        text.signature(F.coalesce("raw_description", F.lit(""))).alias("signature"), "merchant", *LABEL, "amount", source.alias("feedback_source"),
+    )
+
+
+def mark_stale(heads: DataFrame, touched: DataFrame) -> DataFrame:
+    """Heads of owners whose training set changed; `needs_rebuild` trains them again before their next use."""
+    owners = touched.select("owner_id").distinct().withColumn("_touched", F.lit(True))
+    return heads.join(owners, "owner_id", "left").withColumn(
+        "stale", F.col("stale") | F.coalesce("_touched", F.lit(False))
+    ).select(*heads.columns)
+
+
 # ------------------------------------------------------------------- accept and reject
 def open_suggestions(suggestions: DataFrame, predictions: DataFrame, ledger: DataFrame) -> DataFrame:
     """Open suggestions with their prediction and transaction."""
@@ -371,6 +388,14 @@ def override_rows(accepted: DataFrame) -> DataFrame:
     )
 
 
+def accepted_feedback(accepted: DataFrame) -> DataFrame:
+    """Feedback of accepted suggestions, as `example_rows` takes it."""
+    return accepted.select(
+        "owner_id", "txn_id", F.coalesce("raw_description", F.lit("")).alias("raw_description"), F.col("predicted_merchant").alias("merchant"),
+        *[F.col(f"predicted_{c}").alias(c) for c in LABEL], "amount", "institution_id", F.lit("suggestion_accept").alias("feedback_source"),
+    )
+
+
 def close(table: DataFrame, ids: DataFrame, key: str, column: str, value: str) -> DataFrame:
     """Sets one column on the rows whose key is listed."""
     marked = ids.select("owner_id", key).distinct().withColumn("_hit", F.lit(True))

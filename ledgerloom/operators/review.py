@@ -7,10 +7,16 @@ from pyspark.sql.types import StructType
 
 from ledgerloom import fixed_values as fv
 from ledgerloom.functions import money, text
-from ledgerloom.operators import tables
+from ledgerloom.operators import labels, tables
 from ledgerloom.operators.rollups import top_per
+from ledgerloom.session import checkpointed
 
 FLOWS = list(fv.TAXONOMY)
+#: Keys of the tables that an assignment changes and its undo restores.
+JOURNALLED_KEYS = {
+    "transactions": ["owner_id", "txn_id"], "overrides": ["owner_id", "match_signature"], "aliases": ["owner_id", "alias_id"],
+    "feedback": ["owner_id", "feedback_id"], "examples": ["owner_id", "example_id"],
+}
 
 
 # ------------------------------------------------------------------------------- queue
@@ -165,16 +171,19 @@ def assign_batch(ledger: DataFrame, assignments: DataFrame) -> DataFrame:
     pending = ledger.filter("review_required").withColumn("described", F.coalesce("raw_description", F.lit(""))).withColumn(
         "signature", text.signature(F.col("described"))
     )
-    rows = pending.select("owner_id", "txn_id", "amount", "described", "signature")
+    # narrow and written once: matching, teaching and sweeping all read it
+    rows = checkpointed(pending.select("owner_id", "txn_id", "amount", "described", "signature"))
     matched = rows.join(renamed, ["owner_id", "signature"])
     tokens = alias_tokens(matched)
     rules = tokens.join(renamed, ["owner_id", "signature", "seq"]).withColumnRenamed("signature", "rule_signature")
 
     # substring sweep as an equality on four-character windows of the owner's pending texts
     rest = rows.join(renamed.select("owner_id", "signature"), ["owner_id", "signature"], "left_anti")
-    lowered = F.lower("described")
-    windows = rest.select("owner_id", "txn_id", "amount", "described", "signature", F.explode(text.grams(lowered)).alias("gram"))
-    hits = windows.join(rules.withColumn("gram", F.substring("alias_token", 1, fv.MIN_ALIAS_CHARS)), ["owner_id", "gram"])
+    lowered, width = F.lower("described"), fv.MIN_ALIAS_CHARS
+    taught = rest.join(rules.select("owner_id").distinct(), "owner_id", "left_semi").filter(F.length(lowered) >= width)
+    places = taught.select("*", F.explode(F.sequence(F.lit(1), F.length(lowered) - width + 1)).alias("at"))
+    windows = places.withColumn("gram", F.substring(lowered, F.col("at"), F.lit(width))).drop("at")
+    hits = windows.join(rules.withColumn("gram", F.substring("alias_token", 1, width)), ["owner_id", "gram"])
     hits = hits.filter(F.contains(lowered, F.col("alias_token")))
     payload = F.struct("seq", "merchant", "new_category", "new_subcategory", "canonical", "alias_token")
     swept = hits.groupBy("owner_id", "txn_id", "amount", "described", "signature").agg(F.min(payload).alias("rule")).select(
@@ -226,6 +235,53 @@ def assigned_aliases(changes: DataFrame) -> DataFrame:
     )
 
 
+def assignment_feedback(ledger: DataFrame, changes: DataFrame) -> DataFrame:
+    """Feedback on the rows assigned directly, as `labels.example_rows` takes it. Rows an alias swept are no human label."""
+    direct = changes.filter(F.col("layer") == fv.LAYER_OVERRIDE).select(
+        "owner_id", "txn_id", F.col("described").alias("raw_description"), "merchant", F.col("new_flow").alias("flow"),
+        F.col("new_category").alias("category"), F.col("new_subcategory").alias("subcategory"), "amount",
+        F.lit("review_assignment").alias("feedback_source"),
+    )
+    return direct.join(ledger.select("owner_id", "txn_id", "institution_id"), ["owner_id", "txn_id"])
+
+
+def resolve_items(items: DataFrame, changes: DataFrame) -> DataFrame:
+    """Items about a changed row are resolved."""
+    return labels.close(items, changes.select("owner_id", F.col("txn_id").alias("ref_id")), "ref_id", "status", "resolved")
+
+
+def assign(state: dict[str, DataFrame], assignments: DataFrame, operation: Column, created_at: Column) -> dict[str, DataFrame]:
+    """Every table after a batch of assignments, with the operation in the journal.
+
+    `state`: the tables of JOURNALLED_KEYS, review_items, heads (owner_id, stale, ...), images (of `before_image`) and journal
+    (owner_id, operation_id, created_at, consumed_at). Columns of a stored table that the batch says nothing about
+    are null in new rows.
+    """
+    ledger = state["transactions"]
+    changes = checkpointed(assign_batch(ledger, assignments))
+    feedback = checkpointed(assignment_feedback(ledger, changes))
+    fresh = {
+        "overrides": assigned_overrides(changes), "aliases": assigned_aliases(changes),
+        "feedback": labels.feedback_rows(feedback), "examples": labels.example_rows(feedback),
+    }
+    after = {"transactions": apply_assignments(ledger, changes)}
+    images = state["images"].unionByName(before_image(ledger, changes, JOURNALLED_KEYS["transactions"], "transactions", operation))
+    for name, rows in fresh.items():
+        stored, keys = state[name], JOURNALLED_KEYS[name]
+        rows = checkpointed(rows.select(*[c if c in rows.columns else F.lit(None).cast(stored.schema[c].dataType).alias(c) for c in stored.columns]))
+        images = images.unionByName(before_image(stored, rows, keys, name, operation))
+        after[name] = tables.upsert(stored, rows, keys, [c for c in stored.columns if c not in keys])
+    entry = changes.select("owner_id").distinct().select(
+        "owner_id", operation.alias("operation_id"), created_at.alias("created_at"), F.lit(None).cast("timestamp").alias("consumed_at")
+    )
+    return after | {
+        "review_items": resolve_items(state["review_items"], changes),
+        "heads": labels.mark_stale(state["heads"], feedback),
+        "images": checkpointed(images),  # every table's undo reads them
+        "journal": keep_newest(state["journal"].unionByName(entry)),
+    }
+
+
 # ------------------------------------------------------------------------ journal, undo
 def before_image(table: DataFrame, touched: DataFrame, keys: list[str], table_name: str, operation: Column) -> DataFrame:
     """What the touched rows of a table look like before a change; `existed` false means it creates them."""
@@ -254,5 +310,21 @@ def latest_operation(journal: DataFrame) -> DataFrame:
     ).select("owner_id", "latest.operation_id")
 
 
+def undo(state: dict[str, DataFrame], consumed_at: Column) -> dict[str, DataFrame]:
+    """Every journalled table as it was before each owner's newest open operation, which is thereby consumed.
+
+    `state` is that of `assign`. Review items are a projection: the caller rebuilds them from the restored ledger.
+    """
+    latest = checkpointed(latest_operation(state["journal"]))
+    images = checkpointed(state["images"].join(latest, ["owner_id", "operation_id"]))
+    after = {name: restore(state[name], images, keys, name) for name, keys in JOURNALLED_KEYS.items()}
+    done = state["journal"].join(latest.withColumn("_undone", F.lit(True)), ["owner_id", "operation_id"], "left")
+    journal = done.withColumn("consumed_at", F.when(F.col("_undone"), consumed_at).otherwise(F.col("consumed_at")))
+    return after | {
+        "review_items": state["review_items"], "heads": labels.mark_stale(state["heads"], latest), "images": state["images"],
+        "journal": journal.select(*state["journal"].columns),
+    }
+
+
 def keep_newest(journal: DataFrame, limit: int = fv.JOURNAL_KEEP) -> DataFrame:
     return tables.newest(journal, limit)

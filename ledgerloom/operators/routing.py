@@ -73,7 +73,8 @@ def search_counts(asked: DataFrame, ledger: DataFrame) -> DataFrame:
         "owner_id", "txn_id", "fy_key", F.lower(F.coalesce("merchant", F.lit(""))).alias("m"),
         F.lower(F.coalesce("raw_description", F.lit(""))).alias("d"),
     )
-    # count per distinct text first, so that repeated texts are compared once
+    # only of owners that asked; counted per distinct text, so that repeated texts are compared once
+    rows = rows.join(wanted.select("owner_id").distinct(), "owner_id", "left_semi")
     texts = rows.groupBy("owner_id", "fy_key", "m", "d").agg(F.count("*").alias("n"))
     windows = F.array_distinct(F.concat(text.grams(F.col("m"), 3), text.grams(F.col("d"), 3)))
     keyed = texts.select("*", F.explode(windows).alias("gram"))

@@ -305,6 +305,19 @@ def suggestion_override(spark, sf_dir):
     return labels.override_rows(rows).join(chosen, ["owner_id", "match_signature"]).select("owner_id", "match_signature", "merchant", "raw_category")
 
 
+@query(
+    "suggestion_feedback",
+    on_labels(
+        f"""SELECT {b.sql_capped("'ex_suggestion_accept_' || c.txn_id", 120)} AS example_id, c.predicted_merchant AS merchant, c.predicted_flow AS flow,
+        c.predicted_category AS category, {b.sql_signature('c.raw_description')} AS signature FROM chosen c""",
+        SQL_SCORES, SQL_DECIDED, SQL_SUGGESTIONS, SQL_ACCEPTED,
+    ),
+)
+def suggestion_feedback(spark, sf_dir):
+    told = labels.example_rows(labels.accepted_feedback(accepted(spark, sf_dir)))
+    return told.select("example_id", "merchant", "flow", "category", "signature")
+
+
 @query(
     "suggestion_reject",
     on_labels(

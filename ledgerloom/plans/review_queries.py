@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom import fixed_values as fv
 from ledgerloom.functions import text
 from ledgerloom.operators import accounts as acc
-from ledgerloom.operators import review, rollups, routing, tables
+from ledgerloom.operators import dedup, labels, recurrence, review, rollups, routing, tables
 from ledgerloom.plans import bindings as b
-from ledgerloom.plans.integrity_queries import duplicate_decisions, on_statements, statement_rows
+from ledgerloom.plans.integrity_queries import SQL_CANDIDATES, SQL_CHARGES, SQL_SUBSCRIPTIONS, charges, on_statements, sql_pairs, statement_rows
 from ledgerloom.plans.registry import query
 from ledgerloom.plans.rollup_queries import SQL_OPEN_ITEMS, on_lines, review_items
 from ledgerloom.plans.rule_queries import sql_normalized
+from ledgerloom.session import checkpointed
 
 # --------------------------------------------------------------------------------- items
 
@@ -153,25 +157,41 @@ def group_drilldown(spark, sf_dir):
     )
 
 
+SQL_PAIR_STATUS = """
+open_pairs AS (SELECT p.* FROM pairs p JOIN keyed c ON c.owner_id = p.owner_id AND c.txn_id = p.candidate_txn_id WHERE c.seq % 4 NOT IN (0, 1)),
+sides AS (SELECT d.duplicate_id, k.document_id AS keeper_document_id, c.document_id AS candidate_document_id, CAST(floor((c.amount + 50) / 100.0) AS BIGINT) AS amount,
+    mk.subject AS keeper_subject, k.raw_description AS keeper_text, c.raw_description AS candidate_text
+  FROM open_pairs d JOIN keyed k ON k.owner_id = d.owner_id AND k.txn_id = d.keeper_txn_id JOIN keyed c ON c.owner_id = d.owner_id AND c.txn_id = d.candidate_txn_id
+  LEFT JOIN messages mk ON mk.message_id = 'm' || (k.seq % 300))"""
+PAIR = ["duplicate_id", "keeper_document_id", "candidate_document_id", "amount", "keeper_subject"]
+
+
+def open_pairs(spark, sf_dir, contains=None):
+    """The suspected pairs of all statement rows, after a user settled half of them."""
+    rows = statement_rows(spark, sf_dir)
+    pairs = dedup.suspected_pairs(rows.limit(0), rows).withColumn("status", F.lit("open"))
+    four = F.col("seq") % 4
+    choices = rows.filter(four <= 1).select(
+        F.concat(F.lit("dup_"), F.col("txn_id")).alias("duplicate_id"), F.when(four == 0, "kept").otherwise("removed").alias("choice")
+    )
+    ledger = rows.withColumn("message_id", F.concat(F.lit("m"), F.col("seq") % 300))
+    return review.expand_duplicates(dedup.decide(pairs, choices), ledger, b.messages(spark, sf_dir), contains).select(*PAIR)
+
+
+@query("dup_pair_expand", on_statements(f"SELECT {', '.join(PAIR)} FROM sides", sql_pairs("false", "true"), b.SQL_MESSAGES, SQL_PAIR_STATUS))
+def dup_pair_expand(spark, sf_dir):
+    return open_pairs(spark, sf_dir)
+
+
 @query(
-    "dup_pair_expand",
+    "dup_pair_search",
     on_statements(
-        """SELECT d.duplicate_id, k.document_id AS keeper_document_id, c.document_id AS candidate_document_id, CAST(floor((c.amount + 50) / 100.0) AS BIGINT) AS amount, mk.subject AS keeper_subject
-        FROM (SELECT owner_id, 'dup_' || txn_id AS duplicate_id, txn_id AS candidate_txn_id, 'o' || (seq - 500000000) AS keeper_txn_id, CASE WHEN seq % 4 = 0 THEN 'kept' WHEN seq % 4 = 1 THEN 'removed' ELSE 'open' END AS status
-              FROM keyed WHERE seq % 9 = 0 AND txn_id LIKE 'r%') d
-        JOIN keyed k ON k.owner_id = d.owner_id AND k.txn_id = d.keeper_txn_id JOIN keyed c ON c.owner_id = d.owner_id AND c.txn_id = d.candidate_txn_id
-        LEFT JOIN messages mk ON mk.message_id = 'm' || (k.seq % 300) WHERE status = 'open' AND contains(lower(c.raw_description), 'building')""",
-        b.SQL_MESSAGES,
+        f"SELECT {', '.join(PAIR)} FROM sides WHERE contains(lower(keeper_text), 'building') OR contains(lower(candidate_text), 'building')",
+        sql_pairs("false", "true"), b.SQL_MESSAGES, SQL_PAIR_STATUS,
     ),
 )
-def dup_pair_expand(spark, sf_dir):
-    rows = statement_rows(spark, sf_dir)
-    ledger = rows.withColumn("message_id", F.concat(F.lit("m"), F.col("seq") % 300))
-    pairs = duplicate_decisions(spark, sf_dir).filter(F.col("candidate_txn_id").startswith("r")).withColumn(
-        "keeper_txn_id", F.concat(F.lit("o"), F.substr("candidate_txn_id", F.lit(2)))
-    )
-    found = review.expand_duplicates(pairs, ledger, b.messages(spark, sf_dir), contains="Building")
-    return found.select("duplicate_id", "keeper_document_id", "candidate_document_id", "amount", "keeper_subject")
+def dup_pair_search(spark, sf_dir):
+    return open_pairs(spark, sf_dir, contains=" Building")
 
 
 # --------------------------------------------------------------------------- assignments
@@ -258,6 +278,37 @@ def assign_aliases(spark, sf_dir):
     return review.assigned_aliases(changes(spark, sf_dir)).select("owner_id", "alias_id", "category")
 
 
+@query(
+    "assign_feedback",
+    on_lines(
+        f"""SELECT {b.sql_capped("'ex_review_assignment_' || c.txn_id", 120)} AS example_id, c.merchant, c.new_category AS category, c.new_subcategory AS subcategory,
+        c.new_flow AS flow, l.institution_id, CASE WHEN c.amount >= 0 THEN 'credit' ELSE 'debit' END AS direction
+        FROM changes c JOIN ledger_lines l USING (owner_id, txn_id) WHERE c.layer = 1""",
+        SQL_GROUPS,
+        SQL_ASSIGN,
+    ),
+)
+def assign_feedback(spark, sf_dir):
+    told = labels.example_rows(review.assignment_feedback(b.ledger_lines(spark, sf_dir), changes(spark, sf_dir)))
+    return told.select("example_id", "merchant", "category", "subcategory", "flow", "institution_id", "direction")
+
+
+@query(
+    "assign_items",
+    on_lines(
+        f"""SELECT item_id, status FROM review_items WHERE kind NOT IN ('uncategorised', 'low_confidence')
+        UNION ALL SELECT {b.sql_capped("'rev_txn_' || l.txn_id", 80)}, CASE WHEN c.txn_id IS NULL THEN 'open' ELSE 'resolved' END
+        FROM ledger_lines l LEFT JOIN changes c USING (owner_id, txn_id) WHERE l.review_required""",
+        SQL_OPEN_ITEMS,
+        SQL_GROUPS,
+        SQL_ASSIGN,
+    ),
+)
+def assign_items(spark, sf_dir):
+    items = review.rebuild_items(stored_items(spark, sf_dir), b.ledger_lines(spark, sf_dir))
+    return review.resolve_items(items, changes(spark, sf_dir)).select("item_id", "status")
+
+
 # ------------------------------------------------------------------------ journal, undo
 JOURNALED = ["owner_id", "txn_id", "merchant", "category", "subcategory", "flow", "layer", "review_required", "is_internal_transfer"]
 
@@ -313,6 +364,61 @@ def undo_overrides(spark, sf_dir):
     return review.restore(changed, images, ["owner_id", "match_signature"], "overrides")
 
 
+def review_state(spark, sf_dir):
+    """Every table an assignment touches, some of whose rows it will meet again."""
+    ledger = b.ledger_lines(spark, sf_dir)
+    touched = checkpointed(changes(spark, sf_dir))
+    even = F.col("owner_id") % 2 == 0
+    feedback = review.assignment_feedback(ledger, touched.filter(F.col("amount") % 2 == 0)).withColumn("merchant", F.lit("Before"))
+    return {
+        "transactions": ledger, "overrides": existing_overrides(spark, sf_dir),
+        "aliases": review.assigned_aliases(touched).filter(even).withColumn("category", F.lit("gift")),
+        "feedback": labels.feedback_rows(feedback), "examples": labels.example_rows(feedback),
+        "review_items": review.rebuild_items(stored_items(spark, sf_dir), ledger),
+        "heads": touched.select("owner_id").distinct().withColumn("stale", F.lit(False)),
+        "images": spark.createDataFrame([], "owner_id bigint, operation_id string, table_name string, row_key string, existed boolean, prior string"),
+        "journal": spark.createDataFrame([], "owner_id bigint, operation_id string, created_at timestamp, consumed_at timestamp"),
+    }
+
+
+def state_rows(state):
+    """All journalled tables, the heads and the journal as (table_name, row_key, value)."""
+    shown = {
+        "transactions": ("txn_id", ["merchant", "category", "flow", "review_required"]), "overrides": ("match_signature", ["merchant", "category"]),
+        "aliases": ("alias_id", ["category"]), "feedback": ("feedback_id", ["merchant"]), "examples": ("example_id", ["merchant"]),
+        "heads": (F.lit("head"), ["stale"]), "journal": ("operation_id", [F.col("consumed_at").isNotNull()]),
+    }
+    found = [
+        state[name].select(
+            F.lit(name).alias("table_name"), F.concat_ws("|", "owner_id", key).alias("row_key"),
+            F.concat_ws("|", *[F.coalesce(F.col(v).cast("string") if isinstance(v, str) else v.cast("string"), F.lit("-")) for v in values]).alias("value"),
+        )
+        for name, (key, values) in shown.items()
+    ]
+    return reduce(DataFrame.unionByName, found)
+
+
+@query(
+    "undo_operation",
+    on_lines(
+        f"""SELECT 'transactions' AS table_name, owner_id || '|' || txn_id AS row_key, coalesce(merchant, '-') || '|' || coalesce(category, '-') || '|' || coalesce(flow, '-') || '|' || coalesce(review_required::VARCHAR, '-') AS value FROM ledger_lines
+        UNION ALL SELECT 'overrides', owner_id || '|' || signature, 'Before|gift' FROM assignments WHERE owner_id % 2 = 0
+        UNION ALL SELECT DISTINCT 'aliases', owner_id || '|ua_' || alias_token, 'gift' FROM changes WHERE alias_token IS NOT NULL AND owner_id % 2 = 0
+        UNION ALL SELECT 'feedback', owner_id || '|' || {b.sql_capped("'fb_review_assignment_' || txn_id", 120)}, 'Before' FROM changes WHERE layer = 1 AND amount % 2 = 0
+        UNION ALL SELECT 'examples', owner_id || '|' || {b.sql_capped("'ex_review_assignment_' || txn_id", 120)}, 'Before' FROM changes WHERE layer = 1 AND amount % 2 = 0
+        UNION ALL SELECT DISTINCT 'heads', owner_id || '|head', 'true' FROM changes
+        UNION ALL SELECT DISTINCT 'journal', owner_id || '|op1', 'true' FROM changes""",
+        SQL_GROUPS,
+        SQL_ASSIGN,
+    ),
+)
+def undo_operation(spark, sf_dir):
+    """A batch of assignments and its undo: all five tables are what they were, the heads stale, the operation consumed."""
+    at = F.lit("2024-01-01").cast("timestamp")
+    assigned = review.assign(review_state(spark, sf_dir), assignments(spark, sf_dir), F.lit("op1"), at)
+    return state_rows(review.undo(assigned, at))
+
+
 def journal(spark, sf_dir):
     return b.table(spark, sf_dir, "events").select(
         F.floor(F.col("user_id") / 10).cast("bigint").alias("owner_id"), F.concat(F.lit("undo_"), F.col("event_id")).alias("operation_id"),
@@ -394,14 +500,17 @@ def route_questions(spark, sf_dir):
             WHEN 'provenance' THEN r.txn_id = l.txn_id OR contains(lower(coalesce(l.merchant, '')), r.merchant) ELSE false END
           WHERE tool NOT IN ('review_queue', 'subscriptions') GROUP BY question_id, tool
           UNION ALL SELECT question_id, tool, (SELECT count(*) FROM review_items i WHERE i.owner_id = r.owner_id AND status = 'open'), NULL FROM routed r WHERE tool = 'review_queue'
-          UNION ALL SELECT question_id, tool, (SELECT count(*) FROM accounts a WHERE a.owner_id = r.owner_id), NULL FROM routed r WHERE tool = 'subscriptions')""",
+          UNION ALL SELECT question_id, tool, (SELECT count(*) FROM subscriptions a WHERE a.owner_id = r.owner_id), NULL FROM routed r WHERE tool = 'subscriptions')""",
         SQL_ROUTED,
         SQL_OPEN_ITEMS,
-        b.SQL_ACCOUNTS,
+        b.SQL_ORDERS,
+        SQL_CHARGES,
+        SQL_CANDIDATES,
+        SQL_SUBSCRIPTIONS,
     ),
 )
 def answer_batch(spark, sf_dir):
     ledger = b.ledger_lines(spark, sf_dir)
     evidence = ledger.filter("tax_section is not null").select("owner_id", "fy_key", F.upper("tax_section").alias("section"), F.abs("amount").alias("amount"))
-    # accounts stand in for subscription rows: only their number per owner matters here
-    return routing.answer(routing.route(questions(spark, sf_dir)), ledger, evidence, b.accounts(spark, sf_dir), review_items(spark, sf_dir))
+    subscriptions = recurrence.detect_subscriptions(charges(spark, sf_dir))
+    return routing.answer(routing.route(questions(spark, sf_dir)), ledger, evidence, subscriptions, review_items(spark, sf_dir))
