@@ -15,6 +15,7 @@ from ledgerloom import fixed_values as fv
 from ledgerloom.functions import money, text, vectors
 from ledgerloom.operators import tables
 from ledgerloom.operators.rollups import top_per
+from ledgerloom.session import checkpointed
 
 LABEL = ["flow", "category", "subcategory"]
 BLOCK_VECTORS = 2_000
@@ -288,6 +289,28 @@ def decide(
     )
 
 
+def label_step(
+    rows: DataFrame, vectors_: DataFrame, examples: DataFrame, dimensions: int, model_id: str, model_version: str = fv.LABEL_MODEL_VERSION
+) -> DataFrame:
+    """Adds final, source and prediction_id to classified rows (with `verdict`); none of them is lost.
+
+    Only rows whose verdict may be replaced and that have a vector (`vectors_`: owner_id, txn_id, embedding) are scored.
+    All others, and those without a head or a compatible example, keep their verdict.
+    """
+    weak = rows.filter(eligible(F.col("verdict"))).select("owner_id", "txn_id", "amount", "institution_id", "verdict")
+    weak = checkpointed(weak.join(vectors_.select("owner_id", "txn_id", "embedding"), ["owner_id", "txn_id"]))
+    found = checkpointed(predict(weak, train_head(examples, dimensions, model_id)))
+    nearest = nearest_examples(found, examples, model_id, k=1).select("owner_id", "txn_id", F.col("merchant").alias("nearest_merchant"))
+    decided = decide(count_evidence(found, examples, model_id, dimensions).join(nearest, ["owner_id", "txn_id"], "left"))
+    chosen = decided.filter("has_prediction").select(
+        "owner_id", "txn_id", F.col("final").alias("_final"), F.col("source").alias("_source"),
+        text.stable_id(120, "pred", F.col("txn_id"), model_version).alias("prediction_id"),
+    )
+    return rows.join(chosen, ["owner_id", "txn_id"], "left").withColumns(
+        {"final": F.coalesce("_final", "verdict"), "source": F.coalesce("_source", F.lit("deterministic"))}
+    ).drop("_final", "_source")
+
+
 def prediction_rows(decided: DataFrame, model_version: str = fv.LABEL_MODEL_VERSION) -> DataFrame:
     """Stored predictions of decided rows; transfers are left out by the caller."""
     verdict = (

@@ -7,7 +7,7 @@ from pyspark.sql.types import StructType
 
 from ledgerloom import fixed_values as fv
 from ledgerloom.functions import money, text
-from ledgerloom.operators import labels, tables
+from ledgerloom.operators import accounts, labels, tables
 from ledgerloom.operators.rollups import top_per
 from ledgerloom.session import checkpointed
 
@@ -247,7 +247,7 @@ def assignment_feedback(ledger: DataFrame, changes: DataFrame) -> DataFrame:
 
 def resolve_items(items: DataFrame, changes: DataFrame) -> DataFrame:
     """Items about a changed row are resolved."""
-    return labels.close(items, changes.select("owner_id", F.col("txn_id").alias("ref_id")), "ref_id", "status", "resolved")
+    return accounts.resolve_items(items, changes.select("owner_id", F.col("txn_id").alias("ref_id")))
 
 
 def assign(state: dict[str, DataFrame], assignments: DataFrame, operation: Column, created_at: Column) -> dict[str, DataFrame]:

@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from ledgerloom.operators import dedup, recurrence, rules, transfers
+from ledgerloom.operators import accounts, dedup, labels, recurrence, review, rules, transfers
+from ledgerloom.session import checkpointed
 
 LANDED = (
     "owner_id bigint, txn_id string, document_id string, own_account_id string, own_account_kind string, "
@@ -28,14 +29,34 @@ LANDED = (
 PARSE = ["owner_id", "document_id", "parse_id"]
 
 
+Table = Callable[[SparkSession], DataFrame]
+
+
+@dataclass(frozen=True)
+class LabelModel:
+    """What the label step learns from and scores."""
+
+    vectors: Table  # owner_id, txn_id, embedding
+    examples: Table
+    dimensions: int
+    model_id: str
+
+
 @dataclass(frozen=True)
 class Knowledge:
-    """Rule tables, read once per batch so that a change applies to the next one."""
+    """Rule tables, read once per batch so that a change applies to the next one.
 
-    profiles: Callable[[SparkSession], DataFrame]
-    overrides: Callable[[SparkSession], DataFrame]
-    aliases: Callable[[SparkSession], DataFrame]
-    counterparties: Callable[[SparkSession], DataFrame]
+    Without `accounts` rows keep the account they came with, without `label_model` their verdict.
+    """
+
+    profiles: Table
+    overrides: Table
+    aliases: Table
+    counterparties: Table
+    documents: Table | None = None  # owner_id, document_id, seq, institution_id, account_last4, doc_type, txn_count
+    accounts: Table | None = None
+    own_names: Table | None = None  # owner_id, names array<string>: one row per owner
+    label_model: LabelModel | None = None
 
 
 def stored_ledger(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:
@@ -49,7 +70,7 @@ def stored_ledger(spark: SparkSession, folder: str, schema: StructType) -> DataF
 
 
 def ingest(batch: DataFrame, stored: DataFrame, knowledge: Knowledge) -> DataFrame:
-    """One batch to stored ledger rows: dedup, classify, link, finalise.
+    """One batch to stored ledger rows: attribute, dedup, classify, label, link, finalise.
 
     Superseded rows are no claims, and rows of a parse that is already superseded are left out. Rows
     that announce an empty parse are kept as they are.
@@ -58,22 +79,37 @@ def ingest(batch: DataFrame, stored: DataFrame, knowledge: Knowledge) -> DataFra
     parses = latest_parses(stored.select(*PARSE).unionByName(batch.select(*PARSE)))
     rows = of_latest(batch.filter("txn_id is not null"), parses)
     claims = of_latest(stored.filter("txn_id is not null"), parses)
+    if knowledge.accounts is not None and knowledge.documents is not None:
+        rows = attributed(rows, accounts.resolve_accounts(knowledge.documents(spark), knowledge.accounts(spark)))
     unique = dedup.mark_duplicates(rows, claims, own_document=False).filter("kept").drop("kept", "signature", "account_key", "doc_key")
     classified = rules.classify(
         unique, knowledge.profiles(spark), knowledge.overrides(spark), knowledge.aliases(spark), recurrence.recurrence_index(unique)
     )
     known = rules.resolve_counterparty(classified, knowledge.counterparties(spark))
+    if knowledge.label_model is None:
+        known = known.withColumns({"final": F.col("verdict"), "source": F.lit("deterministic"), "prediction_id": F.lit(None).cast("string")})
+    else:
+        model = knowledge.label_model
+        known = checkpointed(known)  # scoring and what it is joined back to read the classified rows
+        known = labels.label_step(known, model.vectors(spark), model.examples(spark), model.dimensions, model.model_id)
+        known = checkpointed(known)
     legs = known.withColumns({"flow": F.col("verdict.flow"), "merchant": F.col("verdict.merchant")})
-    linked = transfers.link_transfers(legs).select(*legs.columns, "is_transfer", "suspected")
-    decided = linked.withColumns(
-        {
-            "final": F.col("verdict"), "source": F.lit("deterministic"), "prediction_id": F.lit(None).cast("string"),
-            "prev_category": F.lit(None).cast("string"),
-        }
-    )
+    named, own = legs, None
+    if knowledge.own_names is not None:
+        named, own = legs.join(knowledge.own_names(spark).withColumnRenamed("names", "_own_names"), "owner_id", "left"), F.col("_own_names")
+    linked = transfers.link_transfers(named, own).select(*legs.columns, "is_transfer", "suspected")
+    decided = linked.withColumn("prev_category", F.lit(None).cast("string"))
     return rules.finalize(decided).unionByName(batch.filter("txn_id is null"), allowMissingColumns=True)
 
 
+def attributed(rows: DataFrame, resolved: DataFrame) -> DataFrame:
+    """Rows with the account of their document; where none was found they keep what they came with."""
+    found = resolved.select("owner_id", "document_id", F.col("own_account_id").alias("_account"), F.col("own_account_kind").alias("_kind"))
+    return rows.join(found, ["owner_id", "document_id"], "left").withColumns(
+        {"own_account_id": F.coalesce("_account", "own_account_id"), "own_account_kind": F.coalesce("_kind", "own_account_kind")}
+    ).select(*rows.columns)
+
+
 def batch_writer(folder: str, schema: StructType, knowledge: Knowledge) -> Callable[[DataFrame, int], None]:
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -119,16 +155,20 @@ def current_rows(ledger: DataFrame) -> DataFrame:
     return of_latest(ledger, latest_parses(ledger)).filter("txn_id is not null")
 
 
-def project(ledger: DataFrame, items: DataFrame, previous: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Derived tables over the whole ledger: relinked rows, links, subscriptions, review items.
+def project(
+    ledger: DataFrame, items: DataFrame, previous: DataFrame | None = None, decisions: DataFrame | None = None
+) -> dict[str, DataFrame]:
+    """Derived tables over the whole ledger: relinked rows, links, subscriptions, review items, duplicate decisions.
 
-    `previous` are the stored subscriptions, whose statuses survive.
+    `previous` are the stored subscriptions, `decisions` the stored duplicate decisions; the statuses of both survive.
     """
-    from ledgerloom.operators import review
-
-    linked = transfers.link_transfers(current_rows(ledger))
+    current = checkpointed(current_rows(ledger))
+    linked = checkpointed(transfers.link_transfers(current))
     relinked = transfers.relink(linked)
+    pairs = dedup.suspected_pairs(current.limit(0), current)
+    known = pairs.limit(0).withColumn("status", F.lit("")) if decisions is None else decisions
     return {
+        "duplicates": dedup.record_decisions(known, pairs),
         "ledger": relinked,
         "links": transfers.links_of(linked),
         "subscriptions": recurrence.detect_subscriptions(relinked, previous),

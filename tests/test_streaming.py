@@ -2,6 +2,8 @@
 
 import datetime
 
+from pyspark.sql import functions as F
+
 from ledgerloom.operators import rules
 from ledgerloom.streaming import incremental
 
@@ -83,3 +85,52 @@ def test_an_empty_parse_removes_the_rows(spark, tmp_path):
 def test_null_keys_are_kept_once(spark, tmp_path):
     rows = [landed("t1", "d1", "plum cafe", -100, None, 1, 1), landed("t2", "d2", "plum cafe", -100, None, 2, 1), landed("t3", None, "x", None, 1, 3, 1)]
     assert run_batches(spark, str(tmp_path), rows) == {"t1", "t3"}
+
+
+def test_the_whole_write_path(spark, tmp_path):
+    """Accounts of documents, the label model, own names, duplicate candidates; a rerun of the batch changes nothing."""
+    row = landed("t1", "d1", "unseen thing", -100, 1, 1, 1)
+    rows = [
+        row, landed("t2", "d1", "sent to asha verma", -500, 2, 2, 1), landed("t3", "d2", "unseen thing north", -100, 1, 3, 1),
+        landed("t4", "d1", "plum cafe", -70, 3, 4, 1), landed("t5", "d1", "no vector here", -9, 3, 5, 1),
+        landed("t6", "d3", "asha verma own money", 500, 2, 6, 1),
+    ]
+    base = knowledge()
+    example = lambda i, category, v: (1, f"e{i}", f"M{category}", "expense", category, None, None, v, "m")
+    vectors = "owner_id bigint, txn_id string, embedding array<double>"
+    model = incremental.LabelModel(
+        vectors=lambda s: s.createDataFrame([(1, t, [1.0, 0.01]) for t in ("t1", "t2", "t3", "t4")], vectors),
+        examples=lambda s: s.createDataFrame(
+            [example(i, "Groceries", [1.0, 0.0]) for i in range(3)] + [example(i + 3, "Fuel", [0.0, 1.0]) for i in range(3)],
+            "owner_id bigint, example_id string, merchant string, flow string, category string, subcategory string, institution_id string, embedding array<double>, embedding_model_id string",
+        ),
+        dimensions=2, model_id="m",
+    )
+    whole = incremental.Knowledge(
+        base.profiles, base.overrides, base.aliases, base.counterparties,
+        documents=lambda s: s.createDataFrame([(1, d, n, "i", "1234", "bank_statement", 1) for n, d in enumerate(("d1", "d2"))], "owner_id bigint, document_id string, seq bigint, institution_id string, account_last4 string, doc_type string, txn_count bigint"),
+        accounts=lambda s: s.createDataFrame([(1, "acc_main", "bank", "i", "1234", None)], "owner_id bigint, account_id string, kind string, institution_id string, last4 string, nickname string"),
+        own_names=lambda s: s.createDataFrame([(1, ["asha verma"])], "owner_id bigint, names array<string>"),
+        label_model=model,
+    )
+    schema = spark.createDataFrame([], LEDGER).schema
+    folder = str(tmp_path)
+    write = incremental.batch_writer(folder, schema, whole)
+    batch = spark.createDataFrame(rows, incremental.LANDED)
+    write(batch, 0)
+    read = lambda: {r.txn_id: r for r in incremental.stored_ledger(spark, folder, schema).collect()}
+    got = read()
+    # d3 is not known as a document: its row keeps the account it came with
+    assert {t: r.own_account_id for t, r in got.items()} == {**dict.fromkeys(("t1", "t2", "t3", "t4", "t5"), "acc_main"), "t6": "a"}
+    assert (got["t1"].category, got["t1"].source, got["t1"].layer, got["t1"].review_required) == ("Groceries", "local_ml", 10, False)
+    assert got["t1"].accepted_prediction_id and got["t1"].merchant == "MGroceries"
+    assert got["t2"].is_internal_transfer and got["t6"].is_internal_transfer and got["t2"].accepted_prediction_id is None
+    # a strong verdict is not scored, a row without a vector keeps its own
+    assert (got["t4"].category, got["t4"].layer) == ("Food", 4) and (got["t5"].category, got["t5"].source) == ("Uncategorised", "deterministic")
+    write(batch, 0)
+    assert read() == got
+    items = spark.createDataFrame([], "item_id string, owner_id bigint, kind string, ref_id string, title string, detail string, severity string, status string")
+    tables = incremental.project(incremental.stored_ledger(spark, folder, schema), items)
+    assert [(r.keeper_txn_id, r.candidate_txn_id, r.status) for r in tables["duplicates"].collect()] == [("t1", "t3", "open")]
+    kept = tables["duplicates"].withColumn("status", F.lit("kept"))
+    assert [r.status for r in incremental.project(incremental.stored_ledger(spark, folder, schema), items, decisions=kept)["duplicates"].collect()] == ["kept"]
