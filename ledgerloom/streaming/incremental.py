@@ -85,12 +85,12 @@ def ingest(batch: DataFrame, stored: DataFrame, knowledge: Knowledge) -> DataFra
     classified = rules.classify(
         unique, knowledge.profiles(spark), knowledge.overrides(spark), knowledge.aliases(spark), recurrence.recurrence_index(unique)
     )
-    known = rules.resolve_counterparty(classified, knowledge.counterparties(spark))
+    # classified once and written: scoring and linking read these rows several times
+    known = checkpointed(rules.resolve_counterparty(classified, knowledge.counterparties(spark)))
     if knowledge.label_model is None:
         known = known.withColumns({"final": F.col("verdict"), "source": F.lit("deterministic"), "prediction_id": F.lit(None).cast("string")})
     else:
         model = knowledge.label_model
-        known = checkpointed(known)  # scoring and what it is joined back to read the classified rows
         known = labels.label_step(known, model.vectors(spark), model.examples(spark), model.dimensions, model.model_id)
         known = checkpointed(known)
     legs = known.withColumns({"flow": F.col("verdict.flow"), "merchant": F.col("verdict.merchant")})
