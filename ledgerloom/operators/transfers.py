@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ledgerloom import fixed_values as fv
 from ledgerloom.functions import text
 from ledgerloom.operators.ranking import GROUP_BOUND, rank_in_group, rank_sliced
-from ledgerloom.session import checkpointed
+from ledgerloom.session import checkpointed, stored_by
 
 AMOUNT = ["owner_id", "abs_amount"]
 RUN = ["day", "doc_key", "account_key", "explicit", "bare"]
@@ -184,25 +184,58 @@ def _with_pieces(runs: DataFrame, window_days: int) -> DataFrame:
     return runs.join(two_sided, [*AMOUNT, "day"])
 
 
+def _meetings(extent: DataFrame, window_days: int) -> DataFrame:
+    """Pairs of a debit and a credit block of one piece that lie within the window, with the round they meet in.
+
+    A block meets its partners in order, one a round, and the partners of a block are consecutive because
+    both sides are ordered by day.
+    """
+    piece = [*AMOUNT, "piece"]
+
+    def side(name: str, prefix: str) -> DataFrame:
+        named = [F.col(c).alias(f"{prefix}_{c}") for c in ("block", "first_day", "last_day")]
+        return extent.filter(F.col("side") == name).select(*piece, *named)
+
+    near = (F.col("d_first_day") - window_days <= F.col("c_last_day")) & (F.col("c_first_day") - window_days <= F.col("d_last_day"))
+    return side("debit", "d").join(side("credit", "c"), piece).filter(near).select(
+        *piece, "d_block", "c_block", (F.col("d_block") + F.col("c_block")).alias("wave")
+    )
+
+
 def _pair_large(runs: DataFrame, window_days: int, block_runs: int) -> DataFrame | None:
-    """Run matches of oversized pieces, block against block along diagonals."""
+    """Run matches of oversized pieces, block against block along diagonals.
+
+    Only blocks within the window of each other meet. A round reads the blocks whose first meeting it is and those
+    carried over from the round before, so a block is written once for each of its partners, whatever the piece's length.
+    """
     if runs.isEmpty():
         return None
-    side_key = [*AMOUNT, "piece", "side"]
-    ranked = rank_sliced(runs, side_key, RUN, "place")
-    state = checkpointed(ranked.withColumn("block", F.floor(F.col("place") / block_runs)).drop("place"))
-    last = state.groupBy(*AMOUNT, "piece").agg(
-        (F.max(F.when(F.col("side") == "debit", F.col("block"))) + F.max(F.when(F.col("side") == "credit", F.col("block")))).alias("wave")
-    ).agg(F.max("wave")).first()[0]
-    found = None
-    for wave in range(int(last) + 1):
+    piece = [*AMOUNT, "piece"]
+    ranked = rank_sliced(runs, [*piece, "side"], RUN, "place")
+    blocks = checkpointed(ranked.withColumn("block", F.floor(F.col("place") / block_runs)).drop("place"))
+    extent = blocks.groupBy(*piece, "side", "block").agg(F.min("day").alias("first_day"), F.max("day").alias("last_day"))
+    meetings = checkpointed(_meetings(extent, window_days))
+    ends = F.array(
+        F.struct(F.lit("debit").alias("side"), F.col("d_block").alias("block")),
+        F.struct(F.lit("credit").alias("side"), F.col("c_block").alias("block")),
+    )
+    spans = meetings.select(*piece, "wave", F.inline(ends)).groupBy(*piece, "side", "block").agg(
+        F.min("wave").alias("first_wave"), F.max("wave").alias("last_wave")
+    )
+    waiting = stored_by(blocks.join(spans, [*piece, "side", "block"]), "first_wave")
+    # one number per round: bounded by the blocks of the longest piece
+    waves = sorted(row[0] for row in meetings.select("wave").distinct().collect())
+    found = carried = None
+    for wave in waves:
+        fresh = waiting.filter(F.col("first_wave") == wave)
+        met = fresh if carried is None else fresh.unionByName(carried)
         # debit block i meets credit block wave - i
         meeting = F.when(F.col("side") == "debit", F.col("block")).otherwise(F.lit(wave) - F.col("block"))
-        open_runs = state.filter("rows > 0").withColumn("meeting", meeting).filter(F.col("meeting").between(0, wave))
-        matches = checkpointed(_match_pieces(open_runs, [*AMOUNT, "piece", "meeting"], window_days))
+        open_runs = met.filter("rows > 0").withColumn("meeting", meeting)
+        matches = checkpointed(_match_pieces(open_runs, [*piece, "meeting"], window_days))
         used = _used_by(matches, "d", "debit").unionByName(_used_by(matches, "c", "credit"))
-        state = checkpointed(
-            state.join(used, [*AMOUNT, "side", *RUN], "left")
+        carried = checkpointed(
+            met.filter(F.col("last_wave") > wave).join(used, [*AMOUNT, "side", *RUN], "left")
             .withColumns(
                 {
                     "rows": F.col("rows") - F.coalesce("taken", F.lit(0)),
@@ -243,9 +276,7 @@ def transfer_pairs(
 
     # one row per matched pair: cut each match into chunks, spread them, then number the slots
     chunks = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("matched") - 1, F.lit(SLOT_CHUNK).cast("bigint")))
-    slots = matches.withColumn("chunk", chunks)
-    if not matches.filter(F.col("matched") > SLOT_CHUNK).isEmpty():
-        slots = slots.repartition(*AMOUNT, "d_day", "d_doc_key", "d_from", "chunk")
+    slots = matches.withColumn("chunk", chunks).repartition(*AMOUNT, "d_day", "d_doc_key", "d_from", "chunk")
     last = F.least(F.col("chunk") + SLOT_CHUNK, F.col("matched")) - 1
     slots = slots.withColumn("slot", F.explode(F.sequence("chunk", last)))
     run_key = [*AMOUNT, "side", *RUN]

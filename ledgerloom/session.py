@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,9 +14,8 @@ def ensure_settings(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage in the reliable folder the session names; a local folder only in local mode."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The reliable folder the session names; a local folder only in local mode."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -24,4 +24,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="ledgerloom-checkpoint-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut lineage in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored_by(df: DataFrame, column: str) -> DataFrame:
+    """`df` written to the shared folder in one directory per value of `column`, so that a filter on it reads only those."""
+    spark = df.sparkSession
+    folder = f"{shared_folder(spark)}/stored-{uuid4().hex}"
+    df.write.partitionBy(column).parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)

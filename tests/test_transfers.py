@@ -75,6 +75,21 @@ def test_blocks_of_one_piece_equal_serial_greedy(spark):
     assert paired(spark, rows, max_runs=25) == serial(rows)
 
 
+def test_long_piece_in_small_blocks_equals_serial_greedy(spark):
+    """Blocks that lie further apart than the window never meet, and the pairs stay those of the serial loop."""
+    rows = random_legs(random.Random(4), 110, owners=1, amounts=1, days=45)
+    expected = serial(rows)
+    assert len(expected) > 10
+    assert paired(spark, rows, max_runs=12) == expected
+
+
+def test_only_blocks_within_the_window_meet(spark):
+    extent = [(1, 100, 0, side, block, 10 * block, 10 * block + 9) for side in ("debit", "credit") for block in range(50)]
+    columns = "owner_id bigint, abs_amount bigint, piece bigint, side string, block bigint, first_day int, last_day int"
+    met = transfers._meetings(spark.createDataFrame(extent, columns), 4).collect()
+    assert {(r.d_block, r.c_block) for r in met} == {(i, j) for i in range(50) for j in range(50) if abs(i - j) <= 1}
+
+
 def test_large_run_is_ranked_in_slices(spark):
     debits = [leg(f"d{i:03d}", -100, 0, "self", "one") for i in range(60)]
     credits = [leg(f"c{i:03d}", 100, 1, "self", "two") for i in range(45)]
