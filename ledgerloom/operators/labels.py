@@ -2,14 +2,17 @@
 
 Examples: owner_id, example_id, merchant, flow, category, subcategory, institution_id,
 embedding array<double>, embedding_model_id. A head is one row per owner and label; scoring
-joins an owner's labels as one array, so a scored row never fans out.
+meets slices of an owner's rows with the owner's head in one matrix product each.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
 from ledgerloom import fixed_values as fv
 from ledgerloom.functions import money, text, vectors
@@ -19,6 +22,14 @@ from ledgerloom.session import checkpointed
 
 LABEL = ["flow", "category", "subcategory"]
 BLOCK_VECTORS = 2_000
+DISTRIBUTION = ArrayType(
+    StructType(
+        [
+            StructField("order", DoubleType()), *[StructField(c, StringType()) for c in ("label_id", *LABEL)],
+            StructField("probability", DoubleType()),
+        ]
+    )
+)
 
 
 def label_id() -> Column:
@@ -91,31 +102,55 @@ def embed_backfill(examples: DataFrame, dimensions: int, model_id: str) -> DataF
 
 
 # ------------------------------------------------------------------------------- scoring
+def _scores(left: pa.Table, right: pa.Table) -> pa.Table:
+    """One slice of an owner's rows against the owner's head, as one matrix product; adds `distribution`, best label first."""
+    right = right.sort_by("label_id")
+    weight = right.column("weight").to_pylist()
+    dimensions = len(weight[0]) if weight else -1
+    vectors_ = left.column("embedding").combine_chunks()
+    size = pc.fill_null(pc.list_value_length(vectors_), -2).to_numpy(zero_copy_only=False)
+    flat = pc.list_flatten(vectors_)
+    holes = np.bincount(pc.list_parent_indices(vectors_).to_numpy()[flat.is_null().to_numpy(zero_copy_only=False)], minlength=len(left)) > 0
+    fits = (size == dimensions) & ~holes
+    fitting = pc.list_flatten(vectors_.filter(pa.array(fits))).to_numpy(zero_copy_only=False)
+    matrix = fitting.astype(float).reshape(int(fits.sum()), max(dimensions, 0))
+    norm = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
+    unit = np.divide(matrix, norm, out=np.zeros_like(matrix), where=norm != 0)
+    if weight and len(unit):
+        logits = unit @ np.array(weight, float).T * fv.SOFTMAX_TEMPERATURE + right.column("bias").to_numpy()
+        chances = np.exp(logits - logits.max(axis=1, keepdims=True))
+        chances /= chances.sum(axis=1, keepdims=True)
+    else:
+        chances = np.zeros((len(unit), len(weight)))
+    # stable, so that equal chances stay in the order of label_id
+    order = np.argsort(-chances, axis=1, kind="stable")
+    ranked = np.take_along_axis(chances, order, axis=1).ravel()
+    picked = pa.array(order.ravel())
+    fields = {
+        "order": pa.array(-ranked),
+        **{c: right.column(c).cast(pa.string()).combine_chunks().take(picked) for c in ("label_id", *LABEL)},
+        "probability": pa.array(np.floor(ranked * 1_000_000 + 0.5) / 1_000_000),
+    }
+    ends = np.concatenate([[0], np.cumsum(np.where(fits, len(weight), 0))]).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(list(fields.values()), names=list(fields)), mask=pa.array(~fits))
+    return left.append_column("distribution", lists)
+
+
 def predict(rows: DataFrame, head: DataFrame) -> DataFrame:
     """Adds winner label, probability, margin and the ranked distribution to rows with `embedding`.
 
-    Rows without a head, a vector or one of the head's size come back with nulls, and so keep their base verdict.
+    An owner's rows are cut into slices; each meets the owner's head, one row per label, in one task. Rows without a head,
+    a vector or one of the head's size come back with nulls, and so keep their base verdict.
     """
-    labels = head.groupBy("owner_id").agg(
-        F.array_sort(F.collect_list(F.struct("label_id", *LABEL, "weight", "bias"))).alias("head")  # one entry per label
+    sizes = rows.groupBy("owner_id").agg(F.ceil(F.count("*") / BLOCK_VECTORS).cast("int").alias("_slices"))
+    mine = F.coalesce(F.pmod(F.xxhash64("txn_id"), F.col("_slices")).cast("int"), F.lit(0))
+    sliced = rows.join(sizes, "owner_id", "left").withColumn("_slice", mine).drop("_slices").select(*rows.columns, "_slice")
+    heads = head.select("owner_id", "label_id", *LABEL, "weight", "bias").join(sizes, "owner_id").select(
+        "owner_id", "label_id", *LABEL, "weight", "bias", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1)).alias("_slice")
     )
-
-    def logits(unit: Column) -> Column:
-        return F.transform("head", lambda h: vectors.dot(unit, h["weight"]) * fv.SOFTMAX_TEMPERATURE + h["bias"])
-
-    fits = F.size("embedding") == F.size(F.get(F.col("head"), F.lit(0))["weight"])
-    scored = rows.join(labels, "owner_id", "left").withColumn("head", F.when(fits, F.col("head")))
-    chances = vectors.softmax(vectors.let(vectors.l2_normalize(F.col("embedding")), logits))
-    ranked = F.array_sort(
-        F.zip_with(
-            "head", chances,
-            lambda h, p: F.struct(
-                (-p).alias("order"), h["label_id"].alias("label_id"), h["flow"].alias("flow"), h["category"].alias("category"),
-                h["subcategory"].alias("subcategory"), vectors.round6(p).alias("probability"),
-            ),
-        )
-    )
-    scored = scored.withColumn("distribution", ranked)
+    schema = StructType([*sliced.schema, StructField("distribution", DISTRIBUTION)])
+    cut = ["owner_id", "_slice"]
+    scored = sliced.groupBy(*cut).cogroup(heads.groupBy(*cut)).applyInArrow(_scores, schema).drop("_slice")
     first, second = F.get(F.col("distribution"), F.lit(0)), F.get(F.col("distribution"), F.lit(1))
     return scored.withColumns(
         {
@@ -124,7 +159,7 @@ def predict(rows: DataFrame, head: DataFrame) -> DataFrame:
             "probability": first["probability"],
             "margin": vectors.round6(F.coalesce(second["order"], F.lit(0.0)) - first["order"]),
         }
-    ).drop("head")
+    )
 
 
 def count_evidence(predicted: DataFrame, examples: DataFrame, model_id: str, dimensions: int) -> DataFrame:

@@ -1,10 +1,13 @@
 """Duplicates, recurrence, accounts, labels and journals on small fixtures."""
 
 import datetime
+import math
 import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
+from ledgerloom import fixed_values as fv
 from ledgerloom.operators import accounts, dedup, labels, quality, recurrence, review, rules, tables
 
 ROWS = "owner_id bigint, txn_id string, document_id string, own_account_id string, txn_date date, amount bigint, raw_description string, seq bigint"
@@ -183,6 +186,29 @@ def test_toy_head(spark):
     assert labels.train_head(examples.limit(0), 2, "m").isEmpty()
 
 
+def test_scores_equal_a_plain_loop_in_many_slices(spark, monkeypatch):
+    """Repeated ids, vectors with a null and owners without a head come back once each."""
+    rng = random.Random(5)
+    head = [(owner, f"expense|{c}|", "expense", c, None, [rng.gauss(0, 1) for _ in range(3)], -float(i)) for owner in (1, 2) for i, c in enumerate("AB")]
+    rows = [(rng.choice([1, 2, 3, None]), f"t{i % 30}", [rng.gauss(0, 1) for _ in range(3)]) for i in range(40)] + [(1, "hole", [1.0, None, 0.0])]
+    monkeypatch.setattr(labels, "BLOCK_VECTORS", 5)
+    columns = "owner_id bigint, label_id string, flow string, category string, subcategory string, weight array<double>, bias double"
+    found = labels.predict(
+        spark.createDataFrame(rows, "owner_id bigint, txn_id string, embedding array<double>"), spark.createDataFrame(head, columns)
+    ).collect()
+
+    def plain(owner, vector):
+        known = [h for h in head if h[0] == owner]
+        if not known or None in vector:
+            return None
+        norm = math.sqrt(sum(x * x for x in vector))
+        raw = [math.exp(sum(a / norm * b for a, b in zip(vector, h[5])) * fv.SOFTMAX_TEMPERATURE + h[6]) for h in known]
+        return max((r / sum(raw), h[1]) for r, h in zip(raw, known))
+
+    want = Counter((o, t, *((p[1], round(p[0], 4)) if (p := plain(o, v)) else (None, None))) for o, t, v in rows)
+    assert Counter((r.owner_id, r.txn_id, r.label_id, r.probability if r.probability is None else round(r.probability, 4)) for r in found) == want
+
+
 def test_nearest_is_the_same_in_many_blocks(spark, monkeypatch):
     rng = random.Random(2)
     examples = spark.createDataFrame(
