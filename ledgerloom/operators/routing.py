@@ -34,7 +34,9 @@ def route(questions: DataFrame) -> DataFrame:
     edges = f"^{text.BLANKS}+|{text.BLANKS}+$"
     rows = questions.withColumn("q", F.regexp_replace(F.lower("question"), edges, ""))
     q = F.col("q")
-    rows = rows.withColumns({"category_hint": category_hint(q), "merchant_hint": merchant_hint(q)})
+    # a category is only looked for where the question asks for spending
+    hint = F.when(text.matches(q, fv.SPEND_QUESTION_PATTERN), category_hint(q))
+    rows = rows.withColumns({"category_hint": hint, "merchant_hint": merchant_hint(q)})
     tool = (
         F.when((q == "") | text.matches(q, fv.UNSAFE_QUESTION_PATTERN), "unsupported")
         .when(text.matches(q, fv.REVIEW_QUESTION_PATTERN), "review_queue")
@@ -42,7 +44,7 @@ def route(questions: DataFrame) -> DataFrame:
         .when(text.matches(q, fv.TAX_QUESTION_PATTERN), "tax_evidence")
         .when(text.matches(q, fv.PROVENANCE_QUESTION_PATTERN), "provenance")
         .when(text.matches(q, fv.CASHFLOW_QUESTION_PATTERN), "cashflow")
-        .when(text.matches(q, fv.SPEND_QUESTION_PATTERN) & F.col("category_hint").isNotNull(), "category_spend")
+        .when(F.col("category_hint").isNotNull(), "category_spend")
         .when(F.col("merchant_hint").isNotNull(), "merchant_search")
         .otherwise("unsupported")
     )
