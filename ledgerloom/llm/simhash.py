@@ -20,22 +20,28 @@ SHINGLE = 4
 SEED = 42
 
 
-def fingerprint(text: bytes, width: int = SHINGLE) -> int:
-    """Signed 64-bit SimHash of the text's word shingles, repeats included; 0 without words.
+def shingle_hashes(text: bytes, width: int) -> np.ndarray:
+    """Hashes of the text's word shingles in their order, repeats included.
 
     Words are runs of bytes other than white space, A-Z lower-cased; a text with fewer words than
-    `width` has its whole sequence as the only shingle. A bit is set if over half the shingles' hashes have it.
+    `width` has its whole sequence as the only shingle.
     """
     words = text.lower().split()  # bytes: ASCII letters and white space only
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     n = max(1, len(words) - width + 1)
     starts = np.concatenate([[0], ends[: n - 1]]).tolist()
     stops = (ends[-n:] - 1).tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)], "<u8")
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)], "<u8")
+
+
+def fingerprint(text: bytes, width: int = SHINGLE) -> int:
+    """Signed 64-bit SimHash of the text's word shingles; 0 without words. A bit is set if over half the shingles' hashes have it."""
+    hashes = shingle_hashes(text, width)
+    n = len(hashes)
     ones = np.zeros(64, np.int64)
     for i in range(0, n, 65536):
         bits = np.unpackbits(hashes[i : i + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -232,17 +238,23 @@ def representatives(docs: DataFrame, **options) -> DataFrame:
     fingerprint and then by the least of their columns (which must be of types that can be ordered).
     """
     classes = stored(near_duplicates(docs, **options), "simhash-classes")
-    named = classes.where("doc_id = component_id").groupBy("doc_id").agg(F.min("bits").alias("bits"))
     unnamed = classes.where("component_id is null")  # fingerprints that link to no id; few, if any
     first = components(links(unnamed.select("bits").distinct(), **options)).where("node <> root").select(F.col("node").alias("bits"))
-    nameless = unnamed.select("bits").distinct().join(first, "bits", "left_anti").select(F.lit(None).cast("long").alias("doc_id"), "bits")
+    return kept(docs, classes, unnamed.select("bits").distinct().join(first, "bits", "left_anti"), _fingerprints)
+
+
+def kept(docs: DataFrame, classes: DataFrame, nameless: DataFrame, fingerprints) -> DataFrame:
+    """The rows of `docs` that `classes` (doc_id, bits, component_id) name, and one of each of the `nameless` fingerprints (bits).
+    `fingerprints` replaces a row's `text` by its `bits`."""
+    named = classes.where("doc_id = component_id").groupBy("doc_id").agg(F.min("bits").alias("bits"))
+    nameless = nameless.select(F.lit(None).cast("long").alias("doc_id"), "bits")
     again = stored(classes.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "simhash-repeated")
     single = docs.join(named.select("doc_id"), "doc_id", "left_semi").join(again, "doc_id", "left_anti")
     odd = docs.join(again, "doc_id", "left_semi").select(*docs.columns).union(docs.where("doc_id is null"))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     printed = odd.select("doc_id", "text", row.alias("row"))
     schema = printed.drop("text").withColumn("bits", F.lit(0).cast("long")).schema
-    printed = printed.mapInArrow(_fingerprints, schema)
+    printed = printed.mapInArrow(fingerprints, schema)
     chosen = named.join(again, "doc_id", "left_semi").union(nameless)
     same = (F.col("p.doc_id").eqNullSafe(F.col("c.doc_id"))) & (F.col("p.bits") == F.col("c.bits"))
     rest = printed.alias("p").join(chosen.alias("c"), same, "left_semi").groupBy("doc_id", "bits").agg(F.min("row").alias("row")).select("row.*")
