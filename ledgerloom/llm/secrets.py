@@ -16,6 +16,7 @@ HEX = r"[0-9a-f]{24,}"
 KINDS = ["assign", "access", "hex", "entropy_hex", "entropy_base64"]
 
 CANDIDATE = r"[A-Za-z0-9+/=_-]{20,}"
+HEX_RUN = r"[0-9a-fA-F]{20,}"  # inside a candidate
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-"
 WINDOW = 20  # characters
 HEX_BITS, BASE64_BITS = 3.0, 3.7  # least entropy of a window, bits a character
@@ -105,14 +106,23 @@ def hot_windows(value: Column, bits: Column) -> Column:
 
 
 def _entropy_spans(candidates: Column, base: Column) -> Column:
-    """Hot ranges of candidates that no allow-list entry names, outside the base spans."""
+    """Hot ranges of candidates that no allow-list entry names, outside the base spans.
+
+    A candidate that is all hex digits is held against HEX_BITS. Any other is held against BASE64_BITS, and so are its
+    runs of hex digits against HEX_BITS, each without its own allow-list entries.
+    """
     suspect = F.filter(candidates, lambda c: ~_allowed(c["value"]))
 
+    def placed(hot, start, kind):
+        return F.transform(hot, lambda h: F.struct((start + h["start"]).alias("start"), F.lit(kind).alias("kind"), (start + h["end"]).alias("end")))
+
     def ranges(c):
-        is_hex = c["value"].rlike("^[0-9a-fA-F]+$")
-        hot = hot_windows(c["value"], F.when(is_hex, F.lit(HEX_BITS)).otherwise(F.lit(BASE64_BITS)))
-        kind = F.when(is_hex, F.lit(3)).otherwise(F.lit(4))
-        return F.transform(hot, lambda h: F.struct((c["start"] + h["start"]).alias("start"), kind.alias("kind"), (c["start"] + h["end"]).alias("end")))
+        runs = F.filter(_matches(c["value"], HEX_RUN), lambda r: ~_allowed(r["value"]))
+        by_hex = F.flatten(F.transform(runs, lambda r: placed(hot_windows(r["value"], F.lit(HEX_BITS)), c["start"] + r["start"], 3)))
+        whole = F.when(c["value"].rlike("^[0-9a-fA-F]+$"), F.array().cast(SPANS)).otherwise(
+            placed(hot_windows(c["value"], F.lit(BASE64_BITS)), c["start"], 4)
+        )
+        return F.concat(by_hex.cast(SPANS), whole.cast(SPANS))
 
     spans = F.flatten(F.transform(suspect, ranges))
     return F.filter(spans, lambda s: ~F.exists(base, lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"])))
@@ -129,7 +139,7 @@ def find(docs: DataFrame) -> DataFrame:
     """`docs` (with `text`) plus `secrets`: spans (start, kind, end) in code points, by start, kind and end.
 
     kind is an index into KINDS. The base kinds are the leftmost matches of their patterns; the entropy kinds
-    are the hot ranges of long candidate strings, but for those inside a base span. A null or empty text has
+    are the hot ranges of long candidate strings and of the hex runs in them, but for those inside a base span. A null or empty text has
     none; texts are scanned whole; rows and other columns stay as they are (a column `secrets` is replaced).
     """
     text = F.coalesce(F.col("text"), F.lit(""))
