@@ -62,7 +62,12 @@ class Templates:
             self.rows.append((name, len(mine)))
         hashes = words.hashes()
         inner = np.setdiff1d(np.arange(len(hashes) - 1), words.first[1:] - 1)
-        self.known = np.unique(pair_hashes(hashes)[inner])
+        pairs = pair_hashes(hashes)
+        self.known = np.unique(pairs[inner])
+        self.by_hash: dict[int, list[int]] = {}
+        for t, (first, count) in enumerate(zip(words.first.tolist(), words.count.tolist(), strict=True)):
+            for h in set(pairs[first : first + count - 1].tolist()):
+                self.by_hash.setdefault(h, []).append(t)
         sizes = np.array([n for _, n in self.rows])
         self.fewest = math.ceil(likeness / (2 - likeness) * sizes.min() - 1e-9)  # shared bigrams of any match
 
@@ -86,11 +91,48 @@ def pair_hashes(hashes: np.ndarray) -> np.ndarray:
     return hashes[:-1] * np.uint64(0xD6E8FEB86659FD93) + (hashes[1:] ^ (hashes[1:] >> np.uint64(29)))
 
 
-def matches(texts: list[bytes], templates: Templates) -> list[list[dict]]:
+def runs(words: Words, pairs: np.ndarray, hits: np.ndarray, templates: Templates):
+    """Word ranges (a, b) of consecutive sentences or lines of a text that, by hash, match a template.
+
+    A run grows from a passage with template bigrams. It stops where its first passage adds none that the rest
+    lacks (the run without it scores no less), or where bigrams of no template are too many for any match.
+    """
+    cuts = np.fromiter((m.end() for m in BREAKS[0].finditer(words.raw)), np.int64)
+    first = np.unique(np.concatenate([words.first, np.searchsorted(words.start, cuts)]))
+    first = first[first < len(words.start)]
+    stop = np.append(words.first, len(words.start))[np.searchsorted(words.first, first, side="right")]
+    after = np.append(first[1:], len(words.start))
+    grows = (after < stop) & (hits[after] > hits[first]) & (hits[stop - 1] - hits[first] >= templates.fewest)
+    likeness, owners, rows = templates.likeness, templates.by_hash, templates.rows
+    for i in np.flatnonzero(grows).tolist():
+        a, end = int(first[i]), int(stop[i])
+        own = {h for h in pairs[a : after[i]].tolist() if h in owners}
+        limit = (2 / likeness - 2) * max(rows[t][1] for h in own for t in owners[h])
+        seen: set[int] = set()
+        shared: Counter = Counter()
+        unknown, at, j = 0, a, i
+        while own and unknown <= limit and j < len(first) and first[j] < end:
+            b = int(after[j])
+            for h in pairs[at : b - 1].tolist():
+                if h not in seen:
+                    seen.add(h)
+                    mine = owners.get(h)
+                    if mine is None:
+                        unknown += 1
+                    else:
+                        shared.update(mine)
+            if j > i:
+                if any(2 * n >= likeness * (rows[t][1] + len(seen)) - 1e-9 for t, n in shared.items()):
+                    yield a, b
+                own.difference_update(pairs[int(first[j]) : b - 1].tolist())
+            at, j = b - 1, j + 1
+
+
+def matches(texts: list[bytes], templates: Templates, joined: bool = False) -> list[list[dict]]:
     """Per text its licences, each with its best score and the first passage (byte range) that has it.
 
-    Passages are sentences, lines, paragraphs and the whole text. Only those with enough bigrams of
-    templates, by hash, are compared, and then by their words.
+    Passages are sentences, lines, paragraphs and the whole text, and if `joined` also runs of consecutive sentences
+    and lines. Only those with enough bigrams of templates, by hash, are compared, and then by their words.
     """
     words = Words(texts, ALNUM, lower=True)
     out: list[dict[str, tuple]] = [{} for _ in texts]
@@ -101,6 +143,15 @@ def matches(texts: list[bytes], templates: Templates) -> list[list[dict]]:
     hits = np.concatenate([[0], np.cumsum(templates.known[at] == pairs), [0]])
     hits[-1] = hits[-2]
     raw = words.raw
+
+    def compare(a: int, b: int) -> None:
+        found = templates.best([words.word(i) for i in range(a, b)])
+        if found:
+            t = int(np.searchsorted(words.text_start, words.start[a], side="right")) - 1
+            begin, end = int(words.start[a] - words.text_start[t]), int(words.end[b - 1] - words.text_start[t])
+            for name, score in found.items():
+                out[t][name] = max(out[t].get(name, (0.0, 0, 0)), (score, -begin, -end))
+
     for breaks in (*BREAKS, None):
         cuts = np.fromiter((m.end() for m in breaks.finditer(raw)), np.int64) if breaks else np.zeros(0, np.int64)
         first = np.unique(np.concatenate([words.first, np.searchsorted(words.start, cuts)]))
@@ -108,21 +159,19 @@ def matches(texts: list[bytes], templates: Templates) -> list[list[dict]]:
         last = np.append(first[1:], len(words.start))
         enough = hits[last - 1] - hits[first] >= templates.fewest
         for a, b in zip(first[enough].tolist(), last[enough].tolist(), strict=True):
-            found = templates.best([words.word(i) for i in range(a, b)])
-            if found:
-                t = int(np.searchsorted(words.text_start, words.start[a], side="right")) - 1
-                begin, end = int(words.start[a] - words.text_start[t]), int(words.end[b - 1] - words.text_start[t])
-                for name, score in found.items():
-                    out[t][name] = max(out[t].get(name, (0.0, 0, 0)), (score, -begin, -end))
+            compare(a, b)
+    if joined:
+        for a, b in runs(words, pairs, hits, templates):
+            compare(a, b)
     return [[{"license": n, "score": s, "start": -b, "end": -e} for n, (s, b, e) in sorted(found.items())] for found in out]
 
 
-def scan(docs: DataFrame, templates=TEMPLATES, likeness: float = LIKENESS) -> DataFrame:
+def scan(docs: DataFrame, templates=TEMPLATES, likeness: float = LIKENESS, joined: bool = False) -> DataFrame:
     """`docs` (with `text`) plus `licenses`: the licences found, by name, with score and byte range of the passage.
 
     Words are runs of ASCII letters and digits and of non-ASCII signs, lower-cased. A null or empty text, and one with fewer
     than two words, has none. Of passages with equal scores the first wins, then the shortest. Rows and other columns
-    stay (a column `licenses` is replaced). The templates are a fixed list that travels with the tasks.
+    stay (a column `licenses` is replaced). `joined` compares runs of passages too. The templates are a fixed list that travels with the tasks.
     """
     rows = docs.drop("licenses")
     schema = rows.withColumn("licenses", F.lit(None).cast(SCHEMA)).schema
@@ -131,7 +180,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, likeness: float = LIKENESS) -> Da
 
     def run(batches):
         for batch in batches:
-            made = [m for _, some in chunks(batch.column("text"), CHUNK_BYTES) for m in matches(some, known)]
+            made = [m for _, some in chunks(batch.column("text"), CHUNK_BYTES) for m in matches(some, known, joined)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, kind)], names=[*batch.schema.names, "licenses"])
 
     return rows.mapInArrow(run, schema)

@@ -164,7 +164,7 @@ def op4_token_counts(spark, sf_dir):
 @query("op8_license_scan")
 def op8_license_scan(spark, sf_dir):
     """Licences of every document, with their scores and places."""
-    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), joined=True)
     spans = F.transform("licenses", lambda x: F.concat_ws(":", x["license"], x["start"].cast("string"), x["end"].cast("string")))
     return found.select(
         "doc_id", F.size("licenses").cast("long").alias("n_licenses"), F.array_join("licenses.license", ",").alias("licenses"),
