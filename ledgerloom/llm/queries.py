@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import fmindex, language, licenses, packing, secrets, simhash, syncmers, tokens, urls, warc, wordpiece
+from ledgerloom.llm import clustering, fmindex, language, licenses, middles, packing, secrets, sharding, simhash, syncmers, tokens, urls, warc, wordpiece
 from ledgerloom.llm.registry import query, table
 from ledgerloom.llm.storage import work_folder
 
@@ -170,3 +170,88 @@ def op8_license_scan(spark, sf_dir):
         "doc_id", F.size("licenses").cast("long").alias("n_licenses"), F.array_join("licenses.license", ",").alias("licenses"),
         F.round(F.array_max("licenses.score"), 6).alias("best_score"), F.array_join(spans, ",").alias("spans"),
     )
+
+
+def _clustering_sql(rounds: int = clustering.ROUNDS) -> str:
+    """Plain k-means: every vector against every centroid, a round after the other."""
+    apart = "CAST(list_sum(list_transform(list_zip(v, c), lambda x: CAST(x[1] - x[2] AS HUGEINT) * (x[1] - x[2]))) AS BIGINT)"
+    parts = [
+        """
+        WITH kept AS MATERIALIZED (
+            SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+            FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+        ), c0 AS MATERIALIZED (
+            SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS n, v AS c FROM kept
+            QUALIFY row_number() OVER (ORDER BY sha256('1:' || vec_id), v) <= 16
+        )"""
+    ]
+    for i in range(rounds + 1):
+        parts.append(
+            f""", near{i} AS MATERIALIZED (
+            SELECT r, any_value(vec_id) AS vec_id, any_value(v) AS v, arg_min(n, {apart} * 16::HUGEINT + n) AS n, min({apart}) AS distance
+            FROM kept, c{i} GROUP BY r
+        )"""
+        )
+        if i < rounds:
+            parts.append(
+                f""", sums{i} AS (SELECT n, pos, sum(v[pos]) AS s, count(*) AS m FROM near{i}, generate_series(1, 64) AS t(pos) GROUP BY 1, 2),
+        means{i} AS (SELECT n, list(CAST((s - ((s % m) + m) % m) // m AS BIGINT) ORDER BY pos) AS c FROM sums{i} GROUP BY n),
+        c{i + 1} AS MATERIALIZED (SELECT n, coalesce(m.c, old.c) AS c FROM c{i} old LEFT JOIN means{i} m USING (n))"""
+            )
+    last = f"near{rounds}"
+    parts.append(
+        f"""
+        SELECT vec_id, CAST({last}.n AS INTEGER) AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY {last}.n) AS BIGINT) AS cluster_inertia,
+               CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+        FROM {last} JOIN c{rounds} USING (n)"""
+    )
+    return "".join(parts)
+
+
+@query("op11_clustering", _clustering_sql())
+def op11_clustering(spark, sf_dir):
+    """Exact k-means of all vectors; Ptolemaic bounds over fixed pivot pairs spare distances."""
+    return clustering.summary(table(spark, sf_dir, "embeddings"))
+
+
+@query(
+    "op12_fill_in_middle",
+    """
+    WITH cut AS (
+        SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS w,
+               sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+        FROM documents
+    ), drawn AS (
+        SELECT *, CAST('0x' || h[1:8] AS BIGINT) % (len(w) + 1) AS a, CAST('0x' || h[9:16] AS BIGINT) % (len(w) + 1) AS b,
+               CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+                         OR CAST('0x' || h[17:24] AS BIGINT) % 100 >= 90 THEN 'plain'
+                    WHEN CAST('0x' || h[25:32] AS BIGINT) % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+        FROM cut
+    ), parts AS (
+        SELECT doc_id, text, form, CAST(len(w) AS BIGINT) AS n, array_to_string(w[1:least(a, b)], '') AS prefix,
+               array_to_string(w[least(a, b) + 1:greatest(a, b)], '') AS middle, array_to_string(w[greatest(a, b) + 1:], '') AS suffix
+        FROM drawn
+    )
+    SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+           CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+           sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                            ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+           sha256(text) AS restored_sha256
+    FROM parts
+    """,
+)
+def op12_fill_in_middle(spark, sf_dir):
+    """Every document in its fill-in-middle form, cut at ranks of a skip list, and the text put together from it again."""
+    made = middles.transform(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    back = middles.restored(F.col("form"), F.col("output"))
+    return made.select(
+        "doc_id", F.col("n_units").alias("n"), "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(back, 256).alias("restored_sha256"),
+    )
+
+
+@query("op13_sharding")
+def op13_sharding(spark, sf_dir):
+    """All documents in 40 shards of near-equal bytes, the leaves of a k-d tree over their metadata."""
+    placed = sharding.shard(table(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
