@@ -111,6 +111,18 @@ def minted_stubs(resolved: DataFrame) -> DataFrame:
     )
 
 
+def with_stubs(accounts: DataFrame, resolved: DataFrame) -> DataFrame:
+    """The account table after a run: its rows, and one stub for each unregistered number that documents named.
+
+    A stub whose id the table already has is not added again, so a rerun changes nothing.
+    """
+    stubs = minted_stubs(resolved).groupBy("owner_id", "account_id").agg(
+        *[F.min(c).alias(c) for c in ("kind", "institution_id", "last4", "nickname")]
+    )
+    fresh = stubs.join(accounts.select("owner_id", "account_id"), ["owner_id", "account_id"], "left_anti")
+    return accounts.unionByName(fresh.select(*[c for c in accounts.columns if c in fresh.columns]), allowMissingColumns=True)
+
+
 def needing_accounts(documents: DataFrame, accounts: DataFrame) -> DataFrame:
     """Documents without a live account that the user has not assigned by hand."""
     live = accounts.select("owner_id", F.col("account_id").alias("own_account_id"), F.lit(True).alias("live"))

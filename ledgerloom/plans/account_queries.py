@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from ledgerloom import fixed_values as fv
 from ledgerloom.operators import accounts as acc
-from ledgerloom.operators import quality, tables
+from ledgerloom.operators import partitions, quality, tables
 from ledgerloom.plans import bindings as b
 from ledgerloom.plans.integrity_queries import statement_rows
 from ledgerloom.plans.registry import query
 from ledgerloom.plans.rollup_queries import SQL_ATTACHMENTS, SQL_OPEN_ITEMS, attachments, on_lines, review_items
+from ledgerloom.session import shared_folder
 
 
 # ------------------------------------------------------------------------------ documents
@@ -90,6 +93,24 @@ def readable(resolved):
     )
 
 
+@query(
+    "account_stubs",
+    on_documents(
+        """SELECT owner_id, account_id, kind, last4, 1::BIGINT AS accounts FROM accounts
+        UNION ALL SELECT owner_id, 'stub', kind, last4, count(*) FROM stubs GROUP BY owner_id, kind, last4""",
+        sql_resolved("documents_view", False),
+    ),
+)
+def account_stubs(spark, sf_dir):
+    """The account table after a run: registered accounts, and a stub for each number nobody registered."""
+    docs = documents(spark, sf_dir).drop("own_account_id", "own_account_kind", "account_source")
+    known = b.accounts(spark, sf_dir)
+    after = acc.with_stubs(known, acc.resolve_accounts(docs, known))
+    minted = after.join(known.select("owner_id", "account_id", F.lit(True).alias("registered")), ["owner_id", "account_id"], "left")
+    shown = minted.withColumn("account_id", F.when(F.col("registered"), F.col("account_id")).otherwise("stub"))
+    return shown.groupBy("owner_id", "account_id", "kind", "last4").agg(F.count("*").alias("accounts"))
+
+
 @query("resolve_account", on_documents("SELECT * FROM answer", sql_resolved("documents_view", False)))
 def resolve_account(spark, sf_dir):
     docs = documents(spark, sf_dir).drop("own_account_id", "own_account_kind", "account_source")
@@ -410,6 +431,48 @@ def cascade_detach(spark, sf_dir):
     return left.unionByName(tables.detach_children(feedback, gone).select(F.lit("feedback").alias("kind"), "id", "txn_id"))
 
 
+def _stored_copy(spark, rows):
+    """`rows` as a stored table of its own."""
+    folder = f"{shared_folder(spark)}/table-{uuid4().hex}"
+    partitions.write_new(rows, folder)
+    return folder
+
+
+@query(
+    "stored_upsert",
+    on_lines(
+        """SELECT owner_id, txn_id, txn_date, CASE WHEN amount % 4 <> 0 THEN amount ELSE amount + 1 END AS amount,
+        CASE WHEN txn_date >= DATE '1999-01-01' AND amount % 3 = 0 THEN category || ' new' ELSE category END AS category
+        FROM ledger_lines WHERE amount % 4 <> 0 OR (txn_date >= DATE '1999-01-01' AND amount % 3 = 0)"""
+    ),
+)
+def stored_upsert(spark, sf_dir):
+    """An upsert of recent rows into a stored ledger, of which only the touched places are rewritten."""
+    rows = b.ledger_lines(spark, sf_dir).select("owner_id", "txn_id", "txn_date", "amount", "category")
+    folder = _stored_copy(spark, rows.filter("amount % 4 <> 0"))
+    fresh = rows.filter("txn_date >= date'1999-01-01' and amount % 3 = 0")
+    fresh = fresh.withColumns({"category": F.concat("category", F.lit(" new")), "amount": F.col("amount") + 1})
+    partitions.upsert_stored(folder, fresh, ["owner_id", "txn_id"], ["category"])
+    return partitions.read(spark, folder).drop(*partitions.PLACE)
+
+
+@query(
+    "stored_document_replace",
+    on_lines(
+        """SELECT txn_id, document_id, amount FROM ledger_lines WHERE NOT ends_with(document_id, '_1999')
+        UNION ALL SELECT 'n' || txn_id, document_id, amount FROM ledger_lines WHERE ends_with(document_id, '_1999') AND amount % 2 = 0"""
+    ),
+)
+def stored_document_replace(spark, sf_dir):
+    """Documents of one year parsed again and replaced in a stored ledger."""
+    rows = b.ledger_lines(spark, sf_dir).select(*LEDGER, "txn_date")
+    folder = _stored_copy(spark, rows)
+    again = rows.filter(F.col("document_id").endswith("_1999"))
+    fresh = again.filter("amount % 2 = 0").withColumn("txn_id", F.concat(F.lit("n"), "txn_id"))
+    partitions.replace_documents_stored(folder, fresh, again)
+    return partitions.read(spark, folder).select("txn_id", "document_id", "amount")
+
+
 @query("semi_ids", on_lines("SELECT txn_id FROM ledger_lines WHERE document_id IN (SELECT 'doc_' || c_custkey || '_1998' FROM customer WHERE c_acctbal > 5000)"))
 def semi_ids(spark, sf_dir):
     ids = b.table(spark, sf_dir, "customer").filter("c_acctbal > 5000").select(F.concat(F.lit("doc_"), F.col("c_custkey"), F.lit("_1998")).alias("document_id"))
@@ -437,6 +500,24 @@ def requeue(spark, sf_dir):
     return tables.requeue(attachments(spark, sf_dir), ["review", "failed"]).select("attachment_id", "status")
 
 
+@query(
+    "requeue_result",
+    b.with_ctes(
+        SQL_ATTACHMENTS,
+        select="""SELECT number % 50 AS owner_id, count(*) AS locked_before, count(*) FILTER (WHERE number % 3 = 0) AS still_locked,
+        count(*) FILTER (WHERE number % 3 <> 0) AS unlocked
+        FROM (SELECT split_part(attachment_id, '_', 2)::BIGINT AS number FROM attachments WHERE status = 'review') GROUP BY 1""",
+    ),
+)
+def requeue_result(spark, sf_dir):
+    """Locked files before a retry with a new password, and after it, when a third of them stays locked."""
+    number = F.split_part("attachment_id", F.lit("_"), F.lit(2)).cast("bigint")
+    locked = attachments(spark, sf_dir).filter("status = 'review'").select(
+        (number % 50).alias("owner_id"), number.alias("number"), F.lit("locked_pdf").alias("kind")
+    )
+    return tables.requeue_result(locked, locked.filter("number % 3 = 0"))
+
+
 @query(
     "ledger_health",
     on_lines(

@@ -1,9 +1,13 @@
 """Incremental ingest: a file stream of parsed rows, each micro-batch through the batch operators.
 
 There is no stream state to lose. What makes a retried batch harmless is that ids are
-deterministic and every write replaces one partition: batch N owns `ledger/batch=N`. Late rows
+deterministic and every write replaces one partition: batch N owns `ledger/batch=N` and `parses/batch=N`. Late rows
 need no watermark, because stored keys are read again for every batch.
 
+A batch reads only the history it touches. Its partition is cut by owner bucket and year: a row can only be claimed by one of its
+owner and date, so other buckets and years are pruned. Which parse of a document is the latest may be known from another
+year's rows; that is kept in the small table `parses`, cut by owner bucket.
+
 A document is replaced by parse, not by batch: rows carry `parse_id` (null counts as 0) and the rows of a
 document's highest parse are current, in however many files and batches they came. A parse
 that found nothing lands one row with a null txn_id, so that it too replaces the earlier one.
@@ -18,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from ledgerloom.operators import accounts, dedup, labels, recurrence, review, rules, transfers
+from ledgerloom.operators import accounts, dedup, labels, partitions, recurrence, review, rules, transfers
 from ledgerloom.session import checkpointed
 
 LANDED = (
@@ -59,24 +63,44 @@ class Knowledge:
     label_model: LabelModel | None = None
 
 
-def stored_ledger(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:
-    """All batches written so far; empty before the first."""
+def _stored(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """All batches written so far under `path`; empty before the first."""
     try:
-        return spark.read.schema(schema).parquet(f"{folder}/ledger")
+        return spark.read.schema(schema).parquet(path)
     except Exception as error:  # the folder appears with the first batch
         if "PATH_NOT_FOUND" not in str(error):
             raise
         return spark.createDataFrame([], schema)
 
 
-def ingest(batch: DataFrame, stored: DataFrame, knowledge: Knowledge) -> DataFrame:
+def stored_ledger(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:
+    """All ledger rows written so far."""
+    return _stored(spark, f"{folder}/ledger", schema).select(*schema.names)
+
+
+def touched_ledger(spark: SparkSession, folder: str, schema: StructType, places: list[tuple]) -> DataFrame:
+    """The stored rows of the owner buckets and years in `places`; directories of others are pruned."""
+    whole = StructType([*schema, *spark.createDataFrame([], "owner_bucket int, place_year int").schema])
+    return _stored(spark, f"{folder}/ledger", whole).filter(partitions.within(places)).select(*schema.names)
+
+
+def touched_parses(spark: SparkSession, folder: str, buckets: list[tuple]) -> DataFrame:
+    """The parses that earlier batches brought for the owners of these buckets."""
+    schema = spark.createDataFrame([], "owner_id bigint, document_id string, parse_id bigint, batch int, owner_bucket int").schema
+    return _stored(spark, f"{folder}/parses", schema).filter(partitions.within(buckets, ["owner_bucket"]))
+
+
+def ingest(batch: DataFrame, stored: DataFrame, knowledge: Knowledge, stored_parses: DataFrame | None = None) -> DataFrame:
     """One batch to stored ledger rows: attribute, dedup, classify, label, link, finalise.
 
+    `stored` are the earlier rows of the batch's owners and dates at least; `stored_parses` the earlier parses of its owners, where
+    `stored` does not hold all of them.
+
     Superseded rows are no claims, and rows of a parse that is already superseded are left out. Rows
     that announce an empty parse are kept as they are.
     """
     spark = batch.sparkSession
-    parses = latest_parses(stored.select(*PARSE).unionByName(batch.select(*PARSE)))
+    parses = latest_parses((stored if stored_parses is None else stored_parses).select(*PARSE).unionByName(batch.select(*PARSE)))
     rows = of_latest(batch.filter("txn_id is not null"), parses)
     claims = of_latest(stored.filter("txn_id is not null"), parses)
     if knowledge.accounts is not None and knowledge.documents is not None:
@@ -114,10 +138,18 @@ def batch_writer(folder: str, schema: StructType, knowledge: Knowledge) -> Calla
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         columns = [f.name for f in schema if f.name != "batch"]
-        stored = stored_ledger(spark, folder, schema).filter(F.col("batch") != batch_id)
-        rows = ingest(batch, stored, knowledge).select(*columns)
+        places = partitions.touched(partitions.placed(batch))
+        buckets = sorted({p[:1] for p in places})
+        others = F.col("batch") != batch_id
+        stored = touched_ledger(spark, folder, schema, places).filter(others)
+        parses = touched_parses(spark, folder, buckets).filter(others)
+        rows = partitions.placed(ingest(batch, stored, knowledge, parses).select(*columns))
         # one partition per batch, replaced as a whole when the batch is retried
-        rows.write.mode("overwrite").parquet(f"{folder}/ledger/batch={batch_id}")
+        named = batch.select(*PARSE).distinct().withColumn("owner_bucket", partitions.owner_bucket())
+        named.write.mode("overwrite").partitionBy("owner_bucket").parquet(f"{folder}/parses/batch={batch_id}")
+        rows.hint("rebalance", *[F.col(c) for c in partitions.PLACE]).write.mode("overwrite").partitionBy(*partitions.PLACE).parquet(
+            f"{folder}/ledger/batch={batch_id}"
+        )
 
     return write
 
