@@ -71,7 +71,6 @@ def recurrence_index(ledger: DataFrame, merchant: Column | None = None, keys: tu
     """
     described = F.col("raw_description") if merchant is None else F.coalesce(merchant, F.col("raw_description"))
     debits = ledger.filter("amount < 0").withColumn("signature", text.signature(described))
-    debits = debits.filter((F.col("signature") != "") & ~text.matches(F.col("signature"), fv.STRUCTURAL_RECURRENCE_PATTERN))
     group = [*keys, "signature"]
     days = debits.groupBy(*group, "txn_date").agg(
         F.count("*").alias("rows"), F.count_if(F.abs("amount") <= fv.MAX_RECURRING_MINOR).alias("small")
@@ -79,7 +78,10 @@ def recurrence_index(ledger: DataFrame, merchant: Column | None = None, keys: tu
     index = band_of_gaps(with_gap(days, group), group, fv.RECURRENCE_BANDS, [F.sum("small").alias("small")])
     affordable = F.col("small") > F.floor(F.col("occurrences") / 2)
     wanted = (F.col("occurrences") >= fv.MIN_RECURRENCES) & affordable & F.col("cadence").isNotNull()
-    return index.filter(wanted).select(*group, "cadence", "occurrences")
+    # asked of the few signatures that are left. As one expression with the counts it cannot be pushed below them, where
+    # every row would compute its signature once for the test and again for the group
+    usable = (F.col("signature") != "") & ~text.matches(F.col("signature"), fv.STRUCTURAL_RECURRENCE_PATTERN)
+    return index.filter(F.when(wanted, usable).otherwise(False)).select(*group, "cadence", "occurrences")
 
 
 def subscription_candidates(ledger: DataFrame) -> DataFrame:

@@ -6,21 +6,24 @@ classified in a single projection after its lookups are joined:
 * household profile: one row per owner with arrays in declared order, so "first match" is an
   array filter and a row never fans out;
 * overrides and recurrence: equality on (owner_id, signature);
-* merchant aliases: substring rules turned into equality on four-character windows, evaluated
-  once per distinct description.
+* merchant aliases: all patterns at once by a multi-pattern automaton, over each distinct description once.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import ahocorasick
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerloom import fixed_values as fv
 from ledgerloom.functions import money, text
 from ledgerloom.functions.vectors import let
 from ledgerloom.operators.rollups import top_per
-from ledgerloom.session import checkpointed
+
+PART_CHARS = 8_000_000  # of patterns in one automaton
 
 VERDICT = (
     "flow string, category string, subcategory string, merchant string, confidence string, reason string, "
@@ -68,42 +71,69 @@ def has(cleaned: Column, needle: Column) -> Column:
 
 
 # ------------------------------------------------------------------- alias rules (layer 4)
-def longest_pattern(descriptions: DataFrame, rules: DataFrame) -> DataFrame:
+def _automata(rules: DataFrame, part_chars: int) -> tuple[DataFrame, int]:
+    """Distinct patterns in parts of bounded text, each an array in the order of preference: longest first, then by seq."""
+    best = rules.filter(F.col("pattern") != "").groupBy("pattern").agg(F.min("seq").alias("seq"))
+    total = best.agg(F.sum(F.length("pattern"))).first()[0] or 0
+    parts = max(1, -(-total // part_chars))
+    keyed = best.select(
+        F.pmod(F.xxhash64("pattern"), F.lit(parts)).cast("int").alias("part"), F.struct((-F.length("pattern")).alias("size"), "seq", "pattern").alias("p")
+    )
+    lists = keyed.groupBy("part").agg(F.array_sort(F.collect_list("p")).alias("all"))
+    return lists.select("part", F.col("all.pattern").alias("patterns")), parts
+
+
+def _matcher() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The preferred pattern of each text. A list of patterns stands before the texts that it is for; one automaton is held at a time."""
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton, patterns = None, []
+        for batch in batches:
+            texts, found = [], []
+            for cleaned, listed in zip(batch.column("cleaned").to_pylist(), batch.column("patterns").to_pylist(), strict=True):
+                if listed is not None:
+                    automaton, patterns = ahocorasick.Automaton(), listed
+                    for i, p in enumerate(listed):
+                        automaton.add_word(p, i)
+                    automaton.make_automaton()
+                elif automaton is not None:
+                    first = min((i for _, i in automaton.iter(cleaned)), default=None)
+                    if first is not None:
+                        texts.append(cleaned)
+                        found.append(patterns[first])
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(found, pa.string())], names=["cleaned", "pattern"])
+
+    return match
+
+
+def longest_pattern(descriptions: DataFrame, rules: DataFrame, part_chars: int = PART_CHARS) -> DataFrame:
     """For each distinct `cleaned` description, the longest rule pattern inside it.
 
     `rules`: pattern, seq (position; the earlier of equally long patterns wins) and any payload,
     returned as struct `rule`. `evidence` tells whether a pattern of at least five characters hit.
+
+    Patterns are cut into parts of bounded text. Each task gets one part and a share of the distinct texts, builds the part's automaton
+    and passes over each of its texts once; neither the driver nor a task ever holds the whole rule table.
     """
-    width = fv.MIN_ALIAS_CHARS
-    payload = F.struct(*rules.columns).alias("rule")
-    # each pattern is looked up by that of its windows which the fewest patterns share: many begin alike
-    cut = rules.filter(F.length("pattern") >= width).select(
-        payload, F.explode(F.sequence(F.lit(1), F.length("pattern") - width + 1)).alias("offset")
-    ).withColumn("gram", F.substring(F.col("rule.pattern"), F.col("offset"), F.lit(width)))
-    shared = cut.withColumn("sharing", F.count(F.lit(1)).over(Window.partitionBy("gram")))
-    keyed = top_per(shared, ["rule.pattern", "rule.seq"], [F.col("sharing"), F.col("offset")], 1).drop("sharing")
-    # cleaned once and written: a filter on a window's width would else be pushed below the cleaning, which then runs again
-    texts = checkpointed(descriptions.select("cleaned").distinct())
-
-    def windows(of: DataFrame, size: int) -> DataFrame:
-        """Every window, cut after the explode so that it stays in generated code; repeats fall in the last aggregate."""
-        places = of.filter(F.length("cleaned") >= size).select("cleaned", F.explode(F.sequence(F.lit(1), F.length("cleaned") - size + 1)).alias("at"))
-        return places.select("cleaned", "at", F.substring(F.col("cleaned"), F.col("at"), F.lit(size)).alias("gram"))
-
-    found = windows(texts, width).join(keyed, "gram")
-    begin = F.col("at") - F.col("offset") + 1
-    hits = found.filter((begin >= 1) & (F.substring(F.col("cleaned"), begin, F.length("rule.pattern")) == F.col("rule.pattern"))).select("cleaned", "rule")
-    # shorter patterns are rare (the pack loader rejects them); they equal a window of their own width. A width that
-    # no pattern has cuts no windows
-    short = rules.filter((F.length("pattern") < width) & (F.col("pattern") != "")).select(F.col("pattern").alias("gram"), payload)
-    widths = short.agg(F.collect_set(F.length("gram")).alias("widths")).scalar()  # at most width - 1 numbers
-    narrow = reduce(DataFrame.union, [windows(texts.filter(F.array_contains(widths, w)), w) for w in range(1, width)])
-    short_hits = narrow.join(short, "gram").select("cleaned", "rule")
-    size = F.length("rule.pattern")
-    best = F.struct((-size).alias("size"), F.col("rule.seq").alias("seq"))
-    return hits.unionByName(short_hits).groupBy("cleaned").agg(
-        F.min_by("rule", best).alias("rule"), (F.max(size) >= fv.MIN_ALIAS_EVIDENCE_CHARS).alias("evidence")
+    lists, parts = _automata(rules, part_chars)
+    shares = int(descriptions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = descriptions.select("cleaned").filter("cleaned is not null").distinct().select(
+        F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.pmod(F.xxhash64("cleaned"), F.lit(shares)).cast("int").alias("share"),
+        F.lit(1).alias("kind"), "cleaned", F.lit(None).cast("array<string>").alias("patterns"),
+    )
+    told = lists.select(
+        "part", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"), F.lit(0).alias("kind"), F.lit(None).cast("string").alias("cleaned"), "patterns"
     )
+    # the sort puts each list before its own texts; every part has one
+    dealt = told.unionByName(asked).repartition(parts * shares, "part", "share").sortWithinPartitions("part", "share", "kind")
+    hits = dealt.select("cleaned", "patterns").mapInArrow(_matcher(), "cleaned string, pattern string")
+    named = rules.filter(F.col("pattern") != "").groupBy("pattern").agg(F.min_by(F.struct(*rules.columns), "seq").alias("rule"))
+    size = F.length("pattern")
+    narrow = hits.join(named.select("pattern", F.col("rule.seq").alias("seq")), "pattern")
+    best = narrow.groupBy("cleaned").agg(F.min(F.struct((-size).alias("size"), "seq", "pattern")).alias("best"))
+    return best.select("cleaned", F.col("best.pattern").alias("pattern"), (-F.col("best.size") >= fv.MIN_ALIAS_EVIDENCE_CHARS).alias("evidence")).join(
+        named, "pattern"
+    ).select("cleaned", "rule", "evidence")
 
 
 def provider_patterns(rules: DataFrame) -> DataFrame:

@@ -115,3 +115,29 @@ def test_counterparty(spark, raw, expected):
     registry = spark.createDataFrame([(1, entries)], f"owner_id bigint, entries {kind}")
     rows = spark.createDataFrame([(1, raw)], "owner_id bigint, counterparty_raw string")
     assert rules.resolve_counterparty(rows, registry).first().counterparty_kind == expected
+
+
+def test_automata_against_a_scan(spark):
+    """Longest pattern, then the earliest; short, nested and repeated patterns, texts without any, and many small parts."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from ledgerloom.operators import rules
+
+    rng = random.Random(3)
+    word = lambda low, high: "".join(rng.choice("ab é") for _ in range(rng.randint(low, high)))
+    patterns = [(word(0, 7), n, f"m{n}") for n in range(150)] + [("ab", 500, "late"), ("ab", -1, "early")]
+    texts = [word(0, 40) for _ in range(300)] + [None, "", "zzz"]
+    known = spark.createDataFrame(patterns, "pattern string, seq int, name string")
+    frame = spark.createDataFrame([(t,) for t in texts + texts[:50]], "cleaned string")
+    want = {}
+    for t in {t for t in texts if t is not None}:
+        inside = sorted((-len(p), seq, p, name) for p, seq, name in patterns if p and p in t)
+        if inside:
+            want[t] = (inside[0][2], inside[0][3], -inside[0][0] >= 5)
+    for part_chars in (8_000_000, 60):
+        got = rules.longest_pattern(frame, known, part_chars).select("cleaned", "rule.pattern", "rule.name", "evidence").collect()
+        assert len(got) == len(want) and {r[0]: tuple(r[1:]) for r in got} == want
+    assert rules.longest_pattern(frame, known.limit(0)).isEmpty() and rules.longest_pattern(frame.limit(0), known).isEmpty()
+    assert rules.longest_pattern(frame.withColumn("other", F.lit(1)), known.filter("seq < 0")).count() == sum("ab" in (t or "") for t in set(texts))
