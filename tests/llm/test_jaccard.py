@@ -1,7 +1,11 @@
 import random
 
+import numpy as np
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from ledgerloom.llm import jaccard
+from ledgerloom.llm.components import components
 from tests.llm.test_simhash import plain_fingerprint
 
 SCHEMA = "doc_id long, text string, extra string"
@@ -81,3 +85,39 @@ def test_null_and_repeated_ids(spark):
     assert sorted((r.doc_id or 0, r.text.split()[0]) for r in out)[0] == (0, "nobody")
     assert len([r for r in out if r.doc_id is None]) == 1 and {r.doc_id for r in out} == {None, 7}
     assert jaccard.representatives(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_units_against_all_pairs():
+    rng = np.random.default_rng(5)
+    base = rng.choice(1 << 40, 400, replace=False)
+    sets = []
+    for _ in range(120):  # around 0.8 to each other
+        sets.append(np.unique(np.concatenate([rng.choice(base, rng.integers(300, 400), replace=False), rng.integers(1 << 41, 1 << 42, rng.integers(0, 60))])))
+    sets += [np.array([1]), np.array([1]), np.array([2, 3]), np.arange(5)]
+    roots = np.arange(len(sets))
+    roots[:20] = 0
+
+    def joined(pairs, crossing=None):
+        to = roots.copy()
+        for a, b in pairs:
+            if crossing is None or crossing[a] != crossing[b]:
+                to[to == to[a]] = to[b]
+        return {frozenset(np.flatnonzero(to == r).tolist()) for r in set(to.tolist())}
+
+    every = [(a, b) for a in range(len(sets)) for b in range(a) if (c := len(np.intersect1d(sets[a], sets[b]))) >= 0.8 * (len(sets[a]) + len(sets[b]) - c) - 1e-9]
+    one_side = np.zeros(len(sets), np.int64)
+    got = list(zip(*jaccard.unit_links(sets, roots, one_side, 0.8), strict=True))
+    assert set(map(frozenset, got)) <= set(map(frozenset, every)) and len(got) < len(sets)
+    assert joined(got) == joined(every) and 1 < len(joined(every)) < len(sets) - 19
+    sides = np.arange(len(sets)) % 2
+    assert joined(zip(*jaccard.unit_links(sets, roots, sides, 0.8), strict=True)) == joined(every, sides)
+
+
+def test_many_small_units_find_the_same(spark):
+    """Hot slots cut into many blocks: components as with one block a slot, and as by all pairs."""
+    rows = corpus(9)
+    docs = spark.createDataFrame(rows, SCHEMA)
+    prints = docs.select("doc_id", "text").mapInArrow(jaccard._signatures(5), "doc_id long, bits long, size long, bands array<long>")
+    nodes = prints.groupBy("bits").agg(F.min("doc_id").alias("least_id"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+    found = [components(jaccard.links(docs, nodes, 5, 0.8, unit)).groupBy("root").agg(F.count("*").alias("n")).collect() for unit in (500_000, 300)]
+    assert sorted(map(tuple, found[0])) == sorted(map(tuple, found[1])) and max(n for _, n in found[0]) > 100

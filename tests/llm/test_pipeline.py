@@ -10,9 +10,9 @@ import corpus_pipeline
 from ledgerloom.llm import language
 from tests.compare import compare, duck
 from tests.llm.test_fmindex import plain as plain_hits
+from tests.llm.test_jaccard import plain_kept
 from tests.llm.test_language import line
 from tests.llm.test_secrets import plain as plain_spans
-from tests.llm.test_simhash import plain_components, plain_fingerprint
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 SF_DIR = "/root/testdata/sf0.001"
@@ -55,8 +55,7 @@ def test_stages_against_brute_force(spark, corpus):
     # language: every text with letters is in a known language here
     assert ids("language_id") == [r[0] for r in table if any(c.isalpha() for c in r[1] or "")]
     kept = [r for r in table if r[0] in set(ids("language_id"))]
-    classes = plain_components([(r[0], plain_fingerprint(r[1])) for r in kept])
-    assert ids("near_dedup") == sorted({c for _, _, c in classes}) and len(ids("near_dedup")) < len(kept)
+    assert ids("near_dedup") == plain_kept(kept) and len(ids("near_dedup")) < len(kept)
     kept = [r for r in kept if r[0] in set(ids("near_dedup"))]
     clean = {d: text for d, _, _, _, text in plain_hits([(r[0], r[1]) for r in kept], list(enumerate(items)), 10)}
     assert {r.doc_id: r.text for r in made["decontamination"].collect()} == clean
@@ -98,6 +97,6 @@ def test_run(spark, corpus):
 
 @pytest.mark.parametrize("name", LLM_QUERIES)
 def test_query(spark, name):
-    assert len(LLM_QUERIES) == 10
+    assert len(LLM_QUERIES) == 13
     problem = compare(spark, duck(SF_DIR), entry.queries()[name], entry.oracle_sql().get(name), SF_DIR)
     assert problem is None, problem
