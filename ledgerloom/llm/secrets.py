@@ -31,6 +31,7 @@ ALLOWED = [
     r"(?i)0123456789abcdef|abcdefghijklmnop",
 ]
 SCALE = 1 << 30
+STRETCH = 256  # windows of a candidate that one scan covers
 STEP = 1000  # matches of a text whose places are summed up together
 SPANS = "array<struct<start:int,kind:int,end:int>>"
 
@@ -74,35 +75,68 @@ def _spans(matches: Column, kind: int) -> Column:
     return F.transform(matches, lambda m: F.struct(m["start"].alias("start"), F.lit(kind).alias("kind"), m["end"].alias("end")))
 
 
-def hot_windows(value: Column, bits: Column) -> Column:
-    """(start, end) ranges of `value` covered by windows whose entropy is at least `bits`.
+def _let(value: Column, body) -> Column:
+    """`body` of a value that is computed once, also inside other lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-    The window slides by one character; its counts and the sum of c*log2(c) change by the character that
-    enters and the one that leaves. The sum is kept in whole numbers, so it does not drift.
+
+def _hot_ends(codes: Column, first: Column, ceiling: Column) -> Column:
+    """Ends of the hot windows that end at character `first` (from 1) or one of the STRETCH - 1 after it.
+
+    The scan starts WINDOW characters earlier with empty counts, so each stretch stands on its own.
     """
     table = F.array(*[F.lit(round(c * math.log2(c) * SCALE) if c else 0).cast("long") for c in range(WINDOW + 2)])
-    ceiling = F.floor((math.log2(WINDOW) - bits) * WINDOW * SCALE).cast("long")
-    place = lambda i: F.instr(F.lit(ALPHABET), F.substring(value, i, F.lit(1))) - 1
+    begin = F.greatest(first - WINDOW, F.lit(1))
     seed = F.struct(
-        F.array_repeat(F.lit(0), len(ALPHABET) + 1).alias("counts"), F.lit(0).cast("long").alias("sum"),
-        F.array().cast("array<struct<start:int,end:int>>").alias("hot"),
+        F.array_repeat(F.lit(0), len(ALPHABET) + 1).alias("counts"), F.lit(0).cast("long").alias("sum"), F.array().cast("array<int>").alias("ends")
     )
 
     def slide(acc, i):
-        enters, leaves = place(i), F.when(i > WINDOW, place(i - WINDOW)).otherwise(F.lit(len(ALPHABET)))
-        grown = F.transform(acc["counts"], lambda c, j: c + (j == enters).cast("int") - ((j == leaves) & (i > WINDOW)).cast("int"))
+        full = i - begin >= WINDOW  # a character leaves
+        enters, leaves = F.get(codes, i - 1), F.when(full, F.get(codes, i - WINDOW - 1)).otherwise(F.lit(len(ALPHABET)))
+        grown = F.transform(acc["counts"], lambda c, j: c + (j == enters).cast("int") - ((j == leaves) & full).cast("int"))
         old_in, old_out = F.get(acc["counts"], enters), F.get(acc["counts"], leaves)
-        change = F.get(table, old_in + 1) - F.get(table, old_in) + F.when(i > WINDOW, F.get(table, old_out - 1) - F.get(table, old_out)).otherwise(0)
-        total = acc["sum"] + F.when((i > WINDOW) & (enters == leaves), F.lit(0)).otherwise(change)
-        last = F.get(acc["hot"], F.size(acc["hot"]) - 1)
-        begin = i - WINDOW
-        grows = F.coalesce(last["end"] >= begin, F.lit(False))
-        hot = F.when((i < WINDOW) | (total > ceiling), acc["hot"]).when(
-            grows, F.concat(F.slice(acc["hot"], 1, F.size(acc["hot"]) - 1), F.array(F.struct(last["start"].alias("start"), i.alias("end"))))
-        ).otherwise(F.concat(acc["hot"], F.array(F.struct(begin.alias("start"), i.alias("end")))))
-        return F.struct(grown.alias("counts"), total.alias("sum"), hot.alias("hot"))
-
-    return F.aggregate(F.sequence(F.lit(1), F.char_length(value)), seed, slide)["hot"]
+        change = F.get(table, old_in + 1) - F.get(table, old_in) + F.when(full, F.get(table, old_out - 1) - F.get(table, old_out)).otherwise(0)
+        total = acc["sum"] + F.when(full & (enters == leaves), F.lit(0)).otherwise(change)
+        hot = (i >= first) & (i >= WINDOW) & (total <= ceiling)
+        return F.struct(grown.alias("counts"), total.alias("sum"), F.when(hot, F.concat(acc["ends"], F.array(i))).otherwise(acc["ends"]).alias("ends"))
+
+    return F.aggregate(F.sequence(begin, F.least(first + STRETCH - 1, F.size(codes))), seed, slide)["ends"]
+
+
+def hot_windows(value: Column, bits: Column) -> Column:
+    """(start, end) ranges of `value` covered by windows whose entropy is at least `bits`.
+
+    The window slides by one character; its counts and the sum of c*log2(c) change by the character that
+    enters and the one that leaves. The sum is kept in whole numbers, so it does not drift. The characters are numbered once, the
+    scan runs in stretches, and ranges are formed from the ends of hot windows afterwards: the work for a character does not
+    depend on the length of the value.
+    """
+    ceiling = F.floor((math.log2(WINDOW) - bits) * WINDOW * SCALE).cast("long")
+    codes = F.transform(F.split(value, ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
+    none = F.array().cast("array<struct<start:int,end:int>>")
+
+    def ranges(ends):
+        # a range begins where a hot window does not touch the one before
+        begins = F.filter(
+            F.sequence(F.lit(0), F.size(ends) - 1), lambda k: (k == 0) | (F.get(ends, k) - F.get(ends, F.greatest(k - 1, F.lit(0))) > WINDOW)
+        )
+
+        def spans(at):
+            return F.transform(
+                at,
+                lambda k, n: F.struct(
+                    (F.get(ends, k) - WINDOW).alias("start"), F.get(ends, F.coalesce(F.get(at, n + 1), F.size(ends)) - 1).alias("end")
+                ),
+            )
+
+        return F.when(F.size(ends) > 0, _let(begins, spans)).otherwise(none)
+
+    def scanned(numbers):
+        stretches = F.sequence(F.lit(1), F.greatest(F.size(numbers), F.lit(1)), F.lit(STRETCH))
+        return _let(F.flatten(F.transform(stretches, lambda first: _hot_ends(numbers, first, ceiling))), ranges)
+
+    return F.when(F.char_length(value) >= WINDOW, _let(codes, scanned)).otherwise(none)
 
 
 def _entropy_spans(candidates: Column, base: Column) -> Column:
