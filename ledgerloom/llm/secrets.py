@@ -20,16 +20,20 @@ HEX_RUN = r"[0-9a-fA-F]{20,}"  # inside a candidate
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-"
 WINDOW = 20  # characters
 HEX_BITS, BASE64_BITS = 3.0, 3.7  # least entropy of a window, bits a character
-#: Candidates that are not secrets.
+#: Candidates, and hex runs in them, that are not secrets.
 ALLOWED = [
     r"^[^0-9]+$",  # words, paths, rules
     r"^[0-9=_+/-]+$",  # numbers
     r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",  # UUID
-    r"(?i)example|sample|dummy|placeholder|changeme",
     r"(?i)^(d41d8cd98f00b204e9800998ecf8427e|da39a3ee5e6b4b0d3255bfef95601890afd80709"
     r"|e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855)$",  # digests of nothing
-    r"(?i)0123456789abcdef|abcdefghijklmnop",
 ]
+#: A part of a candidate, between separators, with one of these words or rows of signs is no secret; the other parts may be.
+WORDS = "example|sample|dummy|placeholder|changeme"
+ROWS = "0123456789abcdef|abcdefghijklmnop"
+PART = "[^/=_-]+|[/=_-]"
+#: A long part with such a word is a key made up as an example: nothing of its candidate is a secret.
+MADE_UP = f"(?i)(?<![^/=_-])(?=[^/=_-]{{16}})[^/=_-]*?(?:{WORDS})"
 SCALE = 1 << 30
 STRETCH = 256  # windows of a candidate that one scan covers
 STEP = 1000  # matches of a text whose places are summed up together
@@ -139,24 +143,35 @@ def hot_windows(value: Column, bits: Column) -> Column:
     return F.when(F.char_length(value) >= WINDOW, _let(codes, scanned)).otherwise(none)
 
 
+def _masked(value: Column) -> Column:
+    """`value` with every part that the allow-list names replaced by as many dashes, so that no window is hot by it."""
+    named = f"(?i){WORDS}|{ROWS}"
+    parts = F.regexp_extract_all(value, F.lit(PART), F.lit(0))
+    kept = F.transform(parts, lambda p: F.when(p.rlike(named), F.repeat(F.lit("-"), F.char_length(p))).otherwise(p))
+    return F.when(value.rlike(named), F.array_join(kept, "")).otherwise(value)
+
+
 def _entropy_spans(candidates: Column, base: Column) -> Column:
-    """Hot ranges of candidates that no allow-list entry names, outside the base spans.
+    """Hot ranges of candidates outside the base spans, without the parts that the allow-list names.
 
     A candidate that is all hex digits is held against HEX_BITS. Any other is held against BASE64_BITS, and so are its
     runs of hex digits against HEX_BITS, each without its own allow-list entries.
     """
-    suspect = F.filter(candidates, lambda c: ~_allowed(c["value"]))
+    suspect = F.filter(candidates, lambda c: ~_allowed(c["value"]) & ~c["value"].rlike(MADE_UP))
 
     def placed(hot, start, kind):
         return F.transform(hot, lambda h: F.struct((start + h["start"]).alias("start"), F.lit(kind).alias("kind"), (start + h["end"]).alias("end")))
 
     def ranges(c):
-        runs = F.filter(_matches(c["value"], HEX_RUN), lambda r: ~_allowed(r["value"]))
-        by_hex = F.flatten(F.transform(runs, lambda r: placed(hot_windows(r["value"], F.lit(HEX_BITS)), c["start"] + r["start"], 3)))
-        whole = F.when(c["value"].rlike("^[0-9a-fA-F]+$"), F.array().cast(SPANS)).otherwise(
-            placed(hot_windows(c["value"], F.lit(BASE64_BITS)), c["start"], 4)
-        )
-        return F.concat(by_hex.cast(SPANS), whole.cast(SPANS))
+        def of(value):
+            runs = F.filter(_matches(value, HEX_RUN), lambda r: ~_allowed(r["value"]))
+            by_hex = F.flatten(F.transform(runs, lambda r: placed(hot_windows(r["value"], F.lit(HEX_BITS)), c["start"] + r["start"], 3)))
+            whole = F.when(value.rlike("^[0-9a-fA-F]+$"), F.array().cast(SPANS)).otherwise(
+                placed(hot_windows(value, F.lit(BASE64_BITS)), c["start"], 4)
+            )
+            return F.concat(by_hex.cast(SPANS), whole.cast(SPANS))
+
+        return _let(_masked(c["value"]), of)
 
     spans = F.flatten(F.transform(suspect, ranges))
     return F.filter(spans, lambda s: ~F.exists(base, lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"])))
@@ -173,7 +188,8 @@ def find(docs: DataFrame) -> DataFrame:
     """`docs` (with `text`) plus `secrets`: spans (start, kind, end) in code points, by start, kind and end.
 
     kind is an index into KINDS. The base kinds are the leftmost matches of their patterns; the entropy kinds
-    are the hot ranges of long candidate strings and of the hex runs in them, but for those inside a base span. A null or empty text has
+    are the hot ranges of long candidate strings and of the hex runs in them, but for those inside a base span. The allow-list takes out the
+    parts between separators that hold its words, and not what else a candidate holds. A null or empty text has
     none; texts are scanned whole; rows and other columns stay as they are (a column `secrets` is replaced).
     """
     text = F.coalesce(F.col("text"), F.lit(""))
