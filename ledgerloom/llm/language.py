@@ -15,6 +15,7 @@ from ledgerloom.llm.storage import stored
 ORDERS = (1, 2, 3)  # characters of an n-gram
 BUCKETS = 1 << 16
 SAMPLE_PER_LANGUAGE = 2000  # labelled texts of a language that the weights are fitted on; other statistics use all
+SALTS = 1024  # parts of a language whose smallest hashes are sought on their own
 CHUNK_CHARS = 1_000_000  # of texts whose n-grams are found at once
 PARTS = 64  # of the vector of document frequencies
 EPOCHS = 2
@@ -205,8 +206,11 @@ def train(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model
         return Model([], np.zeros((BUCKETS + 1, 0)), np.zeros(0), 1.0)
     idf = np.append(np.log((1 + count) / (1 + seen)) + 1.0, 0.0)
     keyed = rows.withColumn("order", F.xxhash64("text", "lang"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("order"))
-    chosen = stored(keyed.select("lang", "order").distinct().withColumn("rank", rank).where(F.col("rank") <= per_language).drop("rank"), "language-sample")
+    # the least of each salt first: no task sorts more than a salt of a language, or per_language rows of every salt
+    ranked = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("order"))
+    few = keyed.select("lang", "order").distinct().withColumn("salt", F.pmod("order", F.lit(SALTS)))
+    few = few.withColumn("rank", ranked("lang", "salt")).where(F.col("rank") <= per_language)
+    chosen = stored(few.withColumn("rank", ranked("lang")).where(F.col("rank") <= per_language).select("lang", "order"), "language-sample")
     sample = stored(keyed.join(chosen, ["lang", "order"], "left_semi").dropDuplicates(["lang", "order"]), "language-texts")
     languages = sorted(r.lang for r in sample.select("lang").distinct().collect())
     fitted = sample.repartition(1).mapInPandas(_fit_task(languages, idf), "bucket long, language int, value double").toPandas()
