@@ -6,16 +6,20 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.storage import work_folder
+from ledgerloom.llm.warc import file_system
 from ledgerloom.llm.words import ALNUM, Words, chunks
 
 WINDOW = 10  # consecutive words of a phrase
 SHARD_WORDS = 1_000_000  # words of one index; a longer document has an index of its own
 CHUNK_BYTES = 2_000_000  # text whose words are found and hashed at once
 SAMPLE = 16  # every so many positions of a shard are kept for locating
-PHRASE_BYTES = 32_000_000  # benchmark text of one block; more text makes more blocks, searched one after another
+PHRASE_BYTES = 8_000_000  # benchmark text of one block; more text makes more blocks, searched one after another
 
 
 class WaveletMatrix:
@@ -139,24 +143,33 @@ class Phrases:
         number = {w: i + 1 for i, w in enumerate(sorted(set(spelled)))}
         self.words = [b"", *number]
         self.top = len(number)
-        windows: dict[tuple, dict] = {}
-        for (item, _), first, count in zip(items, words.first.tolist(), words.count.tolist(), strict=True):
-            line = [number[w] for w in spelled[first : first + count]]
-            for i in range(max(1, count - window + 1) if count else 0):
-                owners = windows.setdefault(tuple(line[i : i + window]), {})
-                if item is not None:
-                    owners[item] = None
+        symbols = np.array([number[w] for w in spelled], np.int64)
+        names = [item for item, _ in items]
+        self.items = sorted({item for item in names if item is not None})
+        place = {item: i for i, item in enumerate(self.items)}
+        item_no = np.array([place.get(item, -1) for item in names], np.int64)
         self.rows: dict[int, np.ndarray] = {}
-        self.owners: dict[int, list[list[str]]] = {}
-        for size in sorted({len(w) for w in windows}):
-            same = [w for w in windows if len(w) == size]
-            self.rows[size] = np.array(same, np.int64).reshape(-1, size)
-            self.owners[size] = [list(windows[w]) for w in same]
+        self.owners: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        length = np.minimum(words.count, window)
+        for size in np.unique(length[length > 0]).tolist():
+            texts = np.flatnonzero(length == size)
+            many = words.count[texts] - size + 1  # 1 for a text shorter than the window
+            start = np.arange(many.sum()) + np.repeat(words.first[texts] - (np.cumsum(many) - many), many)
+            rows, which = np.unique(symbols[start[:, None] + np.arange(size)], axis=0, return_inverse=True)
+            owner = np.repeat(item_no[texts], many)
+            owned = np.unique(np.stack([which.ravel()[owner >= 0], owner[owner >= 0]]), axis=1)
+            self.rows[size] = rows
+            self.owners[size] = (np.searchsorted(owned[0], np.arange(len(rows) + 1)), owned[1])
         if number:
             known = Words(self.words[1:], ALNUM, lower=False).hashes()
             by = np.argsort(known, kind="stable")
             self.known, self.symbol = known[by], by + 1
 
+    def items_of(self, size: int, row: int) -> list[str]:
+        """Items that hold a window."""
+        begin, item = self.owners[size]
+        return [self.items[i] for i in item[begin[row] : begin[row + 1]].tolist()]
+
     def symbols(self, words: Words) -> np.ndarray:
         """Symbol of each word; 0 for a word of no phrase."""
         if not self.top or not len(words.start):
@@ -206,7 +219,7 @@ def occurrences(phrases: Phrases, shard: list[tuple[Words, np.ndarray]]):
                 if all(spelled(x, t) for x in range(a, a + size)):
                     change[a] += 1
                     change[a + size] -= 1
-                    items[t].update(dict.fromkeys(phrases.owners[size][w]))
+                    items[t].update(dict.fromkeys(phrases.items_of(size, w)))
     inside = np.cumsum(change[:-1]) > 0
     edges = np.flatnonzero(np.diff(inside.view(np.int8), prepend=0, append=0))
     owner = np.searchsorted(begin, edges[0::2], side="right") - 1
@@ -215,8 +228,9 @@ def occurrences(phrases: Phrases, shard: list[tuple[Words, np.ndarray]]):
     return hits, items
 
 
-RANGE = "array<struct<word:long,words:long,start:long,end:long>>"
-FOUND = {"_fm_words": "long", "_fm_hits": RANGE, "_fm_items": "array<string>"}
+FOUND = "_fm_found"
+FOUND_TYPE = "struct<n_words:long,hits:array<struct<word:long,words:long,start:long,end:long>>,items:array<string>>"
+RANGES = pa.list_(pa.struct([(name, pa.int64()) for name in ("word", "words", "start", "end")]))
 
 
 def union(a: list[dict], b: list[dict]) -> list[dict]:
@@ -234,33 +248,61 @@ def union(a: list[dict], b: list[dict]) -> list[dict]:
     return out
 
 
-def _search(phrases: Phrases, shard_words: int):
-    """mapInArrow body: the rows of each shard with what this block of phrases adds to what earlier ones found."""
-
-    def flush(shard):
-        hits, items = occurrences(phrases, [(words, symbols) for _, words, symbols in shard])
-        row = 0
-        for batch, words, _ in shard:
-            ranges = []
-            for first, origin, found in zip(words.first.tolist(), words.text_start.tolist(), hits[row : row + batch.num_rows], strict=True):
-                ranges.append(
-                    [
-                        {"word": a, "words": b - a, "start": int(words.start[first + a]) - origin, "end": int(words.end[first + b - 1]) - origin}
-                        for a, b in found
-                    ]
-                )
-            before = [x or [] for x in batch.column("_fm_hits").to_pylist()]
-            old = [x or [] for x in batch.column("_fm_items").to_pylist()]
-            new = [list(x) for x in items[row : row + batch.num_rows]]
-            row += batch.num_rows
-            made = {
-                "_fm_words": pa.array(words.count, pa.int64()),
-                "_fm_hits": pa.array([union(a, b) for a, b in zip(before, ranges, strict=True)], batch.schema.field("_fm_hits").type),
-                "_fm_items": pa.array([a + b for a, b in zip(old, new, strict=True)], batch.schema.field("_fm_items").type),
-            }
-            yield pa.RecordBatch.from_arrays([made.get(f.name, batch.column(i)) for i, f in enumerate(batch.schema)], names=batch.schema.names)
+def block_folder(folder: str, block: int) -> str:
+    return f"{folder.rstrip('/')}/block={block}"
+
+
+def read_phrases(folder: str, block: int, window: int) -> Phrases:
+    """One block of the benchmark, read by a task from the shared folder. A block that no item fell into has no phrases."""
+    system, path = file_system(block_folder(folder, block))
+    files = [f.path for f in system.get_file_info(fs.FileSelector(path, allow_not_found=True)) if f.path.endswith(".parquet")]
+    rows = [row for name in files for row in pq.ParquetFile(name, filesystem=system).read().to_pylist()]
+    return Phrases(sorted(((r["item"], r["text"]) for r in rows), key=lambda r: (r[0] or "", r[1])), window)
+
+
+def phrase_blocks(benchmark: DataFrame, block_bytes: int) -> tuple[str | None, int]:
+    """Distinct items of the benchmark, written by Spark as blocks of bounded text: their folder and number."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("binary").alias("text")).where("text is not null").distinct()
+    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    n = math.ceil(total / block_bytes)
+    if not n:
+        return None, 0
+    folder = work_folder(benchmark.sparkSession, "phrases")
+    items.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(n))).repartition("block").write.partitionBy("block").parquet(folder)
+    return folder, n
+
+
+def _search(folder: str | None, blocks: int, window: int, shard_words: int):
+    """mapInArrow body: the rows of each shard with what all blocks of phrases find in it, one block at a time."""
 
     def run(batches):
+        single = read_phrases(folder, 0, window) if blocks == 1 else None
+
+        def flush(shard):
+            texts = sum(batch.num_rows for batch, _ in shard)
+            ranges: list[list[dict]] = [[] for _ in range(texts)]
+            items: list[dict] = [{} for _ in range(texts)]
+            for block in range(blocks):
+                phrases = single or read_phrases(folder, block, window)
+                hits, owners = occurrences(phrases, [(words, phrases.symbols(words)) for _, words in shard])
+                row = 0
+                for _, words in shard:
+                    for first, origin in zip(words.first.tolist(), words.text_start.tolist(), strict=True):
+                        new = [
+                            {"word": a, "words": b - a, "start": int(words.start[first + a]) - origin, "end": int(words.end[first + b - 1]) - origin}
+                            for a, b in hits[row]
+                        ]
+                        ranges[row] = union(ranges[row], new)
+                        items[row].update(owners[row])
+                        row += 1
+            row = 0
+            for batch, words in shard:
+                stop = row + batch.num_rows
+                columns = [pa.array(words.count, pa.int64()), pa.array(ranges[row:stop], RANGES), pa.array([list(x) for x in items[row:stop]], pa.list_(pa.string()))]
+                found = pa.StructArray.from_arrays(columns, names=["n_words", "hits", "items"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, FOUND])
+                row = stop
+
         shard, held = [], 0
         for batch in batches:
             for first, texts in chunks(batch.column("text"), CHUNK_BYTES):
@@ -268,7 +310,7 @@ def _search(phrases: Phrases, shard_words: int):
                 if shard and held + len(words.start) > shard_words:
                     yield from flush(shard)
                     shard, held = [], 0
-                shard.append((batch.slice(first, len(texts)), words, phrases.symbols(words)))
+                shard.append((batch.slice(first, len(texts)), words))
                 held += len(words.start)
         if shard:
             yield from flush(shard)
@@ -276,14 +318,11 @@ def _search(phrases: Phrases, shard_words: int):
     return run
 
 
-def phrase_blocks(benchmark: DataFrame, window: int, block_bytes: int):
-    """The benchmark as blocks of bounded text; each is searched in a pass of its own over the same rows."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("binary").alias("text")).where("text is not null").distinct()
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = math.ceil(total / block_bytes)
-    for block in range(n):
-        rows = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == block).collect()
-        yield Phrases(sorted(((r.item, bytes(r.text)) for r in rows), key=lambda r: (r[0] or "", r[1])), window)
+def _searched(docs: DataFrame, benchmark: DataFrame, window: int, shard_words: int, block_bytes: int) -> DataFrame:
+    """`docs` plus the column FOUND."""
+    rows = docs.drop(FOUND)
+    folder, blocks = phrase_blocks(benchmark, block_bytes)
+    return rows.mapInArrow(_search(folder, blocks, window, shard_words), rows.withColumn(FOUND, F.lit(None).cast(FOUND_TYPE)).schema)
 
 
 def find(
@@ -294,29 +333,20 @@ def find(
     Words are runs of ASCII letters and digits and of all other non-ASCII signs, A-Z lower-cased. A phrase is
     `window` consecutive words of a benchmark item (item_id, text), or the whole item if it has fewer, but
     some. A null text has no words; a null item_id still marks words but is not listed; rows repeat as
-    they came; an empty benchmark finds nothing. No shuffle: each task indexes its own rows in shards.
+    they came; an empty benchmark finds nothing; a column `contamination` of `docs` gives way to the new one.
+    No shuffle of `docs`: each task indexes its own rows in shards. The benchmark lies in blocks in the shared
+    folder; a task holds one block at a time, the driver none.
     """
-    rows = docs.drop(*FOUND, "contamination")
-    for name, kind in FOUND.items():
-        rows = rows.withColumn(name, F.lit(None).cast(kind))
-    found, schema = rows, rows.schema
-    for phrases in phrase_blocks(benchmark, window, block_bytes):
-        found = found.mapInArrow(_search(phrases, shard_words), schema)
-    if found is rows:
-        found = rows.mapInArrow(_search(Phrases([], window), shard_words), schema)
-    return found.withColumn(
-        "contamination",
-        F.struct(
-            F.col("_fm_words").alias("n_words"), F.col("_fm_hits").alias("hits"), F.array_distinct("_fm_items").alias("items")
-        ),
-    ).drop(*FOUND)
+    return _searched(docs.drop("contamination"), benchmark, window, shard_words, block_bytes).withColumnRenamed(FOUND, "contamination")
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+def decontaminated(
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS, block_bytes: int = PHRASE_BYTES
+) -> DataFrame:
     """`docs` with every benchmark phrase cut out of `text` (and `n_chars` renewed where it is a column)."""
-    found = find(docs, benchmark, **options)
+    found = _searched(docs, benchmark, window, shard_words, block_bytes)
     raw = F.col("text").cast("binary")
-    hits = F.col("contamination.hits")
+    hits = F.col(f"{FOUND}.hits")
     kept = F.transform(
         F.sequence(F.lit(0), F.size(hits)),
         lambda i: F.struct(

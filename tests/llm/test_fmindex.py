@@ -63,6 +63,25 @@ def test_against_every_window(spark):
             cut = fmindex.decontaminated(df, bench, window=4, **options)
             assert sorted(((r.doc_id, r.text) for r in cut.collect()), key=repr) == sorted(((w[0], w[4]) for w in want), key=repr)
             assert cut.columns == df.columns
+            assert {r.contamination for r in cut.collect()} == {"c"}  # the documents' own column stays
+
+
+def test_blocks_in_the_shared_folder(spark):
+    """A block holds a bounded share of the benchmark, and the plan one pass whatever their number."""
+    _, items = case(5)
+    bench = spark.createDataFrame([(i, f"{t} {n}") for n in range(40) for i, t in items], "item_id long, text string")
+    folder, blocks = fmindex.phrase_blocks(bench, 500)
+    sizes = [sum(len(text) for text in fmindex.read_phrases(folder, b, 4).words) for b in range(blocks)]
+    assert blocks > 5 and max(sizes) <= 1500
+    docs = spark.createDataFrame([(1, items[3][1])], "doc_id long, text string")
+    plan = fmindex.find(docs, bench, window=4, block_bytes=500)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Exchange" not in plan
+
+
+def test_window_owners():
+    phrases = fmindex.Phrases([("a", b"x y z x y"), ("b", b"x y"), (None, b"z x"), ("c", b"?!")], 2)
+    spelled = {tuple(phrases.words[i] for i in row): phrases.items_of(2, n) for n, row in enumerate(phrases.rows[2])}
+    assert spelled == {(b"x", b"y"): ["a", "b"], (b"y", b"z"): ["a"], (b"z", b"x"): ["a"]}
 
 
 def test_empty_tables(spark):
