@@ -7,7 +7,7 @@ from pyspark.sql.types import StructType
 
 from ledgerloom import fixed_values as fv
 from ledgerloom.functions import money, text
-from ledgerloom.operators import accounts, labels, tables
+from ledgerloom.operators import accounts, labels, search, tables
 from ledgerloom.operators.rollups import top_per
 from ledgerloom.session import checkpointed
 
@@ -177,18 +177,16 @@ def assign_batch(ledger: DataFrame, assignments: DataFrame) -> DataFrame:
     tokens = alias_tokens(matched)
     rules = tokens.join(renamed, ["owner_id", "signature", "seq"]).withColumnRenamed("signature", "rule_signature")
 
-    # substring sweep as an equality on four-character windows of the owner's pending texts
-    rest = rows.join(renamed.select("owner_id", "signature"), ["owner_id", "signature"], "left_anti")
-    lowered, width = F.lower("described"), fv.MIN_ALIAS_CHARS
-    taught = rest.join(rules.select("owner_id").distinct(), "owner_id", "left_semi").filter(F.length(lowered) >= width)
-    places = taught.select("*", F.explode(F.sequence(F.lit(1), F.length(lowered) - width + 1)).alias("at"))
-    windows = places.withColumn("gram", F.substring(lowered, F.col("at"), F.lit(width))).drop("at")
-    hits = windows.join(rules.withColumn("gram", F.substring("alias_token", 1, width)), ["owner_id", "gram"])
-    hits = hits.filter(F.contains(lowered, F.col("alias_token")))
-    payload = F.struct("seq", "merchant", "new_category", "new_subcategory", "canonical", "alias_token")
-    swept = hits.groupBy("owner_id", "txn_id", "amount", "described", "signature").agg(F.min(payload).alias("rule")).select(
+    # distinct pending texts are passed once by the learnt tokens of their owner
+    rest = rows.join(renamed.select("owner_id", "signature"), ["owner_id", "signature"], "left_anti").withColumn("lowered", F.lower("described"))
+    needles = rules.select("owner_id", F.col("alias_token").alias("needle")).distinct()
+    found = search.scan(rest.select("owner_id", "lowered").distinct(), needles, ["lowered"])
+    payload = F.struct("seq", "merchant", "new_category", "new_subcategory", "canonical", F.col("needle").alias("alias_token"))
+    taught = rules.withColumnRenamed("alias_token", "needle").join(found, ["owner_id", "needle"])
+    first = taught.groupBy("owner_id", "lowered").agg(F.min(payload).alias("rule"))
+    swept = rest.join(first, ["owner_id", "lowered"]).select(
         "owner_id", "txn_id", "amount", "described", "signature", "rule.*", F.lit(fv.LAYER_ALIAS).alias("layer")
-    )
+    ).distinct()
     direct = matched.join(tokens, ["owner_id", "signature", "seq"], "left").withColumn("layer", F.lit(fv.LAYER_OVERRIDE))
     flow = text.flow_for_category(F.col("new_category"), F.col("amount"))
     return direct.unionByName(swept).withColumn("new_flow", flow)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerloom import fixed_values as fv
 from ledgerloom.functions import text
+from ledgerloom.operators import search
 from ledgerloom.operators.rollups import sum_if
 from ledgerloom.session import checkpointed
 
@@ -67,26 +68,24 @@ def route(questions: DataFrame) -> DataFrame:
 def search_counts(asked: DataFrame, ledger: DataFrame) -> DataFrame:
     """Rows of the owner whose merchant or description contains the needle, per question.
 
-    Needles are matched through three-character windows, shorter ones through windows of their width.
+    `asked`: question_id, owner_id, merchant, fy (null: all) and merchant_only, where the description does not count.
     """
     needle = F.regexp_replace(F.lower("merchant"), "[%_]", "")
-    wanted = asked.select("question_id", "owner_id", F.col("fy").alias("q_fy"), needle.alias("needle")).filter("needle <> ''")
+    wanted = asked.select("question_id", "owner_id", F.col("fy").alias("q_fy"), "merchant_only", needle.alias("needle")).filter("needle <> ''")
+    needles = wanted.select("owner_id", "needle").distinct()
     rows = ledger.select(
         "owner_id", "txn_id", "fy_key", F.lower(F.coalesce("merchant", F.lit(""))).alias("m"),
         F.lower(F.coalesce("raw_description", F.lit(""))).alias("d"),
     )
     # only of owners that asked; counted per distinct text, so that repeated texts are compared once
-    rows = rows.join(wanted.select("owner_id").distinct(), "owner_id", "left_semi")
-    texts = rows.groupBy("owner_id", "fy_key", "m", "d").agg(F.count("*").alias("n"))
-    windows = F.array_distinct(F.concat(text.grams(F.col("m"), 3), text.grams(F.col("d"), 3)))
-    keyed = texts.select("*", F.explode(windows).alias("gram"))
-    hit = F.contains("m", "needle") | F.contains("d", "needle")
+    rows = rows.join(needles.select("owner_id").distinct(), "owner_id", "left_semi")
+    counted = rows.groupBy("owner_id", "m", "d", "fy_key").agg(F.count("*").alias("n"))
+    hits = search.scan(counted, needles, ["m", "d"]).groupBy("owner_id", "needle", "fy_key").agg(
+        F.sum("n").alias("either"), F.sum(F.when(F.col("in_m"), F.col("n"))).alias("merchant_rows")
+    )
     period = F.col("q_fy").isNull() | (F.col("q_fy") == F.col("fy_key"))
-    long_ = keyed.join(wanted.filter(F.length("needle") >= 3).withColumn("gram", F.substring("needle", 1, 3)), ["owner_id", "gram"])
-    narrow = F.array_distinct(F.concat(*[text.grams(F.col(c), w) for c in ("m", "d") for w in (1, 2)]))
-    short = texts.select("*", F.explode(narrow).alias("needle")).join(wanted.filter(F.length("needle") < 3), ["owner_id", "needle"])
-    both = [x.filter(hit & period).select("question_id", "n") for x in (long_, short)]
-    return both[0].unionByName(both[1]).groupBy("question_id").agg(F.sum("n").alias("matches"))
+    n = F.when(F.col("merchant_only"), F.col("merchant_rows")).otherwise(F.col("either"))
+    return wanted.join(hits, ["owner_id", "needle"]).filter(period & n.isNotNull()).groupBy("question_id").agg(F.sum(n).alias("matches"))
 
 
 def answer(routed: DataFrame, ledger: DataFrame, evidence: DataFrame, subscriptions: DataFrame, review_items: DataFrame) -> DataFrame:
@@ -97,6 +96,11 @@ def answer(routed: DataFrame, ledger: DataFrame, evidence: DataFrame, subscripti
     """
     # every kind of answer reads the routed questions: route them once
     routed = checkpointed(routed)
+    # facts of owners that asked
+    owners = routed.select("owner_id").distinct()
+    ledger, evidence, subscriptions, review_items = (
+        df.join(owners, "owner_id", "left_semi") for df in (ledger, evidence, subscriptions, review_items)
+    )
     period = F.coalesce("fy_key", F.lit(ALL)).alias("fy")
     flow = F.col("flow")
     flows = ledger.rollup("owner_id", "fy_key").agg(
@@ -133,13 +137,14 @@ def answer(routed: DataFrame, ledger: DataFrame, evidence: DataFrame, subscripti
         "question_id", "tool", F.col("total").alias("fact_total"), F.col("items").alias("fact_items"),
         (F.col("total").isNotNull() | F.col("items").isNotNull()).alias("has_fact"),
     )
-    searched = search_counts(routed.filter("tool = 'merchant_search'"), ledger)
-    by_merchant = search_counts(routed.filter("tool = 'provenance' and merchant is not null").withColumn("fy", F.lit(None).cast("string")), ledger.withColumn("raw_description", F.lit("")))
+    provenance = F.col("tool") == "provenance"
+    looking = routed.filter((F.col("tool") == "merchant_search") | (provenance & F.col("merchant").isNotNull()))
+    searched = search_counts(looking.withColumns({"fy": F.when(~provenance, F.col("fy")), "merchant_only": provenance}), ledger)
     by_id = routed.filter("txn_id is not null").select("question_id", "owner_id", "txn_id").join(
         ledger.select("owner_id", "txn_id"), ["owner_id", "txn_id"]
     ).groupBy("question_id").agg(F.count("*").alias("matches"))
     limit = F.when(F.col("tool") == "merchant_search", 25).otherwise(10)
-    lookups = searched.unionByName(by_merchant).unionByName(by_id)
+    lookups = searched.unionByName(by_id)
     shown = answered.join(lookups, "question_id", "left")
     items = F.when(F.col("tool").isin("merchant_search", "provenance"), F.when(F.col("matches").isNotNull(), F.least("matches", limit))).otherwise(F.col("fact_items"))
     # an empty review queue is an answer too

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.plans import account_queries, completeness_queries, integrity_queries, label_queries, review_queries, rollup_queries, rule_queries, source_queries, tax_queries  # noqa: F401
+from ledgerloom.plans import account_queries, completeness_queries, integrity_queries, label_queries, review_queries, rollup_queries, rule_queries, search_queries, source_queries, tax_queries  # noqa: F401
 from ledgerloom.plans.registry import ORACLES, QUERIES
 from ledgerloom.session import ensure_settings
 
