@@ -39,10 +39,7 @@ def label_id() -> Column:
 # ------------------------------------------------------------------------------ training
 def pool_tokens(tokens: DataFrame, keys: list[str]) -> DataFrame:
     """Masked mean of token vectors (keys, mask, vector), then unit length."""
-    used = tokens.filter("mask <> 0").select(*keys, F.posexplode("vector").alias("dim", "value"))
-    mean = used.groupBy(*keys, "dim").agg(F.avg("value").alias("value"))
-    ordered = F.array_sort(F.collect_list(F.struct("dim", "value")))  # one entry per dimension
-    pooled = mean.groupBy(*keys).agg(F.transform(ordered, lambda d: d["value"]).alias("vector"))
+    pooled = vectors.mean_vectors(tokens.filter("mask <> 0"), keys, F.col("vector"), "vector")
     return pooled.withColumn("vector", vectors.l2_normalize(F.col("vector")))
 
 
@@ -54,10 +51,7 @@ def train_head(examples: DataFrame, dimensions: int, model_id: str) -> DataFrame
     usable = examples.filter((F.size("embedding") == dimensions) & (F.col("embedding_model_id") == model_id)).withColumn("label_id", label_id())
     counts = usable.groupBy("owner_id", "label_id", *LABEL).agg(F.count("*").alias("examples"))
     totals = counts.groupBy("owner_id").agg(F.sum("examples").alias("all_examples"))
-    spread = usable.select("owner_id", "label_id", F.posexplode(vectors.l2_normalize(F.col("embedding"))).alias("dim", "value"))
-    means = spread.groupBy("owner_id", "label_id", "dim").agg(F.avg("value").alias("value"))
-    ordered = F.array_sort(F.collect_list(F.struct("dim", "value")))  # one entry per dimension
-    centroids = means.groupBy("owner_id", "label_id").agg(F.transform(ordered, lambda d: d["value"]).alias("centroid"))
+    centroids = vectors.mean_vectors(usable, ["owner_id", "label_id"], vectors.l2_normalize(F.col("embedding")), "centroid")
     return (
         counts.join(centroids, ["owner_id", "label_id"]).join(totals, "owner_id")
         .select(
