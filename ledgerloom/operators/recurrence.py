@@ -69,7 +69,9 @@ def recurrence_index(ledger: DataFrame, merchant: Column | None = None, keys: tu
 
     `merchant` is the parser's merchant when it has one; the description is used otherwise.
     """
-    described = F.col("raw_description") if merchant is None else F.coalesce(merchant, F.col("raw_description"))
+    # never null, so a join on the signature needs no null test, which would compute it again at the scan
+    named = [F.col("raw_description"), F.lit("")]
+    described = F.coalesce(*named) if merchant is None else F.coalesce(merchant, *named)
     debits = ledger.filter("amount < 0").withColumn("signature", text.signature(described))
     group = [*keys, "signature"]
     days = debits.groupBy(*group, "txn_date").agg(

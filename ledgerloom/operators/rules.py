@@ -96,7 +96,7 @@ def _matcher() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
                     for i, p in enumerate(listed):
                         automaton.add_word(p, i)
                     automaton.make_automaton()
-                elif automaton is not None:
+                elif automaton is not None and cleaned is not None:
                     first = min((i for _, i in automaton.iter(cleaned)), default=None)
                     if first is not None:
                         texts.append(cleaned)
@@ -117,15 +117,17 @@ def longest_pattern(descriptions: DataFrame, rules: DataFrame, part_chars: int =
     """
     lists, parts = _automata(rules, part_chars)
     shares = int(descriptions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    asked = descriptions.select("cleaned").filter("cleaned is not null").distinct().select(
+    # a test for null here would be pushed down to the scan, with a second run of the expressions behind `cleaned`
+    asked = descriptions.select("cleaned").distinct().select(
         F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.pmod(F.xxhash64("cleaned"), F.lit(shares)).cast("int").alias("share"),
         F.lit(1).alias("kind"), "cleaned", F.lit(None).cast("array<string>").alias("patterns"),
     )
     told = lists.select(
         "part", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"), F.lit(0).alias("kind"), F.lit(None).cast("string").alias("cleaned"), "patterns"
     )
-    # the sort puts each list before its own texts; every part has one
-    dealt = told.unionByName(asked).repartition(parts * shares, "part", "share").sortWithinPartitions("part", "share", "kind")
+    # one (part, share) a partition, where hashing them would leave some partitions empty; the sort puts each list before its texts
+    place = (F.col("part") * shares + F.col("share")).cast("int")
+    dealt = told.unionByName(asked).repartitionById(parts * shares, place).sortWithinPartitions("kind")
     hits = dealt.select("cleaned", "patterns").mapInArrow(_matcher(), "cleaned string, pattern string")
     named = rules.filter(F.col("pattern") != "").groupBy("pattern").agg(F.min_by(F.struct(*rules.columns), "seq").alias("rule"))
     size = F.length("pattern")
@@ -390,6 +392,23 @@ def isolate_project(found: Column, cleaned: Column) -> Column:
 
 
 # --------------------------------------------------------------------------- the cascade
+def text_lookups(rows: DataFrame, aliases: DataFrame, providers: DataFrame | None = None) -> DataFrame:
+    """What the layers ask of a description alone, once per distinct `described`: cleaned, signature, alias, evidence and, with
+    `providers`, provider.
+
+    The regular expressions run behind the exchange of the distinct descriptions, so neither repeated rows nor few large files
+    slow them down; all uses share that exchange.
+    """
+    described = F.col("described")
+    texts = rows.select(described).distinct().withColumns({"cleaned": text.clean(described), "signature": text.signature(described)})
+    named = longest_pattern(texts, aliases).withColumnRenamed("rule", "alias")
+    found = texts.join(named, "cleaned", "left").withColumn("evidence", F.coalesce("evidence", F.lit(False)))
+    if providers is None:
+        return found
+    known = longest_pattern(texts, provider_patterns(providers)).select("cleaned", F.col("rule").alias("provider"))
+    return found.join(known, "cleaned", "left")
+
+
 def attach_lookups(
     ledger: DataFrame,
     profiles: DataFrame,
@@ -403,8 +422,8 @@ def attach_lookups(
     `merchant_hint` is a merchant the parser extracted, when the ledger has that column.
     """
     rows = ledger if "merchant_hint" in ledger.columns else ledger.withColumn("merchant_hint", F.lit(None).cast("string"))
-    described = F.coalesce("raw_description", F.lit(""))
-    rows = rows.withColumns({"cleaned": text.clean(described), "signature": text.signature(described)})
+    rows = rows.withColumn("described", F.coalesce("raw_description", F.lit("")))
+    rows = rows.join(text_lookups(rows, aliases, providers), "described").drop("described")
     recurring_key = F.when(F.col("merchant_hint").isNull(), F.col("signature")).otherwise(text.signature(F.col("merchant_hint")))
     rows = rows.withColumn("recurring_signature", recurring_key)
 
@@ -415,18 +434,11 @@ def attach_lookups(
         F.struct("flow", "category", "subcategory", "merchant", "tax_section", "note").alias("override"),
     )
     rhythm = recurrence.withColumnRenamed("signature", "recurring_signature")
-    named = longest_pattern(rows, aliases).withColumnRenamed("rule", "alias")
-    rows = (
+    return (
         rows.join(household, "owner_id", "left")
         .join(rule, ["owner_id", "signature"], "left")
         .join(rhythm, ["owner_id", "recurring_signature"], "left")
-        .join(named, "cleaned", "left")
-        .withColumn("evidence", F.coalesce("evidence", F.lit(False)))
     )
-    if providers is None:
-        return rows
-    known = longest_pattern(rows, provider_patterns(providers)).select("cleaned", F.col("rule").alias("provider"))
-    return rows.join(known, "cleaned", "left")
 
 
 def decide(rows: DataFrame) -> DataFrame:
