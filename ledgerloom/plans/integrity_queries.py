@@ -592,6 +592,12 @@ def transfer_pairs(spark, sf_dir):
     return transfers.transfer_pairs(transfers.with_flags(event_legs(spark, sf_dir), own_names()))
 
 
+@query("transfer_pairs_next_day", on_legs("SELECT * FROM pairs", SQL_PAIRS.replace("d.txn_date)) <= 4", "d.txn_date)) <= 1")))
+def transfer_pairs_next_day(spark, sf_dir):
+    """Pairs under a window of one day."""
+    return transfers.transfer_pairs(transfers.with_flags(event_legs(spark, sf_dir), own_names()), window_days=1)
+
+
 @query(
     "transfer_links",
     on_legs(

@@ -196,6 +196,28 @@ def decide_labels(spark, sf_dir):
     return decided(spark, sf_dir).select("txn_id", "has_prediction", "review_status", "source", "final.category", "final.layer")
 
 
+STRICT = ["Groceries", "Salary", "Travel"]
+
+
+@query(
+    "decide_labels_strict",
+    on_labels(
+        f"""SELECT txn_id, CASE WHEN accepted THEN 'local_ml' ELSE 'deterministic' END AS source,
+        CASE WHEN accepted THEN 'accepted' WHEN has_prediction THEN CASE WHEN sure = 'low' THEN 'required' ELSE 'suggested' END
+          WHEN review_required THEN 'required' ELSE 'none' END AS review_status
+        FROM (SELECT *, has_prediction AND sure = 'high' AND evidence >= 3 AND probability >= 0.95 AND margin >= 0.9
+            AND predicted_category IN ({', '.join(repr(c) for c in STRICT)}) AS accepted FROM gated)""",
+        SQL_SCORES,
+        SQL_DECIDED,
+    ),
+)
+def decide_labels_strict(spark, sf_dir):
+    """A gate with options stricter than the built-in ones."""
+    rows = labels.count_evidence(predicted(spark, sf_dir), examples(spark, sf_dir), MODEL, DIMENSIONS)
+    done = labels.decide(rows.withColumn("nearest_merchant", F.lit(None).cast("string")), 3, 0.95, 0.9, STRICT)
+    return done.select("txn_id", "source", "review_status")
+
+
 PREDICTION = ["owner_id", "prediction_id", "txn_id", "predicted_merchant", "predicted_flow", "predicted_category", "predicted_subcategory", "probability", "confidence", "decision"]
 
 

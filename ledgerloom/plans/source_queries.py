@@ -64,6 +64,31 @@ def statement_rows_query(spark, sf_dir):
     return parsed.select("owner_id", "document_id", "txn_id", "txn_date", "amount", "raw_description")
 
 
+@query(
+    "statement_parsers",
+    b.with_ctes(
+        b.SQL_ORDERS, SQL_STATEMENT,
+        select="""SELECT owner_id, document_id, txn_id, amount, CASE owner_id % 3 WHEN 0 THEN 'USD' WHEN 1 THEN 'EUR' ELSE 'INR' END AS currency FROM expected""",
+    ),
+)
+def statement_parsers(spark, sf_dir):
+    """Documents go to the parser of their provider and type, of their type alone, or to the default."""
+
+    def in_currency(code):
+        return lambda documents: statements.parse_statements(documents).withColumn("currency", F.lit(code))
+
+    third = F.col("owner_id") % 3
+    documents = statement_text(spark, sf_dir).withColumns(
+        {
+            "provider_id": F.when(third == 0, "dollar").otherwise(F.col("provider_id")),
+            "doc_type": F.when(third == 1, "passbook").otherwise(F.col("doc_type")),
+        }
+    )
+    parsers = {"dollar:bank_statement": in_currency("USD"), "*:passbook": in_currency("EUR"), "dollar:passbook": in_currency("GBP")}
+    parsed = statements.transactions(statements.parse_with(documents, parsers))
+    return parsed.select("owner_id", "document_id", "txn_id", "amount", "currency")
+
+
 @query(
     "statement_rejects",
     b.with_ctes(
