@@ -21,20 +21,22 @@ LABELS = [
 ]
 
 
-def labelled(spark, sf_dir):
+def labelled(spark, sf_dir, pull=0):
+    """`pull` moves every vector towards an axis of its label, some more than others; without it few rows are told apart surely."""
     e = b.table(spark, sf_dir, "embeddings")
     key = F.col("vec_id")
+    drawn = F.lit(float(pull)) * (key % 4)
     rows = F.array(*[F.struct(*[F.lit(v).cast("string").alias(n) for n, v in zip(labels.LABEL, label)]) for label in LABELS])
     return e.select(
         (key % 2).alias("owner_id"), key.alias("vec_id"), F.get(rows, F.col("label")).alias("of"),
-        F.transform("embedding", lambda x: x.cast("double")).alias("embedding"),
+        F.transform("embedding", lambda x, i: x.cast("double") + F.when(i == F.col("label"), drawn).otherwise(0.0)).alias("embedding"),
         F.when(key % 3 != 2, F.concat(F.lit("i"), key % 3)).alias("institution_id"),
         F.concat(F.lit("M"), key % 17).alias("merchant"),
     ).select("*", "of.*").drop("of")
 
 
-def examples(spark, sf_dir):
-    return labelled(spark, sf_dir).filter("vec_id % 5 <> 0").withColumns(
+def examples(spark, sf_dir, pull=0):
+    return labelled(spark, sf_dir, pull).filter("vec_id % 5 <> 0").withColumns(
         {
             "example_id": F.concat(F.lit("ex"), F.lpad(F.col("vec_id").cast("string"), 9, "0")),
             "embedding_model_id": F.when(F.col("vec_id") % 20 == 7, "other").otherwise(MODEL),
@@ -43,8 +45,8 @@ def examples(spark, sf_dir):
     ).drop("vec_id")
 
 
-def transactions(spark, sf_dir):
-    rows = labelled(spark, sf_dir).filter("vec_id % 5 = 0")
+def transactions(spark, sf_dir, pull=0):
+    rows = labelled(spark, sf_dir, pull).filter("vec_id % 5 = 0")
     key = F.col("vec_id")
     credit = (F.col("flow") == "income") != (key % 35 == 0)
     layer = F.when(key % 25 == 0, 4).when(key % 10 == 0, 7).otherwise(5)
@@ -133,9 +135,9 @@ def train_head(spark, sf_dir):
     return rows.withColumns({"dim": F.col("dim").cast("bigint"), "weight": vectors.round6(F.col("weight")), "bias": vectors.round6(F.col("bias"))})
 
 
-def predicted(spark, sf_dir):
-    head = labels.train_head(examples(spark, sf_dir), DIMENSIONS, MODEL)
-    return labels.predict(transactions(spark, sf_dir), head)
+def predicted(spark, sf_dir, pull=0):
+    head = labels.train_head(examples(spark, sf_dir, pull), DIMENSIONS, MODEL)
+    return labels.predict(transactions(spark, sf_dir, pull), head)
 
 
 WINNER = ["owner_id", "txn_id", "label_id", "predicted_flow", "predicted_category", "predicted_subcategory", "probability", "margin"]
@@ -196,26 +198,44 @@ def decide_labels(spark, sf_dir):
     return decided(spark, sf_dir).select("txn_id", "has_prediction", "review_status", "source", "final.category", "final.layer")
 
 
+PULL = 1
 STRICT = ["Groceries", "Salary", "Travel"]
 
 
-@query(
-    "decide_labels_strict",
-    on_labels(
-        f"""SELECT txn_id, CASE WHEN accepted THEN 'local_ml' ELSE 'deterministic' END AS source,
-        CASE WHEN accepted THEN 'accepted' WHEN has_prediction THEN CASE WHEN sure = 'low' THEN 'required' ELSE 'suggested' END
-          WHEN review_required THEN 'required' ELSE 'none' END AS review_status
-        FROM (SELECT *, has_prediction AND sure = 'high' AND evidence >= 3 AND probability >= 0.95 AND margin >= 0.9
-            AND predicted_category IN ({', '.join(repr(c) for c in STRICT)}) AS accepted FROM gated)""",
-        SQL_SCORES,
-        SQL_DECIDED,
-    ),
-)
-def decide_labels_strict(spark, sf_dir):
-    """A gate with options stricter than the built-in ones."""
-    rows = labels.count_evidence(predicted(spark, sf_dir), examples(spark, sf_dir), MODEL, DIMENSIONS)
-    done = labels.decide(rows.withColumn("nearest_merchant", F.lit(None).cast("string")), 3, 0.95, 0.9, STRICT)
-    return done.select("txn_id", "source", "review_status")
+def on_pulled(select: str, *ctes: str) -> str:
+    moved = f"list_transform(embedding::DOUBLE[], lambda x, i: x + CASE WHEN i = label + 1 THEN {PULL} * (vec_id % 4) ELSE 0 END) AS embedding"
+    return b.with_ctes(SQL_LABELLED.replace("embedding::DOUBLE[] AS embedding", moved), *ctes, select=select)
+
+
+def _gate(name, gate, options):
+    """A query of the decisions under a gate's options, over vectors that are told apart well enough for some to pass."""
+
+    @query(
+        name,
+        on_pulled(
+            f"""SELECT txn_id, CASE WHEN accepted THEN 'local_ml' ELSE 'deterministic' END AS source,
+            CASE WHEN accepted THEN 'accepted' WHEN has_prediction THEN CASE WHEN sure = 'low' THEN 'required' ELSE 'suggested' END
+              WHEN review_required THEN 'required' ELSE 'none' END AS review_status
+            FROM (SELECT *, has_prediction AND sure = 'high' AND {gate} AS accepted FROM gated)""",
+            SQL_SCORES,
+            SQL_DECIDED,
+        ),
+    )
+    def run(spark, sf_dir):
+        counted = labels.count_evidence(predicted(spark, sf_dir, PULL), examples(spark, sf_dir, PULL), MODEL, DIMENSIONS)
+        done = labels.decide(counted.withColumn("nearest_merchant", F.lit(None).cast("string")), **options)
+        return done.select("txn_id", "source", "review_status")
+
+    return run
+
+
+def _listed(categories):
+    return f"predicted_category IN ({', '.join(repr(c) for c in categories)})"
+
+
+_gate("decide_labels_sure", _listed(fv.AUTO_ACCEPT_CATEGORIES), {})
+_gate("decide_labels_strict", "probability >= 0.985 AND margin >= 0.98 AND evidence >= 4", {"min_evidence": 4, "min_score": 0.985, "min_margin": 0.98, "allowed": [c for _, c, _ in LABELS]})
+_gate("decide_labels_listed", _listed(STRICT), {"allowed": STRICT})
 
 
 PREDICTION = ["owner_id", "prediction_id", "txn_id", "predicted_merchant", "predicted_flow", "predicted_category", "predicted_subcategory", "probability", "confidence", "decision"]
