@@ -141,3 +141,25 @@ def test_automata_against_a_scan(spark):
         assert len(got) == len(want) and {r[0]: tuple(r[1:]) for r in got} == want
     assert rules.longest_pattern(frame, known.limit(0)).isEmpty() and rules.longest_pattern(frame.limit(0), known).isEmpty()
     assert rules.longest_pattern(frame.withColumn("other", F.lit(1)), known.filter("seq < 0")).count() == sum("ab" in (t or "") for t in set(texts))
+
+
+def test_descriptions_are_read_once_whatever_their_rows(spark):
+    """Null, repeated and differently spaced descriptions keep their rows; no null test repeats the expressions behind `cleaned`."""
+    rows = [(1, f"t{i}", DAY, -100, d, None) for i, d in enumerate(["UPI  Plum 12", "UPI  Plum 12", "upi plum 12", None, "", "corner shop", "acme bank fee"])]
+    known = spark.createDataFrame([("plum", "Plum", "expenses.food", None, "user", "high", 1)], ALIAS)
+    providers = spark.createDataFrame(
+        [("acme", "Acme Bank", ["acme bank"], "expense", "Fees", None, 1)],
+        "institution_id string, display_name string, patterns array<string>, flow string, category string, subcategory string, seq int",
+    )
+    found = rules.attach_lookups(
+        spark.createDataFrame(rows, LEDGER), spark.createDataFrame([PROFILE], rules.PROFILE_SCHEMA), spark.createDataFrame([], OVERRIDE), known,
+        spark.createDataFrame([], "owner_id bigint, signature string, cadence string, occurrences bigint"), providers,
+    )
+    got = {r.txn_id: (r.cleaned, r.alias and r.alias.canonical_merchant, r.evidence, r.provider and r.provider.institution_id) for r in found.collect()}
+    plum = ("upi plum 12", "Plum", False, None)
+    assert got == {
+        "t0": plum, "t1": plum, "t2": plum, "t3": ("", None, False, None), "t4": ("", None, False, None),
+        "t5": ("corner shop", None, False, None), "t6": ("acme bank fee", None, False, "acme"),
+    }
+    assert found.count() == len(rows)
+    assert "isnotnull(trim(" not in found._jdf.queryExecution().optimizedPlan().toString()
