@@ -6,7 +6,7 @@ classified in a single projection after its lookups are joined:
 * household profile: one row per owner with arrays in declared order, so "first match" is an
   array filter and a row never fans out;
 * overrides and recurrence: equality on (owner_id, signature);
-* merchant aliases: all patterns at once by a multi-pattern automaton, over each distinct description once.
+* merchant aliases: all patterns at once by a multi-pattern automaton, which reads the descriptions where the rows are.
 """
 
 from __future__ import annotations
@@ -16,12 +16,16 @@ from functools import reduce
 
 import ahocorasick
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ledgerloom import fixed_values as fv
 from ledgerloom.functions import money, text
 from ledgerloom.functions.vectors import let
 from ledgerloom.operators.rollups import top_per
+from ledgerloom.session import stored
 
 PART_CHARS = 8_000_000  # of patterns in one automaton
 
@@ -392,21 +396,44 @@ def isolate_project(found: Column, cleaned: Column) -> Column:
 
 
 # --------------------------------------------------------------------------- the cascade
-def text_lookups(rows: DataFrame, aliases: DataFrame, providers: DataFrame | None = None) -> DataFrame:
-    """What the layers ask of a description alone, once per distinct `described`: cleaned, signature, alias, evidence and, with
-    `providers`, provider.
+def _rule_finder(folder: str, kind: pa.DataType) -> Callable[[Iterator[pa.Array]], Iterator[pa.Array]]:
+    """The preferred rule of each text, of a list that a task reads from the shared folder, where it stands in the order of preference."""
+
+    def match(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        bare = folder.removeprefix("file:")
+        system, path = fs.FileSystem.from_uri(bare) if "://" in bare else (fs.LocalFileSystem(), "/" + bare.lstrip("/"))
+        files = [f.path for f in system.get_file_info(fs.FileSelector(path)) if f.path.endswith(".parquet")]
+        listed = pa.concat_tables([pq.read_table(f, filesystem=system) for f in files])
+        rules = listed.column("rule").combine_chunks().cast(kind)
+        automaton = ahocorasick.Automaton()
+        for i, pattern in enumerate(listed.column("pattern").to_pylist()):
+            automaton.add_word(pattern, i)
+        automaton.make_automaton()
+        for batch in batches:
+            texts = batch.to_pylist() if len(rules) else [None] * len(batch)
+            first = [None if t is None else min((i for _, i in automaton.iter(t)), default=None) for t in texts]
+            yield rules.take(pa.array(first, pa.int64()))
+
+    return match
 
-    The regular expressions run behind the exchange of the distinct descriptions, so neither repeated rows nor few large files
-    slow them down; all uses share that exchange.
+
+def with_longest_pattern(rows: DataFrame, rules: DataFrame, name: str, part_chars: int = PART_CHARS) -> DataFrame:
+    """`rows` (with `cleaned`) plus `name`: the rule of the longest pattern inside `cleaned`, as `longest_pattern` finds it, else null.
+
+    Rules whose patterns fit one automaton lie in the shared folder: tasks read them there and pass over their rows, which are
+    not shuffled. Larger rule tables go by `longest_pattern`, over distinct texts.
     """
-    described = F.col("described")
-    texts = rows.select(described).distinct().withColumns({"cleaned": text.clean(described), "signature": text.signature(described)})
-    named = longest_pattern(texts, aliases).withColumnRenamed("rule", "alias")
-    found = texts.join(named, "cleaned", "left").withColumn("evidence", F.coalesce("evidence", F.lit(False)))
-    if providers is None:
-        return found
-    known = longest_pattern(texts, provider_patterns(providers)).select("cleaned", F.col("rule").alias("provider"))
-    return found.join(known, "cleaned", "left")
+    patterns = rules.filter(F.col("pattern") != "").groupBy("pattern").agg(F.min_by(F.struct(*rules.columns), "seq").alias("rule"))
+    if (patterns.agg(F.sum(F.length("pattern"))).first()[0] or 0) > part_chars:
+        found = longest_pattern(rows, rules, part_chars).select("cleaned", F.col("rule").alias(name))
+        return rows.join(found, "cleaned", "left")
+    # one file, so that its rows keep the order of preference
+    ranked = patterns.repartition(1).sortWithinPartitions(-F.length("pattern"), "rule.seq", "pattern")
+    kept, folder = stored(ranked, "patterns")
+    kind = kept.schema["rule"].dataType
+    match = _rule_finder(folder, to_arrow_type(kind))
+    # not deterministic for the optimizer: it would match once for a filter on the verdict and again for its columns
+    return rows.withColumn(name, F.arrow_udf(match, kind).asNondeterministic()("cleaned"))
 
 
 def attach_lookups(
@@ -422,23 +449,31 @@ def attach_lookups(
     `merchant_hint` is a merchant the parser extracted, when the ledger has that column.
     """
     rows = ledger if "merchant_hint" in ledger.columns else ledger.withColumn("merchant_hint", F.lit(None).cast("string"))
-    rows = rows.withColumn("described", F.coalesce("raw_description", F.lit("")))
-    rows = rows.join(text_lookups(rows, aliases, providers), "described").drop("described")
-    recurring_key = F.when(F.col("merchant_hint").isNull(), F.col("signature")).otherwise(text.signature(F.col("merchant_hint")))
-    rows = rows.withColumn("recurring_signature", recurring_key)
+    rows = rows.withColumn("signature", text.signature(F.coalesce("raw_description", F.lit(""))))
 
-    household = profiles.select("owner_id", F.struct(*[c for c in profiles.columns if c != "owner_id"]).alias("profile"))
     first_rule = top_per(overrides.filter("match_signature <> ''"), ["owner_id", "match_signature"], [F.col("seq")], 1)
     rule = first_rule.select(
         "owner_id", F.col("match_signature").alias("signature"),
         F.struct("flow", "category", "subcategory", "merchant", "tax_section", "note").alias("override"),
     )
-    rhythm = recurrence.withColumnRenamed("signature", "recurring_signature")
-    return (
-        rows.join(household, "owner_id", "left")
-        .join(rule, ["owner_id", "signature"], "left")
-        .join(rhythm, ["owner_id", "recurring_signature"], "left")
-    )
+    # narrow rows are shuffled: what is wide (the household) or made of the text (cleaned, the rules found) comes last
+    if "merchant_hint" in ledger.columns:
+        recurring_key = F.when(F.col("merchant_hint").isNull(), F.col("signature")).otherwise(text.signature(F.col("merchant_hint")))
+        rhythm = recurrence.withColumnRenamed("signature", "recurring_signature")
+        rows = rows.join(rule, ["owner_id", "signature"], "left").withColumn("recurring_signature", recurring_key)
+        rows = rows.join(rhythm, ["owner_id", "recurring_signature"], "left")
+    else:  # both are looked up by the same signature, so the rows are shuffled once for them
+        known, _ = stored(rule.join(recurrence, ["owner_id", "signature"], "full_outer"), "known-signatures")
+        rows = rows.join(known, ["owner_id", "signature"], "left").withColumn("recurring_signature", F.col("signature"))
+    household, _ = stored(profiles.select("owner_id", F.struct(*[c for c in profiles.columns if c != "owner_id"]).alias("profile")), "households")
+    rows = rows.join(household, "owner_id", "left")
+    # out of a generator, so that a filter on a verdict is not pushed below and cleans the text again for every word it asks for
+    cleaned = F.struct(text.clean(F.coalesce("raw_description", F.lit(""))).alias("cleaned"))
+    rows = rows.select("*", F.inline(F.array(cleaned)))
+    rows = with_longest_pattern(rows, aliases, "alias")
+    evidence = F.coalesce(F.length("alias.pattern") >= fv.MIN_ALIAS_EVIDENCE_CHARS, F.lit(False))
+    rows = rows.withColumn("evidence", evidence)
+    return rows if providers is None else with_longest_pattern(rows, provider_patterns(providers), "provider")
 
 
 def decide(rows: DataFrame) -> DataFrame:

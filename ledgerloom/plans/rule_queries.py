@@ -289,13 +289,17 @@ def looked_up(spark, sf_dir):
     )
 
 
+def found_by(rows, verdict):
+    """Rows with a verdict, which comes out of a generator: a filter on it would be pushed below and decide every row twice."""
+    return rows.select("*", F.inline(F.array(F.struct(verdict.alias("verdict"))))).filter("verdict is not null")
+
+
 def _layer(name, build):
     """A query of the rows one layer has a verdict for, evaluated on its own."""
 
     @query(f"layer_{name}", on_looked(f"SELECT txn_id, {sql_columns([name])} FROM looked WHERE {SQL_LAYERS[name][0]}"))
     def run(spark, sf_dir):
-        rows = looked_up(spark, sf_dir).withColumn("verdict", build())
-        return rows.filter("verdict is not null").select("txn_id", *[F.col(f"verdict.{c}").alias(c) for c in SHOWN])
+        return found_by(looked_up(spark, sf_dir), build()).select("txn_id", *[F.col(f"verdict.{c}").alias(c) for c in SHOWN])
 
     return run
 
@@ -324,8 +328,8 @@ PROFILE_LAYERS = ["salary", "card_payment", "rent", "house_help", "loan_emi", "b
     ),
 )
 def profile_rules(spark, sf_dir):
-    rows = looked_up(spark, sf_dir).withColumn("verdict", rules.profile_verdict(F.col("cleaned"), F.col("evidence")))
-    return rows.filter("verdict is not null").select("txn_id", *[F.col(f"verdict.{c}").alias(c) for c in SHOWN])
+    rows = found_by(looked_up(spark, sf_dir), rules.profile_verdict(F.col("cleaned"), F.col("evidence")))
+    return rows.select("txn_id", *[F.col(f"verdict.{c}").alias(c) for c in SHOWN])
 
 
 SQL_CLASSIFIED = f"""
@@ -415,8 +419,8 @@ def layer_provider(spark, sf_dir):
     found = rules.attach_lookups(
         rows, profiles(spark, sf_dir), overrides(spark, sf_dir), aliases(spark, sf_dir), recur.recurrence_index(rows),
         providers(spark, sf_dir),
-    ).withColumn("verdict", rules.provider_verdict())
-    return found.filter("verdict is not null").select("txn_id", "verdict.flow", "verdict.category", "verdict.layer")
+    )
+    return found_by(found, rules.provider_verdict()).select("txn_id", "verdict.flow", "verdict.category", "verdict.layer")
 
 
 # ------------------------------------------------------------------------ counterparties

@@ -163,3 +163,33 @@ def test_descriptions_are_read_once_whatever_their_rows(spark):
     }
     assert found.count() == len(rows)
     assert "isnotnull(trim(" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rules_are_found_where_the_rows_are(spark):
+    """One automaton: no exchange of the rows, the same rules as over distinct texts by many small parts; rows keep their number."""
+    known = spark.createDataFrame([("ab", 5, "late"), ("ab", 1, "early"), ("abc", 9, "long"), ("bcd", 2, "other"), ("", 0, "none")], "pattern string, seq int, name string")
+    rows = spark.createDataFrame([(1, "xab"), (2, "xab"), (3, "zabcd"), (4, None), (5, ""), (6, "zz"), (None, "bcd")], "id int, cleaned string")
+    want = sorted([(1, "early"), (2, "early"), (3, "other"), (4, None), (5, None), (6, None), (0, "other")])
+    for part_chars in (rules.PART_CHARS, 2):
+        got = rules.with_longest_pattern(rows, known, "rule", part_chars)
+        assert sorted((r.id or 0, r.rule and r.rule.name) for r in got.collect()) == want
+    plan = rules.with_longest_pattern(rows, known, "rule")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    assert rules.with_longest_pattern(rows, known.limit(0), "rule").filter("rule is null").count() == 7
+
+
+def test_the_household_joins_the_rows_last(spark):
+    """No exchange carries it on: the joins by signature lie below the join by owner, and both signature tables share one."""
+    empty = spark.createDataFrame([], LEDGER)
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = rules.attach_lookups(
+            empty, spark.createDataFrame([PROFILE], rules.PROFILE_SCHEMA), spark.createDataFrame([], OVERRIDE), spark.createDataFrame([], ALIAS),
+            spark.createDataFrame([], "owner_id bigint, signature string, cadence string, occurrences bigint"),
+        )
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    joins = [line for line in plan.splitlines() if "Join LeftOuter" in line]
+    assert len(joins) <= 2 and (not joins or "signature" not in joins[0])
