@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from ledgerloom import fixed_values as fv
+from ledgerloom.functions.vectors import let
 
 
 def fy_start_year(date: Column) -> Column:
@@ -65,4 +66,4 @@ def statement_date(day: Column, month: Column, year: Column) -> Column:
     """Date from dd, mm, yy(yy) digits, null unless it is a real day in 2000-2099."""
     full = F.when(F.length(year) == 2, F.concat(F.lit("20"), year)).otherwise(year)
     made = F.try_to_date(F.concat_ws("-", full, month, day), "yyyy-MM-dd")
-    return F.when(F.year(made).between(2000, 2099), made)
+    return let(made, lambda m: F.when(F.year(m).between(2000, 2099), m))

@@ -54,18 +54,18 @@ def quote_regex(text: Column) -> Column:
     return F.regexp_replace(text, r"([.*+?^${}()|\[\]\\])", r"\\$1")
 
 
-def contains(text: Column, needle: Column) -> Column:
-    return F.contains(clean(text), F.lower(needle))
+def contains(text: Column, needle: Column, cleaned: bool = False) -> Column:
+    """`cleaned` says that the text is clean already, so that several questions about it clean it once."""
+    return F.contains(text if cleaned else clean(text), F.lower(needle))
 
 
-def contains_any(text: Column, needles: Column) -> Column:
+def contains_any(text: Column, needles: Column, cleaned: bool = False) -> Column:
     """`needles` is an array column; null needles never match."""
-    cleaned = clean(text)
-    return F.exists(needles, lambda n: F.coalesce(F.contains(cleaned, F.lower(n)), F.lit(False)))
+    return let(text if cleaned else clean(text), lambda c: F.exists(needles, lambda n: F.coalesce(F.contains(c, F.lower(n)), F.lit(False))))
 
 
-def contains_word(text: Column, needle: Column) -> Column:
-    return F.rlike(clean(text), F.concat(F.lit(_WORD_EDGE), quote_regex(F.lower(needle)), F.lit(_WORD_EDGE)))
+def contains_word(text: Column, needle: Column, cleaned: bool = False) -> Column:
+    return F.rlike(text if cleaned else clean(text), F.concat(F.lit(_WORD_EDGE), quote_regex(F.lower(needle)), F.lit(_WORD_EDGE)))
 
 
 def keyword_match(cleaned: Column, keyword: str) -> Column:

@@ -403,12 +403,15 @@ WORDS = ["gas", "emi", "card payment", "rod", "sto"]
     ),
 )
 def text_predicates(spark, sf_dir):
-    raw = F.col("raw_description")
+    # cleaned once, out of a generator: as a plain column it would be put back into every question
+    lines = b.ledger_lines(spark, sf_dir)
+    rows = lines.select("txn_id", "merchant", F.inline(F.array(F.struct(text.clean(F.col("raw_description")).alias("cleaned")))))
+    known = F.col("cleaned")
     columns = []
     for i, word in enumerate(WORDS):
-        columns += [text.contains(raw, F.lit(word)).alias(f"has_{i}"), text.contains_word(raw, F.lit(word)).alias(f"word_{i}")]
-    either = text.contains_any(raw, F.array(F.lit("Gear"), F.coalesce("merchant", F.lit("#"))))
-    return b.ledger_lines(spark, sf_dir).select("txn_id", *columns, either.alias("any_of"))
+        columns += [text.contains(known, F.lit(word), True).alias(f"has_{i}"), text.contains_word(known, F.lit(word), True).alias(f"word_{i}")]
+    either = text.contains_any(known, F.array(F.lit("Gear"), F.coalesce("merchant", F.lit("#"))), True)
+    return rows.select("txn_id", *columns, either.alias("any_of"))
 
 
 @query(

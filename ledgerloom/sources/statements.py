@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerloom import fixed_values as fv
 from ledgerloom.functions import money, period, text
+from ledgerloom.functions.vectors import let
 
 DOC = ["owner_id", "document_id"]
 
@@ -25,8 +26,10 @@ def edge_trim(value: Column) -> Column:
 
 def date_of(value: Column) -> Column:
     """The first dd/mm/yy(yy) in a text as a date; null when there is none or it is no real day."""
-    day, month, year = (F.regexp_extract(value, _p(fv.STATEMENT_DATE_PATTERN), i) for i in (1, 2, 3))
-    return F.when(day != "", period.statement_date(day, month, year))
+    # its three numbers are read from the whole match, and only of a text that has one
+    matched = F.regexp_extract(value, _p(fv.STATEMENT_DATE_PATTERN), 0)
+    parts = lambda m: period.statement_date(F.substring(m, 1, 2), F.substring(m, 4, 2), F.substring(m, 7, 4))
+    return let(matched, lambda m: F.when(m != "", parts(m)))
 
 
 def leads_with_date(line: Column) -> Column:
@@ -193,23 +196,30 @@ def rejects(parsed: DataFrame) -> DataFrame:
 def _number_in_line(line: Column) -> Column:
     """Last four digits of a labelled account number, or of a bare masked number."""
     labelled = F.regexp_replace(F.regexp_extract(line, _p(fv.ACCOUNT_HEADER_PATTERN, True), 1), r"\D", "")
-    bare = edge_trim(line)
-    compact = F.regexp_replace(bare, "[ -]", "")
-    masks = F.length(F.regexp_replace(compact, fv.MASK_SIGN_NOISE_PATTERN, ""))
-    masked = (
-        F.rlike(bare, F.lit(fv.MASKED_LINE_PATTERN)) & (masks >= fv.MASKED_LEAST_SIGNS) & F.length(compact).between(*fv.MASKED_LENGTHS)
-        & F.rlike(compact, F.lit(fv.MASKED_END_PATTERN))
-    )
-    return F.when(F.length(labelled) >= 4, F.right(labelled, F.lit(4))).when(masked, F.right(compact, F.lit(4)))
+
+    def masked(bare: Column) -> Column:
+        def last(compact: Column) -> Column:
+            masks = F.length(F.regexp_replace(compact, fv.MASK_SIGN_NOISE_PATTERN, ""))
+            ends = F.rlike(compact, F.lit(fv.MASKED_END_PATTERN))
+            return F.when(
+                F.length(compact).between(*fv.MASKED_LENGTHS) & (masks >= fv.MASKED_LEAST_SIGNS) & ends, F.right(compact, F.lit(4))
+            )
+
+        return F.when(F.rlike(bare, F.lit(fv.MASKED_LINE_PATTERN)), let(F.regexp_replace(bare, "[ -]", ""), last))
+
+    return let(labelled, lambda n: F.when(F.length(n) >= 4, F.right(n, F.lit(4))).otherwise(let(edge_trim(line), masked)))
 
 
 def header_facts(documents: DataFrame) -> DataFrame:
     """account_last4 from the lines above the table, and the document type its opening lines state."""
     lines = F.slice(F.split(F.regexp_replace("text", "\r", ""), "\n"), 1, fv.HEADER_LINES)
-    starts = F.transform(lines, lambda l: leads_with_date(edge_trim(l)) & has_exact_money(l))
-    first = F.array_position(starts, F.lit(True))
-    header = F.when(first > 0, F.slice(lines, F.lit(1), (first - 1).cast("int"))).otherwise(lines)
-    numbers = F.filter(F.transform(header, _number_in_line), lambda n: n.isNotNull())
+
+    def above(every: Column) -> Column:
+        first = F.array_position(F.transform(every, lambda l: has_exact_money(l) & leads_with_date(edge_trim(l))), F.lit(True))
+        return let(first, lambda n: F.when(n > 0, F.slice(every, F.lit(1), (n - 1).cast("int"))).otherwise(every))
+
+    # each of these is bound, as a column that is named twice inside a lambda is computed twice
+    numbers = F.filter(F.transform(let(lines, above), _number_in_line), lambda n: n.isNotNull())
     opening = F.array_join(F.slice(F.split("text", "\n"), 1, fv.CARD_HEADER_LINES), " ")
     card = opening.rlike(_p(fv.CARD_STATEMENT_PATTERN, True))
     return documents.select(

@@ -4,6 +4,7 @@ import datetime
 
 from pyspark.sql import functions as F
 
+from ledgerloom.functions import text
 from ledgerloom.sources import statements
 
 SCHEMA = "owner_id bigint, document_id string, text string, opening_balance bigint, doc_type string"
@@ -81,3 +82,28 @@ def test_parser_dispatch(spark):
     assert sorted((r.document_id, r.txn_date, r.currency) for r in out) == [
         ("d1", datetime.date(2024, 4, 1), "USD"), ("d2", datetime.date(2024, 4, 2), "INR"),
     ]
+
+
+def test_header_regexes_run_once_per_line(spark):
+    """The lines are split once and each line is matched once; edges of dates and account numbers keep their results."""
+    rows = [
+        (1, "d1", "Top\r\nXXXX-XXXX 123456\n01/04/2024 a 1.00", None, "bank_statement"), (1, "d2", "01/04/2024 a 1.00\nXXXXXXXX1234", None, "bank_statement"),
+        (1, "d3", "99/99/2024 1.00\nXXXXXXXX 1234", None, "bank_statement"), (1, "d4", None, None, "x"), (1, "d5", "01/04/24 2.00", None, "x"), (1, "d6", "XXXXXXXX 987", None, "x"),
+    ]
+    documents = spark.createDataFrame(rows, "owner_id long, document_id string, text string, opening_balance long, doc_type string")
+    facts = statements.header_facts(documents)
+    got = {r.document_id: r.account_last4 for r in facts.collect()}
+    assert got == {"d1": "3456", "d2": None, "d3": "1234", "d4": None, "d5": None, "d6": None}
+    plan = facts._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("gettimestamp") <= 1 and plan.count("split(") <= 2
+    days = spark.createDataFrame([("x 31/01/99 y",), ("31-02-2024",), ("1/2/2024",), ("",), (None,), ("05/06/1999",)], "v string")
+    assert [str(r[0]) for r in days.select(statements.date_of(F.col("v"))).collect()] == ["2099-01-31", "None", "None", "None", "None", "None"]
+
+
+def test_a_cleaned_text_is_asked_like_a_raw_one(spark):
+    texts = spark.createDataFrame([("  Blue\u00a0 GEAR ring",), ("geared",), ("",), (None,)], "raw string")
+    raw, cleaned = F.col("raw"), text.clean(F.col("raw"))
+    for ask in (lambda *a: text.contains(a[0], F.lit("Gear"), *a[1:]), lambda *a: text.contains_word(a[0], F.lit("Gear"), *a[1:]),
+                lambda *a: text.contains_any(a[0], F.array(F.lit("Gear"), F.lit(None)), *a[1:])):
+        both = texts.select(ask(raw).alias("a"), ask(cleaned, True).alias("b")).collect()
+        assert [r.a for r in both] == [r.b for r in both] and both[0].a
