@@ -76,3 +76,21 @@ def test_search_counts(spark):
     )
     got = {r.question_id: r.matches for r in routing.search_counts(asked, ledger).collect()}
     assert got == {1: 3, 2: 2, 3: 2, 5: 1, 7: 2}
+
+
+def test_only_windows_that_are_asked_for_become_rows(spark):
+    """Lists of windows of any size give the index that the whole one, cut to those windows, gives; null and empty needles ask for nothing."""
+    texts = search.numbered(spark.createDataFrame([(1, "blue gear"), (1, "gear gear"), (2, "old ring"), (None, "blue")], "owner_id long, d string"), "d")
+    needles = spark.createDataFrame([(1, "gear"), (1, "e"), (1, ""), (1, None), (2, "gear"), (2, "ri"), (None, "blue")], "owner_id long, needle string")
+    rows = lambda df: sorted((r.owner_id, r.gram, sorted(r.text_ids)) for r in df.collect())
+    wanted = {(o, g) for o, grams in ((1, ["gea", "ear", "e"]), (2, ["gea", "ear", "ri"])) for g in grams}
+    want = [r for r in rows(search.gram_index(texts, ["d"])) if r[:2] in wanted]
+    index = search.gram_index(texts, ["d"], needles)
+    assert rows(index) == want
+    plan = index._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" not in plan and "array_intersect" in plan
+    was, search.LIST_WINDOWS = search.LIST_WINDOWS, 1
+    try:
+        assert rows(search.gram_index(texts, ["d"], needles)) == want
+    finally:
+        search.LIST_WINDOWS = was
