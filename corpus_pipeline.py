@@ -25,8 +25,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (Jaccard of five-word shingles 0.8 or more): that with the smallest id."""
-    return jaccard.representatives(docs)
+    """One document of each group of near-duplicates: that with the smallest id. Linked are texts whose SimHash fingerprints are
+    close (`simhash.links`) and texts whose five-word shingles have a Jaccard coefficient of 0.8 or more."""
+    return jaccard.representatives(docs, fingerprints=True)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

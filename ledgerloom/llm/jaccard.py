@@ -60,13 +60,15 @@ def _digests(width: int):
     return run
 
 
-def _signatures(width: int):
+def _signatures(width: int, prints: bool = False):
+    """Each row's node, size of its set and bands; with `prints` also the SimHash fingerprint of its text."""
+    fields = {"bits": pa.int64(), "size": pa.int64(), "bands": pa.list_(pa.int64())} | ({"print": pa.int64()} if prints else {})
     def run(batches):
         for batch in batches:
-            sets = (shingle_set(t, width) for t in _texts(batch))
-            made = [(node(s), len(s), bands(s)) for s in sets]
-            columns = [pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.int64()), pa.array([m[2] for m in made], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "bits", "size", "bands"])
+            sets = ((t, shingle_set(t, width)) for t in _texts(batch))
+            made = [(node(s), len(s), bands(s), *([simhash.fingerprint(t)] if prints else [])) for t, s in sets]
+            columns = [pa.array([m[i] for m in made], kind) for i, kind in enumerate(fields.values())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", *fields])
 
     return run
 
@@ -204,24 +206,41 @@ def links(docs: DataFrame, nodes: DataFrame, width: int, likeness: float, unit_h
     return near.union(_mixed_links(stored(placed, "jaccard-placed"), sets, likeness, unit_hashes))
 
 
-def near_duplicates(docs: DataFrame, width: int = SHINGLE, likeness: float = LIKENESS) -> DataFrame:
+def fingerprint_links(prints: DataFrame) -> DataFrame:
+    """(a, b): links between nodes whose texts have SimHash fingerprints that `simhash.links` links. `prints`: bits, print.
+
+    A fingerprint stands for the least of its nodes, which the others of the same fingerprint are linked with.
+    """
+    nodes = stored(prints.select("bits", "print").distinct(), "jaccard-fingerprints")
+    least = stored(nodes.groupBy("print").agg(F.min("bits").alias("to")), "jaccard-least")
+    same = nodes.join(least, "print").where("bits <> to").select(F.col("bits").alias("a"), F.col("to").alias("b"))
+    near = simhash.links(least.select(F.col("print").alias("bits")))
+    near = near.join(least.select(F.col("print").alias("a"), F.col("to").alias("_a")), "a")
+    near = near.join(least.select(F.col("print").alias("b"), F.col("to").alias("_b")), "b")
+    return same.union(near.select("_a", "_b"))
+
+
+def near_duplicates(docs: DataFrame, width: int = SHINGLE, likeness: float = LIKENESS, fingerprints: bool = False) -> DataFrame:
     """(doc_id, bits, component_id, root) for every row of `docs` (doc_id, text).
 
     bits names the row's set of shingles, root its component; component_id is the smallest doc_id in it, null where no
     member has an id. Equal sets are one node. Texts without words share the empty set. Repeated rows each come back.
+    With `fingerprints` texts are also linked whose SimHash fingerprints are close, as by `simhash.near_duplicates`.
     """
-    prints = stored(docs.select("doc_id", "text").mapInArrow(_signatures(width), "doc_id long, bits long, size long, bands array<long>"), "jaccard-prints")
+    schema = "doc_id long, bits long, size long, bands array<long>" + (", print long" if fingerprints else "")
+    prints = stored(docs.select("doc_id", "text").mapInArrow(_signatures(width, fingerprints), schema), "jaccard-prints")
     nodes = prints.groupBy("bits").agg(F.min("doc_id").alias("least_id"), F.first("size").alias("size"), F.first("bands").alias("bands"))
     nodes = stored(nodes, "jaccard-nodes")
-    found = components(links(docs, nodes, width, likeness))
+    found = links(docs, nodes, width, likeness)
+    found = components(found.union(fingerprint_links(prints)) if fingerprints else found)
     member = nodes.select("bits", "least_id").join(found.withColumnRenamed("node", "bits"), "bits", "left")
     member = stored(member.withColumn("root", F.coalesce("root", "bits")), "jaccard-members")
     least = member.groupBy("root").agg(F.min("least_id").alias("component_id"))
     return prints.select("doc_id", "bits").join(member.join(least, "root").select("bits", "component_id", "root"), "bits").select("doc_id", "bits", "component_id", "root")
 
 
-def representatives(docs: DataFrame, width: int = SHINGLE, likeness: float = LIKENESS) -> DataFrame:
+def representatives(docs: DataFrame, width: int = SHINGLE, likeness: float = LIKENESS, fingerprints: bool = False) -> DataFrame:
     """`docs` with one row of each component, chosen as by `simhash.representatives`."""
-    classes = stored(near_duplicates(docs, width, likeness), "jaccard-classes")
+    classes = stored(near_duplicates(docs, width, likeness, fingerprints), "jaccard-classes")
     nameless = classes.where("component_id is null").groupBy("root").agg(F.min("bits").alias("bits")).select("bits")
     return simhash.kept(docs, classes, nameless, _digests(width))

@@ -78,6 +78,19 @@ def test_copies_with_an_edited_word_go(spark):
     assert [r.doc_id for r in corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, SCHEMA), "").collect()] == [1]
 
 
+def test_close_fingerprints_go(spark):
+    """Texts that SimHash links go too, also over a chain of both kinds of links."""
+    run = "again " * 200
+    tails = [" ".join(f"t{i}x{j}" for j in range(40)) for i in range(2)]
+    far = " ".join(f"t1x{j}" for j in range(40)) + " again" * 9
+    rows = [(5, run + tails[0], "x"), (4, run + tails[1], "x"), (3, far, "x"), (8, "nothing like the others here", "x")]
+    sets = [plain_set(t) for _, t, _ in rows]
+    assert not alike(sets[0], sets[1]) and alike(sets[1], sets[2]) and not alike(sets[0], sets[2])
+    prints = [plain_fingerprint(t) for _, t, _ in rows]
+    assert bin(prints[0] ^ prints[1]).count("1") <= 4 < bin(prints[1] ^ prints[2]).count("1")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, SCHEMA), "").collect()) == [3, 8]
+
+
 def test_null_and_repeated_ids(spark):
     long = " ".join(f"w{i}" for i in range(100))
     rows = [(None, "nobody has this text at all", "a"), (None, "nobody has this  text at all", "b"), (None, long, "c"), (7, long + " end", "d"), (7, "other", "e"), (9, "OTHER", "f")]
