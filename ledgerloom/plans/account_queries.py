@@ -13,7 +13,7 @@ from ledgerloom.plans import bindings as b
 from ledgerloom.plans.integrity_queries import statement_rows
 from ledgerloom.plans.registry import query
 from ledgerloom.plans.rollup_queries import SQL_ATTACHMENTS, SQL_OPEN_ITEMS, attachments, on_lines, review_items
-from ledgerloom.session import shared_folder
+from ledgerloom.session import shared_folder, stored as written
 
 
 # ------------------------------------------------------------------------------ documents
@@ -467,7 +467,8 @@ def stored_document_replace(spark, sf_dir):
     """Documents of one year parsed again and replaced in a stored ledger."""
     rows = b.ledger_lines(spark, sf_dir).select(*LEDGER, "txn_date")
     folder = _stored_copy(spark, rows)
-    again = rows.filter(F.col("document_id").endswith("_1999"))
+    # read from the table and written once, as the table itself changes
+    again, _ = written(partitions.read(spark, folder).select(*LEDGER, "txn_date").filter(F.col("document_id").endswith("_1999")), "again")
     fresh = again.filter("amount % 2 = 0").withColumn("txn_id", F.concat(F.lit("n"), "txn_id"))
     partitions.replace_documents_stored(folder, fresh, again)
     return partitions.read(spark, folder).select("txn_id", "document_id", "amount")
