@@ -43,11 +43,11 @@ def clean(text: Column) -> Column:
 
 def signature(text: Column) -> Column:
     """The merchant-like words of a description: no digits, references, punctuation or rail words."""
-    # the look-ahead skips positions that cannot start a run before the costlier edge test
-    words = F.regexp_replace(clean(text), "(?=[0-9x*·]{4})" + pattern(fv.MASKED_RUN_PATTERN), " ")
-    words = F.regexp_replace(words, "[^a-z ]+", " ")
-    words = F.regexp_replace(words, "(?<![a-z])(?:" + "|".join(fv.RAIL_WORDS) + ")(?![a-z])", " ")
-    return F.trim(F.regexp_replace(words, " +", " "))
+    lowered = F.lower(text)
+    # a masked run without an x holds nothing that the next step keeps; the look-ahead skips positions that cannot start a run
+    masked = F.regexp_replace(lowered, "(?=[0-9x*·]{4})" + pattern(fv.MASKED_RUN_PATTERN), " ")
+    words = F.regexp_replace(F.when(lowered.contains("x"), masked).otherwise(lowered), "[^a-z]+", " ")
+    return F.trim(F.regexp_replace(words, "(?<![a-z])(?:" + "|".join(fv.RAIL_WORDS) + ")(?: |$)", ""))
 
 
 def quote_regex(text: Column) -> Column:
