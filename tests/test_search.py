@@ -94,3 +94,15 @@ def test_only_windows_that_are_asked_for_become_rows(spark):
         assert rows(search.gram_index(texts, ["d"], needles)) == want
     finally:
         search.LIST_WINDOWS = was
+
+
+def test_scan_hands_back_the_columns_that_are_kept(spark):
+    """Hits of all texts, null, empty and repeated ones too, without the text itself where only the owner is asked for."""
+    texts = spark.createDataFrame([(1, "blue gear"), (1, "blue gear"), (1, None), (1, ""), (2, "old ring"), (None, "blue")], "owner_id long, d string")
+    needles = spark.createDataFrame([(1, "gear"), (1, "e"), (1, ""), (2, "gear"), (2, "ri"), (2, None)], "owner_id long, needle string")
+    kept = search.scan(texts, needles, ["d"], keep=["owner_id"])
+    assert kept.columns == ["owner_id", "needle", "in_d"]
+    whole = search.scan(texts, needles, ["d"])
+    assert sorted(map(tuple, kept.collect())) == sorted((r.owner_id, r.needle, r.in_d) for r in whole.collect()) == sorted(
+        [(1, "gear", True), (1, "e", True)] * 2 + [(2, "ri", True)]
+    )
