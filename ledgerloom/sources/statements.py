@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ledgerloom import fixed_values as fv
 from ledgerloom.functions import money, period, text
 from ledgerloom.functions.vectors import let
+from ledgerloom.session import stored
+
+CHARS_PER_TASK = 8_000_000  # of statement text whose lines one task sorts at once, on average
 
 DOC = ["owner_id", "document_id"]
 
@@ -134,10 +137,22 @@ def counterparty(raw: Column) -> Column:
     return F.coalesce(vpa, named)
 
 
-def parse_statements(documents: DataFrame) -> DataFrame:
+def dealt(documents: DataFrame, chars_per_task: int = CHARS_PER_TASK) -> tuple[DataFrame, DataFrame]:
+    """The documents written once, and the same by document over as many tasks as keep the text of one near `chars_per_task`.
+
+    The sorts of a task hold its lines several times over, and Spark's number of partitions does not follow the size of a text.
+    """
+    kept, _ = stored(documents, "documents")
+    chars = kept.agg(F.sum(F.length("text"))).first()[0] or 0
+    tasks = max(kept.sparkSession.sparkContext.defaultParallelism, -(-chars // chars_per_task))
+    return kept, kept.repartition(tasks, *DOC)
+
+
+def parse_statements(documents: DataFrame, chars_per_task: int = CHARS_PER_TASK) -> DataFrame:
     """All candidate rows with date, amount, balance, description, counterparty and `reject`."""
-    opening = documents.select(*DOC, F.col("opening_balance"))
-    rows = candidate_rows(documents).withColumn("txn_date", date_of(F.col("raw")))
+    kept, spread = dealt(documents, chars_per_task)
+    opening = kept.select(*DOC, F.col("opening_balance"))
+    rows = candidate_rows(spread).withColumn("txn_date", date_of(F.col("raw")))
     tokens = money_tokens(without_first_date(F.col("raw")))
     furniture = F.col("raw").rlike(_p(fv.FURNITURE_PATTERN, True))
     rows = rows.withColumns({"tokens": tokens, "furniture": furniture})
@@ -240,6 +255,8 @@ def parse_with(documents: DataFrame, parsers: dict | None = None) -> DataFrame:
     names = list(registered)
     chosen = F.when(exact.isin(names), exact).when(any_provider.isin(names), any_provider).otherwise("") if names else F.lit("")
     keyed = documents.withColumn("_parser", chosen)
+    if registered:  # written once, as every parser takes its documents out of all
+        keyed, _ = stored(keyed, "keyed-documents")
     out = parse_statements(keyed.filter("_parser = ''").drop("_parser"))
     for name, parser in registered.items():
         out = out.unionByName(parser(keyed.filter(F.col("_parser") == name).drop("_parser")))

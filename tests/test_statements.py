@@ -107,3 +107,13 @@ def test_a_cleaned_text_is_asked_like_a_raw_one(spark):
                 lambda *a: text.contains_any(a[0], F.array(F.lit("Gear"), F.lit(None)), *a[1:])):
         both = texts.select(ask(raw).alias("a"), ask(cleaned, True).alias("b")).collect()
         assert [r.a for r in both] == [r.b for r in both] and both[0].a
+
+
+def test_tasks_follow_the_size_of_the_text(spark):
+    """However many documents a task gets, repeated and null keys included, the rows are the same."""
+    bodies = [f"0{d}/04/2024 Tea {d}.00 900.00\n0{d}/05/2024 Pay 50.00 950.00\nwrapped" for d in range(1, 9)]
+    docs = spark.createDataFrame([(1, f"d{i % 7}" if i else None, body, 5, "bank_statement") for i, body in enumerate(bodies)], SCHEMA)
+    _, spread = statements.dealt(docs, 10)
+    assert spread.rdd.getNumPartitions() == -(-sum(map(len, bodies)) // 10)
+    rows = [sorted(map(str, statements.parse_statements(docs, size).collect())) for size in (10, 8_000_000)]
+    assert rows[0] == rows[1] and rows[0]
