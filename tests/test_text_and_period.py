@@ -21,7 +21,7 @@ def test_signature_passes_a_text_three_times(spark):
     """Blanks, masked runs with and without an x, and rail words side by side; the text is passed by no more patterns than it needs."""
     rows = ["upi ref\u3000no id", "12xx34 tea xxxx-9999", "a**12x·b", "rsx rs  txn\tdt", "x9", "no\u00a0neftno no", "****x", None]
     assert values(spark, text.signature, rows) == ["", "tea", "a b", "rsx", "x", "neftno", "x", None]
-    plan = spark.createDataFrame([("a",)], "v string").select(text.signature(F.col("v")))._jdf.queryExecution().analyzed().toString()
+    plan = spark.createDataFrame([("a",)], "v string").select(text.signature(F.col("v")).alias("s"))._jdf.queryExecution().analyzed().toString()
     assert plan.count("regexp_replace(") == 3
 
 
