@@ -19,9 +19,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language.train(docs.where(~held_out()).select("text", "lang"))
     if not model.languages:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    kept = language.predict(docs.select("text", row), model).where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
-    return kept.select("row.*")
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("rest")  # texts go to Python and back once
+    kept = language.predict(docs.select("text", rest), model).where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    return kept.select(*[F.col("text" if c == "text" else f"rest.`{c}`") for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

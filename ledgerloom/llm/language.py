@@ -135,17 +135,27 @@ def softmax(logits: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def fit(texts: list[str], labels: np.ndarray, classes: int, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """Weights, biases and temperature. The last fifth of the texts sets the temperature alone."""
+def _counted(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Buckets of each text and how often they occur, in 6 bytes each: these rows are most of what the fitting task holds."""
     rows = []
     for _, some in _chunks(texts):
         grams = Grams(some)
         for i in range(len(some)):
             at, count = np.unique(grams.of(i), return_counts=True)
-            rows.append((at, SCALE * idf[at] * count / max(1, count.sum())))
+            rows.append((at.astype(np.uint16), count.astype(np.uint32)))
+    return rows
+
+
+def fit(texts: list[str], labels: np.ndarray, classes: int, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Weights, biases and temperature. The last fifth of the texts sets the temperature alone."""
+    rows = _counted(texts)
     cut = max(1, len(rows) * 4 // 5)
     z, n = np.zeros((BUCKETS + 1, classes)), np.zeros((BUCKETS + 1, classes))  # the last row is the bias
 
+    def valued(i):
+        at, count = rows[i][0].astype(np.int64), rows[i][1].astype(np.int64)
+        return at, SCALE * idf[at] * count / max(1, count.sum())
+
     def current(at):
         zs = z[at]
         shrunk = np.sign(zs) * np.maximum(np.abs(zs) - np.where(at < BUCKETS, L1, 0.0)[:, None], 0)
@@ -153,7 +163,8 @@ def fit(texts: list[str], labels: np.ndarray, classes: int, idf: np.ndarray) ->
 
     for epoch in range(EPOCHS):
         for i in np.random.default_rng(epoch).permutation(cut).tolist():
-            at, value = np.append(rows[i][0], BUCKETS), np.append(rows[i][1], 1.0)
+            at, value = valued(i)
+            at, value = np.append(at, BUCKETS), np.append(value, 1.0)
             w = current(at)
             p = softmax(value @ w)
             p[labels[i]] -= 1
@@ -164,7 +175,7 @@ def fit(texts: list[str], labels: np.ndarray, classes: int, idf: np.ndarray) ->
             n[at] = new
     w = current(np.arange(BUCKETS + 1))
     held = range(cut, len(rows)) if cut < len(rows) else range(len(rows))
-    logits = np.array([value @ w[at] + w[BUCKETS] for at, value in (rows[i] for i in held)])
+    logits = np.array([value @ w[at] + w[BUCKETS] for at, value in map(valued, held)])
     truth = labels[list(held)]
 
     def loss(t):

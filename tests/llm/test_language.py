@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from ledgerloom.llm import language
 
 SYLLABLES = {"aa": ["ka", "ri", "mo", "tu"], "bb": ["sch", "ein", "ung", "ber"], "cc": ["çon", "été", "oui", "eau"]}
@@ -41,3 +42,13 @@ def test_document_frequencies_count_each_text_once(spark):
     count, seen = language.document_frequencies(df)
     grams = language.Grams(["a"])
     assert count == 4 and seen[grams.of(0)[0]] == 2
+
+
+def test_the_fitting_task_holds_six_bytes_a_gram():
+    rng = random.Random(2)
+    texts = [line(rng, "aa", 50) for _ in range(20)]
+    rows = language._counted(texts)
+    assert all(at.itemsize + count.itemsize == 6 for at, count in rows)
+    for text, (at, count) in zip(texts, rows, strict=True):
+        want = np.unique(language.Grams([text]).of(0), return_counts=True)
+        assert (at == want[0]).all() and (count == want[1]).all()

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
@@ -90,6 +91,18 @@ def test_language_stage_against_single_texts(spark, corpus):
             assert out[doc].lang_pred == model.languages[int(np.argmax(p))] and abs(out[doc].score - p.max()) < 1e-9
 
 
+def test_language_stage_sends_texts_to_python_once(spark, corpus, monkeypatch):
+    docs = spark.read.parquet(f"{corpus[0]}/documents.parquet").withColumn("score", F.col("n_chars") * 2)  # a column predict() has, too
+    seen = []
+    predict = language.predict
+    monkeypatch.setattr(language, "predict", lambda rows, model: seen.append(rows.schema.simpleString()) or predict(rows, model))
+    kept = corpus_pipeline.language_id(spark, docs, corpus[0])
+    assert [s.count("text:") for s in seen] == [1]
+    assert kept.columns == docs.columns
+    want = (tuple(r) for r in docs.collect() if any(c.isalpha() for c in r.text or ""))
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted(want, key=str)
+
+
 def test_run(spark, corpus):
     out = entry.queries()["pipeline"](spark, corpus[0])
     assert out.count() > 0 and {"doc_id", "sequence_id", "offset"} <= set(out.columns)
