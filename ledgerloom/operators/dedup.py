@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerloom.functions import text
 from ledgerloom.operators.rollups import top_per
-from ledgerloom.session import checkpointed
+from ledgerloom.session import stored as stored_rows
 
 KEY = ["owner_id", "txn_date", "amount", "signature", "account_key"]
 PLACE = ["owner_id", "own_account_id", "txn_date", "amount"]
@@ -77,16 +77,19 @@ def suspected_pairs(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     different documents can ever be an answer, so no group is expanded into pairs.
     """
     usable = (F.col("doc_key") != "") & (F.col("account_key") != "") & (F.col("signature") != "")
-    # narrow and written once: whole signatures, prefixes and candidates all read it
-    rows = checkpointed(
+    # narrow and written once: places, whole signatures, prefixes and candidates all read it
+    rows, _ = stored_rows(
         with_key(stored.withColumn("phase", F.lit(0)))
         .unionByName(with_key(incoming.withColumn("phase", F.lit(1))))
         .filter(usable)
-        .select(
-            *PLACE, "doc_key", "signature", "txn_id", "phase",
-            F.struct("phase", "seq", "txn_id").alias("position"),
-        )
+        .select(*PLACE, "doc_key", "signature", F.struct("phase", "seq", "txn_id").alias("position")),
+        "places",
+    )
+    # a pair takes two documents and two signatures: rows of other places are never looked up and never probed for
+    spread = rows.groupBy(*PLACE).agg(
+        ((F.min("doc_key") < F.max("doc_key")) & (F.min("signature") < F.max("signature"))).alias("spread")
     )
+    rows, _ = stored_rows(rows.join(spread.filter("spread").select(*PLACE), PLACE, "left_semi"), "pairable")
     parts = F.filter(text.proper_token_prefixes(F.col("signature")), lambda p: p.isNotNull())
     first = rows.groupBy(*PLACE, "signature", "doc_key").agg(F.min("position").alias("position"))
     whole = first.select(*PLACE, "doc_key", "position", F.lit("whole").alias("kind"), F.col("signature").alias("probe"))
@@ -98,17 +101,17 @@ def suspected_pairs(stored: DataFrame, incoming: DataFrame) -> DataFrame:
         F.max(F.when(F.col("nth") == 1, F.col("position"))).alias("position_1"),
         F.max(F.when(F.col("nth") == 2, F.col("position"))).alias("position_2"),
     )
-    candidate = rows.filter("phase = 1")
+    candidate = rows.filter("position.phase = 1")
     # a candidate's prefixes are looked up among whole signatures, its whole one among prefixes
     probes = F.concat(
         F.transform(parts, lambda p: F.struct(F.lit("whole").alias("kind"), p.alias("probe"))),
         F.array(F.struct(F.lit("part").alias("kind"), F.col("signature").alias("probe"))),
     )
-    asked = candidate.select(*PLACE, "doc_key", "txn_id", "position", F.inline(probes))
+    asked = candidate.select(*PLACE, "doc_key", "position", F.inline(probes))
     keeper = F.when(F.col("doc_1") != F.col("doc_key"), F.col("position_1")).otherwise(F.col("position_2"))
     found = asked.join(two, probe_key).withColumn("keeper", keeper).filter(F.col("keeper") < F.col("position"))
     return (
-        found.groupBy("owner_id", "txn_id").agg(F.min("keeper").alias("keeper"))
+        found.groupBy("owner_id", F.col("position.txn_id").alias("txn_id")).agg(F.min("keeper").alias("keeper"))
         .select(
             "owner_id",
             F.concat(F.lit("dup_"), F.col("txn_id")).alias("duplicate_id"),

@@ -62,6 +62,19 @@ def test_prefix_drift_against_brute_force(spark):
     assert got == expected
 
 
+def test_only_places_that_may_hold_a_pair_are_probed(spark):
+    """Rows of one document or of one signature at their place never go to the lookups; nulls and repeated rows as ever."""
+    alone = [row(f"a{i}", "x", "tea stall", i, amount=-10 - i) for i in range(20)]
+    same = [row(f"s{i}", d, "tea stall", i, amount=-5) for i, d in enumerate(["x", "y", "z"])]
+    pair = [row("p1", "x", "tea", 1), row("p2", "y", "tea stall", 2), row("p2", "y", "tea stall", 2), row("p3", "y", "tea stall", 3)]
+    void = [(None, *r[1:]) for r in pair[:2]] + [row("n1", None, "tea", 0), row("n2", "y", "", 0)]
+    rows = spark.createDataFrame(alone + same + pair + void, ROWS)
+    found = dedup.suspected_pairs(rows.limit(0), rows)
+    assert sorted((r.candidate_txn_id, r.keeper_txn_id) for r in found.collect()) == [("p2", "p1"), ("p3", "p1")]
+    probed = spark.read.parquet(*found.inputFiles()).select("position.txn_id")
+    assert sorted(r.txn_id for r in probed.collect()) == ["p1", "p2", "p2", "p3"]
+
+
 def charge(i, day, amount=-50_000, text="Songs app", **extra):
     return (1, f"t{i:03d}", DAY + datetime.timedelta(days=day), amount, text, extra.get("merchant"), extra.get("category", "Subscriptions"), extra.get("layer", 6), "expense", False)
 
