@@ -161,22 +161,30 @@ def transfer_storage_category(category: Column, existing: Column) -> Column:
 
 def clean_label(raw: Column) -> Column:
     """A readable name for an unknown recurring descriptor, at most 36 characters."""
-    text = F.regexp_replace(raw, fv.LABEL_TIME_PATTERN, "")
+    blanks = f"[[^!-~]&&{BLANKS}]+"  # most characters are told apart by one test
+
+    def shortened_label(label: Column) -> Column:
+        label_text = F.coalesce(F.nullif(label, F.lit("")), F.trim(F.regexp_replace(raw, blanks, " ")))
+        return let(label_text, lambda t: F.when(F.length(t) <= fv.LABEL_CHARS, t).otherwise(at_word(F.substring(t, 1, fv.LABEL_CHARS))))
+
+    def at_word(head: Column) -> Column:
+        return F.coalesce(F.nullif(F.trim(F.regexp_replace(head, fv.LABEL_CUT_WORD_PATTERN, "")), F.lit("")), head)
+
+    # a position is tested for its first character before it is for the one behind; both edges of a run of word
+    # characters need one side only
+    code, number = (p.removeprefix(r"\b").removesuffix(r"\b") for p in (fv.LABEL_CODE_PATTERN, fv.LABEL_NUMBER_PATTERN))
+    made = F.regexp_replace(raw, fv.LABEL_TIME_PATTERN, "")
     for regex in (
         f"(?i){fv.LABEL_REF_GROUP_PATTERN}",
-        pattern(fv.LABEL_REF_PATTERN, True),
-        pattern(fv.LABEL_CODE_PATTERN, True),
-        pattern(fv.LABEL_NUMBER_PATTERN),
+        "(?i)(?=r)" + pattern(fv.LABEL_REF_PATTERN),
+        f"(?i){_WORD_START}{code}{_WORD_END}",
+        f"(?=[0-9]{{3}}){_WORD_START}{number}{_WORD_END}",
         fv.LABEL_SIGN_PATTERN,
-        pattern(fv.LABEL_RAIL_PATTERN, True),
-        BLANKS + "+",
+        "(?i)(?=[abcinpruv])" + pattern(fv.LABEL_RAIL_PATTERN),
+        blanks,
     ):
-        text = F.regexp_replace(text, regex, " ")
-    text = F.trim(F.regexp_replace(text, f"(?i){fv.LABEL_TAIL_PATTERN}", ""))
-    text = F.coalesce(F.nullif(text, F.lit("")), F.trim(F.regexp_replace(raw, BLANKS + "+", " ")))
-    head = F.substring(text, 1, fv.LABEL_CHARS)
-    at_word = F.trim(F.regexp_replace(head, fv.LABEL_CUT_WORD_PATTERN, ""))
-    return F.when(F.length(text) <= fv.LABEL_CHARS, text).otherwise(F.coalesce(F.nullif(at_word, F.lit("")), head))
+        made = F.regexp_replace(made, regex, " ")
+    return let(F.trim(F.regexp_replace(made, f"(?i){fv.LABEL_TAIL_PATTERN}", "")), shortened_label)
 
 
 def merchant_tokens(text: Column) -> Column:

@@ -39,6 +39,15 @@ def test_clean_label(spark):
     assert got == ["Corner Shop", "Book Store", "9999999", "One two three four five six seven"]
 
 
+def test_clean_label_takes_each_step_once(spark):
+    """What is named several times is made once; edges, blanks and case as before."""
+    rows = ["xref 12 REF#7a_b tea", "abc1234_ abc12345 _12345 12345 c  L house", "Tea\u00a0\t ACH\u3000Stall  of 12", "upi/pos", None, "", "  ", "a" * 40, "É1234567 1234567É"]
+    got = values(spark, text.clean_label, rows)
+    assert got == ["xref 12 tea", "abc1234_ _12345 c L house", "Tea Stall", "upi/pos", None, "", "", "a" * 36, "É É"]
+    plan = spark.createDataFrame([("x",)], "c string").select(text.clean_label(F.col("c")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[+|*/@]") <= 2  # once, and once more as the array whose size `let` asks for
+
+
 def test_title_and_labels(spark):
     assert values(spark, text.title_case, ["one-two three's", ""]) == ["One-Two Three'S", ""]
     assert values(spark, text.category_label, ["mobile_internet", "Transfer", "food_delivery", "rent"]) == [
