@@ -609,10 +609,27 @@ def finalize(rows: DataFrame) -> DataFrame:
 
 
 def changed_rows(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Rows whose category, flow or merchant differs after a rerun."""
-    old = before.select("owner_id", "txn_id", *[F.col(c).alias(f"old_{c}") for c in ("category", "flow", "merchant")])
-    same = [F.col(c).eqNullSafe(F.col(f"old_{c}")) for c in ("category", "flow", "merchant")]
-    return after.join(old, ["owner_id", "txn_id"]).filter(~(same[0] & same[1] & same[2]))
+    """Rows whose category, flow or merchant differs after a rerun.
+
+    Where `after` carries old_category, old_flow and old_merchant of the rows of `before` that it was made of, they are
+    compared in place, and only rows whose key (owner_id, txn_id) comes several times meet all rows of that key.
+    """
+    keys, names = ["owner_id", "txn_id"], ("category", "flow", "merchant")
+    old = before.select(*keys, *[F.col(c).alias(f"old_{c}") for c in names])
+    if all(f"old_{c}" in after.columns for c in names):
+        own = F.struct(*[f"old_{c}" for c in names])
+        key = F.xxhash64(*keys)
+        again, _ = stored(old.groupBy(key.alias("_key")).agg(F.count("*").alias("_rows")).filter("_rows > 1").select("_key"), "repeated-keys")
+        told = old.withColumn("_key", key).join(again, "_key", "left_semi").groupBy(*keys).agg(F.collect_list(own).alias("_told"))
+        # written, so that the join knows how few they are
+        told, _ = stored(told, "repeated-rows")
+        rows = after.filter("owner_id is not null and txn_id is not null").join(told, keys, "left")
+        kept = [c for c in after.columns if c not in [f"old_{n}" for n in names]]
+        both = rows.select(*kept, F.inline(F.coalesce("_told", F.array(own))))
+    else:
+        both = after.join(old, keys)
+    same = [F.col(c).eqNullSafe(F.col(f"old_{c}")) for c in names]
+    return both.filter(~(same[0] & same[1] & same[2]))
 
 
 def backfill_categories(ledger: DataFrame) -> DataFrame:

@@ -11,11 +11,13 @@ from ledgerloom.operators import rules
 from ledgerloom.operators.rollups import sum_if
 from ledgerloom.plans import bindings as b
 from ledgerloom.plans.registry import query
+from ledgerloom.session import stored
 
 RAW = [
     "owner_id", "txn_id", "document_id", "institution_id", "own_account_id", "txn_date", "amount", "currency",
     "raw_description", "counterparty_raw", "fy_key",
 ]
+READ = ["owner_id", "txn_id", "txn_date", "amount", "raw_description"]  # what the cascade reads of them
 
 
 def raw_rows(spark, sf_dir):
@@ -342,8 +344,8 @@ classified AS (SELECT * REPLACE (CASE WHEN project_id IS NULL THEN signal ELSE '
     CASE WHEN project_id IS NULL THEN layer ELSE 9 END AS layer, is_recurring AND project_id IS NULL AS is_recurring) FROM projected)"""
 
 
-def classified(spark, sf_dir):
-    rows = raw_rows(spark, sf_dir)
+def classified(spark, sf_dir, rows=None):
+    rows = raw_rows(spark, sf_dir) if rows is None else rows
     return rules.classify(
         rows, profiles(spark, sf_dir), overrides(spark, sf_dir), aliases(spark, sf_dir), recur.recurrence_index(rows)
     )
@@ -469,9 +471,9 @@ def counterparty_first(spark, sf_dir):
 
 
 # --------------------------------------------------------------------- finalise, reruns
-def decided_rows(spark, sf_dir, first_ingest=True):
+def decided_rows(spark, sf_dir, first_ingest=True, ledger=None):
     """Classified rows with a stand-in label-model decision and transfer result."""
-    rows = classified(spark, sf_dir)
+    rows = classified(spark, sf_dir, ledger)
     key = F.col("amount")
     accepted = (key % 10 == 0) & F.col("verdict.review_required")
     final = F.when(
@@ -524,8 +526,11 @@ def finalize(spark, sf_dir):
     ),
 )
 def reclassify(spark, sf_dir):
-    after = rules.finalize(decided_rows(spark, sf_dir, first_ingest=False))
-    return rules.changed_rows(b.ledger_lines(spark, sf_dir), after).select("txn_id", "category", "flow", "merchant")
+    # put together once: rhythms, classification and comparison read it
+    ledger, _ = stored(b.ledger_lines(spark, sf_dir).select(*READ, "category", "flow", "merchant"), "ledger")
+    rows = ledger.select(*READ, *[F.col(c).alias(f"old_{c}") for c in ("category", "flow", "merchant")])
+    after = rules.finalize(decided_rows(spark, sf_dir, first_ingest=False, ledger=rows))
+    return rules.changed_rows(ledger, after).select("txn_id", "category", "flow", "merchant")
 
 
 def sql_normalized(column: str) -> str:

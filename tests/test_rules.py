@@ -5,6 +5,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from ledgerloom.operators import rules
 
 LEDGER = "owner_id bigint, txn_id string, txn_date date, amount bigint, raw_description string, counterparty_raw string"
@@ -193,3 +194,21 @@ def test_the_household_joins_the_rows_last(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
     joins = [line for line in plan.splitlines() if "Join LeftOuter" in line]
     assert len(joins) <= 2 and (not joins or "signature" not in joins[0])
+
+
+def test_a_rerun_compares_rows_in_place(spark):
+    """With the old columns carried along, the rows are those of the join: repeated and null keys, null values, other owners."""
+    before = [(1, "a", "x", "f", "m"), (1, "b", "x", "f", None), (1, "c", "x", "f", "m"), (1, "c", "y", "f", "m"), (1, "c", "y", "f", "m"), (2, "a", None, "f", "m"), (None, "a", "x", "f", "m"), (1, None, "x", "f", "m")]
+    ledger = spark.createDataFrame(before, "owner_id long, txn_id string, category string, flow string, merchant string")
+    new = ledger.withColumns({"category": F.when(F.col("txn_id") == "b", "z").otherwise(F.coalesce("category", F.lit("y")))})
+    want = sorted(map(tuple, rules.changed_rows(ledger, new).select("owner_id", "txn_id", "category", "old_category").collect()), key=repr)
+    carried = ledger.select("owner_id", "txn_id", *[F.col(c).alias(f"old_{c}") for c in ("category", "flow", "merchant")], "category", "flow", "merchant")
+    after = carried.withColumns({"category": F.when(F.col("txn_id") == "b", "z").otherwise(F.coalesce("category", F.lit("y")))})
+    found = rules.changed_rows(ledger, after)
+    assert sorted(map(tuple, found.select("owner_id", "txn_id", "category", "old_category").collect()), key=repr) == want
+    assert len(want) == 6 and found.columns == rules.changed_rows(ledger, new).columns
+
+
+def test_a_rerun_puts_the_ledger_together_once(spark):
+    found = entry.queries()["reclassify"](spark, "/root/testdata/sf0.001")
+    assert not any(f.endswith("/lineitem.parquet") for f in found.inputFiles())
