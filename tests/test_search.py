@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from ledgerloom.operators import routing, search
 
 
@@ -106,3 +107,22 @@ def test_scan_hands_back_the_columns_that_are_kept(spark):
     assert sorted(map(tuple, kept.collect())) == sorted((r.owner_id, r.needle, r.in_d) for r in whole.collect()) == sorted(
         [(1, "gear", True), (1, "e", True)] * 2 + [(2, "ri", True)]
     )
+
+
+@pytest.mark.parametrize("windows", [1, 4_096])
+def test_rarest_windows_from_lists_of_counts(spark, monkeypatch, windows):
+    """Counts in lists of any size tell the rarest window; a window of no text, null and unknown owners find nothing."""
+    monkeypatch.setattr(search, "LIST_WINDOWS", windows)
+    texts = search.numbered(spark.createDataFrame([(1, "blue gear"), (1, "gear"), (1, "blue"), (2, "old ring"), (None, "blue")], "owner_id long, m string"), "m")
+    asked = spark.createDataFrame([(1, "gear"), (1, "e"), (1, "e gear"), (1, "zgear"), (1, None), (2, "ring"), (2, "blue"), (3, "blue"), (None, "blue")], "owner_id long, needle string")
+    whole = search.gram_index(texts, ["m"])
+    best = search.rarest_grams(asked, spark.createDataFrame(whole.collect(), whole.schema))
+    assert best.columns == ["owner_id", "needle", "gram", "texts"] and best.schema["texts"].dataType.simpleString() == "bigint"
+    assert sorted(map(tuple, best.collect())) == [(1, "e", "e", 3), (1, "e gear", " ge", 1), (1, "gear", "ear", 2), (2, "ring", "ing", 1)]
+    plan = best._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode(") == plan.count("Generate explode(sequence(") == 1
+
+
+def test_texts_and_needles_are_put_together_once(spark):
+    found = entry.queries()["search_index"](spark, "/root/testdata/sf0.001")
+    assert not any(f.endswith("/lineitem.parquet") for f in found.inputFiles())
